@@ -22,22 +22,32 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators.placement import NODE
 
-# The windows over ALL see one row per node of the cluster.
-_ALL = W.partitionBy()
-_TURN = W.partitionBy("level").orderBy(*NODE)
-_LEVEL = W.partitionBy("level")
-
 
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def _levels(nodes: DataFrame) -> DataFrame:
-    """Adds the levels at which giving stops and receiving stops."""
-    total, count = F.sum("held").over(_ALL), F.count(F.lit(1)).over(_ALL)
-    return nodes.withColumn("give_to", _div(total, count)).withColumn(
-        "take_to", _div(total + count - 1, count)
-    )
+def _turns() -> tuple[Column, Column, Column]:
+    """Within one level, whose rows are nodes: place of a node (from 1), number
+    of nodes, and what the nodes have already given or taken up to here."""
+    level = W.partitionBy("level")
+    apart = F.sum(F.abs(F.col("held") - F.col("level"))).over(level)
+    place = F.row_number().over(level.orderBy(*NODE)).cast("long")
+    return place, F.count(F.lit(1)).over(level), apart
+
+
+def _with_all(nodes: DataFrame) -> DataFrame:
+    """Adds the cluster's distinct counts, and the levels at which giving and
+    receiving stop: one small array and two numbers for all nodes."""
+    total, n = F.sum("held"), F.count(F.lit(1))
+    whole = nodes.agg(
+        F.struct(
+            F.collect_set("held").alias("counts"),
+            _div(total, n).alias("give_to"),
+            _div(total + n - 1, n).alias("take_to"),
+        ).alias("whole")
+    ).scalar()
+    return nodes.withColumn("whole", whole).select(*NODE, "held", "whole.*")
 
 
 def giving(nodes: DataFrame) -> DataFrame:
@@ -47,21 +57,17 @@ def giving(nodes: DataFrame) -> DataFrame:
     ``level`` with the node's pick number ``pick``, ``steps`` picks are moves
     ``move``, ``move + turn``, ``move + 2 turn``, ...
     """
-    givers = _levels(nodes).filter(F.col("held") > F.col("give_to"))
-    counts = F.collect_set("held").over(_ALL)
-    walks = givers.withColumn("counts", counts).withColumn(
-        "level", F.explode(F.filter("counts", lambda c: c <= F.col("held")))
-    )
-    floor = F.array_max(F.filter("counts", lambda c: c < F.col("level")))
+    levels = F.filter("counts", lambda c: (c <= F.col("held")) & (c > F.col("give_to")))
+    walks = _with_all(nodes).withColumn("level", F.explode(levels))
+    below = F.array_max(F.filter("counts", lambda c: c < F.col("level")))
+    place, turn, given = _turns()
     return walks.select(
         *NODE,
         "level",
         (F.col("held") - F.col("level") + 1).alias("pick"),
-        (F.col("level") - F.coalesce(floor, F.col("give_to"))).alias("steps"),
-        (F.sum(F.col("held") - F.col("level")).over(_LEVEL) + F.row_number().over(_TURN)).alias(
-            "move"
-        ),
-        F.count(F.lit(1)).over(_LEVEL).alias("turn"),
+        (F.col("level") - F.greatest(below, "give_to")).alias("steps"),
+        (given + place).alias("move"),
+        turn.alias("turn"),
     )
 
 
@@ -72,22 +78,18 @@ def receiving(nodes: DataFrame) -> DataFrame:
     ``last`` start at ``level`` and go round ``turn`` nodes, of which this one
     is number ``place`` (from 0).
     """
-    takers = _levels(nodes).filter(F.col("held") < F.col("take_to"))
-    counts = F.collect_set("held").over(_ALL)
-    walks = takers.withColumn("counts", counts).withColumn(
-        "level", F.explode(F.filter("counts", lambda c: c >= F.col("held")))
-    )
-    ceiling = F.array_min(F.filter("counts", lambda c: c > F.col("level")))
-    before = F.sum(F.col("level") - F.col("held")).over(_LEVEL)
-    turn = F.count(F.lit(1)).over(_LEVEL)
-    rise = F.coalesce(ceiling, F.col("take_to")) - F.col("level")
+    levels = F.filter("counts", lambda c: (c >= F.col("held")) & (c < F.col("take_to")))
+    walks = _with_all(nodes).withColumn("level", F.explode(levels))
+    above = F.array_min(F.filter("counts", lambda c: c > F.col("level")))
+    place, turn, taken = _turns()
+    rise = F.least(above, "take_to") - F.col("level")
     return walks.select(
         *NODE,
         "level",
-        (F.row_number().over(_TURN) - 1).alias("place"),
+        (place - 1).alias("place"),
         turn.alias("turn"),
-        (before + 1).alias("first"),
-        (before + rise * turn).alias("last"),
+        (taken + 1).alias("first"),
+        (taken + rise * turn).alias("last"),
     )
 
 

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.operators.placement import (
     NODE,
@@ -158,7 +159,7 @@ def rebalance_plan(
     )
     targets = takes.select(
         F.col("level").alias("take_level"),
-        F.col("place").cast("long").alias("place"),
+        "place",
         F.col("nodename").alias("target_node"),
         F.col("nodeport").alias("target_port"),
     )
@@ -212,8 +213,8 @@ def relayout(t: DataFrame, key: str, placed: DataFrame, path: str) -> DataFrame:
     rows = t.join(homes, t[key] == homes["_key"], "left").drop("_key")
     by = [*NODE, "shardid"]
     rows.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
-    schema = t.schema.add("nodename", "string").add("nodeport", "int").add("shardid", "long")
-    return t.sparkSession.read.schema(schema).parquet(path)
+    placed_at = [placed.schema[c] for c in by]
+    return t.sparkSession.read.schema(T.StructType([*t.schema, *placed_at])).parquet(path)
 
 
 def balance_report(before: DataFrame, after: DataFrame, per: str = "shard") -> DataFrame:
