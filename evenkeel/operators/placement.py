@@ -7,6 +7,11 @@ Metadata frames
     nodes(groupid, nodename, nodeport, noderole)
 
 A table's key belongs to shard ``shard_base + shard_of(key, shard_count)``.
+
+Metadata frames are joined without a broadcast hint: given as tables, files or
+Arrow data they have a known size, and Catalyst broadcasts them when that size
+is below ``spark.sql.autoBroadcastJoinThreshold``. Frames of unknown size (made
+from Python rows or RDDs) should go through ``materialise`` first.
 """
 
 from __future__ import annotations
@@ -19,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import shard_of
-from evenkeel.sources import small_side
 
 NODE = ["nodename", "nodeport"]
 
@@ -35,8 +39,13 @@ class Distribution:
     shard_count: int
 
     def shard(self, key: Column | str) -> Column:
-        """Shard id of a key column."""
-        return shard_of(key, self.shard_count) + F.lit(self.shard_base).cast("long")
+        """Shard id of a key column, -1 (no shard) for a NULL key.
+
+        Never NULL: a join on a nullable shard id would make Catalyst filter
+        the scan by ``shard id IS NOT NULL``, and so hash every row of it.
+        """
+        shard = shard_of(key, self.shard_count) + F.lit(self.shard_base).cast("long")
+        return F.coalesce(shard, F.lit(-1).cast("long"))
 
 
 def resolve_distribution(
@@ -83,12 +92,12 @@ def key_type(t: DataFrame, key: str) -> str:
     return t.schema[key].dataType.simpleString()
 
 
-def shard_owners(placements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(shardid, nodename, nodeport): the primary nodes of every shard. Its size
-    is that of the cluster metadata, and is checked before it is broadcast."""
+def on_primaries(sharded: DataFrame, placements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Adds the primary nodes to rows that have a ``shardid``: two lookups in
+    the cluster metadata. Rows without a primary placement drop out."""
     primary = nodes.filter(F.col("noderole") == "primary").select("groupid", *NODE)
-    owners = placements.join(primary, "groupid").select("shardid", *NODE).distinct()
-    return small_side(owners)
+    placed = sharded.join(placements.select("shardid", "groupid"), "shardid")
+    return placed.join(primary, "groupid").drop("groupid")
 
 
 def sharded_keys(t: DataFrame, dist: Distribution) -> DataFrame:
@@ -108,7 +117,7 @@ def place_keys(
     """(nodename, nodeport, shardid, dist_value): each distinct key with the
     primary node that holds its shard. NULL keys and keys whose shard has no
     primary placement drop out."""
-    placed = sharded_keys(t, dist).join(shard_owners(placements, nodes), "shardid")
+    placed = on_primaries(sharded_keys(t, dist), placements, nodes)
     return placed.select(*NODE, "shardid", "dist_value")
 
 
@@ -126,7 +135,7 @@ def keys_per_shard(
     Keys are counted per shard before the placements are joined, so the join
     sees one row per shard.
     """
-    counts = keys_per_shard_global(t, dist).join(shard_owners(placements, nodes), "shardid")
+    counts = on_primaries(keys_per_shard_global(t, dist), placements, nodes)
     return counts.select(*NODE, "shardid", "dist_value_count").orderBy(*NODE, "shardid")
 
 
@@ -134,7 +143,7 @@ def keys_per_node(
     t: DataFrame, dist: Distribution, placements: DataFrame, nodes: DataFrame
 ) -> DataFrame:
     """(nodename, nodeport, dist_value_count): the shard counts summed per node."""
-    counts = keys_per_shard_global(t, dist).join(shard_owners(placements, nodes), "shardid")
+    counts = on_primaries(keys_per_shard_global(t, dist), placements, nodes)
     sums = counts.groupBy(*NODE).agg(F.sum("dist_value_count").alias("dist_value_count"))
     return sums.orderBy(*NODE)
 
@@ -165,9 +174,8 @@ def locate_key(
     """
     dist = resolve_distribution(distribution, table, column)
     key = F.lit(value) if value_type is None else F.lit(value).cast(value_type)
-    primary = nodes.filter(F.col("noderole") == "primary").select("groupid", *NODE)
-    owners = placements.filter(F.col("shardid") == dist.shard(key)).join(primary, "groupid")
-    return _located(owners, table).orderBy(*NODE)
+    shard = placements.filter(F.col("shardid") == dist.shard(key)).select("shardid").distinct()
+    return _located(on_primaries(shard, placements, nodes), table).orderBy(*NODE)
 
 
 def locate_keys(
@@ -179,15 +187,14 @@ def locate_keys(
     table: str,
 ) -> DataFrame:
     """``locate_key`` for a whole column: each row of ``keys`` with its location
-    columns appended. One map-side join, no shuffle of ``keys``."""
+    columns appended. Lookups in the metadata only, no shuffle of ``keys``."""
     dist = resolve_distribution(distribution, table)
-    owners = shard_owners(placements, nodes)
-    located = keys.withColumn("shardid", dist.shard(keys[column])).join(owners, "shardid")
-    return _located(located, table, *keys.columns)
+    sharded = keys.withColumn("shardid", dist.shard(keys[column]))
+    return _located(on_primaries(sharded, placements, nodes), table, *keys.columns)
 
 
-def _located(owners: DataFrame, table: str, *keep: str) -> DataFrame:
-    return owners.select(
+def _located(placed: DataFrame, table: str, *keep: str) -> DataFrame:
+    return placed.select(
         *keep,
         *NODE,
         F.lit(table).alias("table_name"),

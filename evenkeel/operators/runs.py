@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The mark of a result line, the shape of such a line, and the
@@ -24,17 +24,20 @@ def result_lines(logs: DataFrame) -> DataFrame:
     return logs.filter(F.col("value").contains(RESULT_MARK))
 
 
-def label_runs(logs: DataFrame) -> DataFrame:
-    """Lines of run logs with (benchmark, variant, iteration) from the file
-    name. Lines of other files drop out."""
-    name = F.col("file_name")
-    part = lambda i: F.regexp_extract(name, LOG_NAME_SHAPE, i)
-    return logs.filter(name.rlike(LOG_NAME_SHAPE)).select(
+def _labels() -> list[Column]:
+    part = lambda i: F.regexp_extract("file_name", LOG_NAME_SHAPE, i)
+    return [
         part(1).alias("benchmark"),
         part(2).alias("variant"),
         part(3).cast("int").alias("iteration"),
-        *logs.columns,
-    )
+    ]
+
+
+def label_runs(logs: DataFrame) -> DataFrame:
+    """Lines of run logs with (benchmark, variant, iteration) from the file
+    name. Lines of other files drop out."""
+    runs = logs.filter(F.col("file_name").rlike(LOG_NAME_SHAPE))
+    return runs.select(*_labels(), *logs.columns)
 
 
 def parse_results(lines: DataFrame) -> DataFrame:
@@ -58,7 +61,7 @@ def run_summary(logs: DataFrame) -> DataFrame:
     Lines of one run keep the order in which they were read. That position also
     lets the sort cut a run with very many lines into several ranges.
     """
-    results = parse_results(result_lines(label_runs(logs)))
+    results = parse_results(label_runs(result_lines(logs)))
     ordered = results.withColumn("_line", F.monotonically_increasing_id()).orderBy(
         "benchmark", "variant", "iteration", "_line"
     )
@@ -69,10 +72,16 @@ def run_summary(logs: DataFrame) -> DataFrame:
 
 def missing_results(logs: DataFrame) -> DataFrame:
     """(benchmark, variant, iteration) of the runs whose log has no result line
-    and which therefore do not show in the summary."""
+    and which therefore do not show in the summary.
+
+    Lines are folded to one row per file before a file name is looked at. The
+    name's test sits in a CASE with the result of the folding, because Catalyst
+    would push a test of the name alone below it, to every line.
+    """
     has = F.bool_or(F.col("value").contains(RESULT_MARK))
-    runs = label_runs(logs).groupBy("benchmark", "variant", "iteration").agg(has.alias("has"))
-    return runs.filter(~F.col("has")).drop("has")
+    files = logs.groupBy("file_name").agg(F.coalesce(has, F.lit(False)).alias("has"))
+    without = F.when(F.col("has"), False).otherwise(F.col("file_name").rlike(LOG_NAME_SHAPE))
+    return files.filter(without).select(*_labels()).distinct()
 
 
 def write_summary(summary: DataFrame, path: str, append: bool = False) -> None:

@@ -10,43 +10,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import size_pretty, to_blocks
-from evenkeel.operators.placement import NODE, Distribution, shard_owners
+from evenkeel.operators.placement import NODE, Distribution, on_primaries
 
 # Relation kinds that are tables (ordinary, partitioned).
 TABLE_KINDS = ["r", "p"]
 
 
-def shard_bytes(
-    t: DataFrame, dist: Distribution, width: Column, placements: DataFrame, nodes: DataFrame
-) -> DataFrame:
-    """``shard_stats`` rows of one table: ``width`` (bytes of a row) summed per
-    shard. The sum is taken per shard in each task first, so what is shuffled
-    is at most one row per shard and task, however the keys are skewed."""
-    rows = t.select(dist.shard(t[dist.dist_column]).alias("shardid"), width.alias("bytes"))
-    sizes = rows.filter(F.col("shardid").isNotNull()).groupBy("shardid")
-    sizes = sizes.agg(F.sum("bytes").cast("long").alias("shard_size"))
-    return _as_stats(sizes.join(shard_owners(placements, nodes), "shardid"), dist)
+def shard_bytes(t: DataFrame, dist: Distribution, width: Column) -> DataFrame:
+    """(shardid, table_name, colocation_id, shard_size) of one table: ``width``,
+    the bytes of a row, summed per shard. The sum is taken per shard in each
+    task first, so what is shuffled is at most one row per shard and task,
+    however the keys are skewed."""
+    key = t[dist.dist_column]
+    rows = t.filter(key.isNotNull()).select(dist.shard(key).alias("shardid"), width.alias("bytes"))
+    sizes = rows.groupBy("shardid").agg(F.sum("bytes").cast("long").alias("shard_size"))
+    return sizes.select("shardid", *_names_of(dist), "shard_size")
+
+
+def place_bytes(sizes: DataFrame, placements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``shard_stats`` from ``shard_bytes`` of any number of tables."""
+    placed = on_primaries(sizes, placements, nodes)
+    return placed.select(*NODE, "shardid", "table_name", "colocation_id", "shard_size")
 
 
 def placed_bytes(t: DataFrame, dist: Distribution, width: Column, placed: DataFrame) -> DataFrame:
-    """``shard_bytes`` for keys that are already placed, for instance after a
-    rebalance. Rows are summed per key before the join, so a hot key reaches
-    it as a single row."""
+    """``shard_stats`` of one table whose keys are already placed, for instance
+    after a rebalance. Rows are summed per key before the join, so a hot key
+    reaches it as a single row."""
     rows = t.select(t[dist.dist_column].alias("dist_value"), width.alias("bytes"))
     per_key = rows.filter(F.col("dist_value").isNotNull()).groupBy("dist_value")
     per_key = per_key.agg(F.sum("bytes").cast("long").alias("bytes"))
     sizes = per_key.join(placed, "dist_value").groupBy(*NODE, "shardid")
-    return _as_stats(sizes.agg(F.sum("bytes").alias("shard_size")), dist)
+    sizes = sizes.agg(F.sum("bytes").alias("shard_size"))
+    return sizes.select(*NODE, "shardid", *_names_of(dist), "shard_size")
 
 
-def _as_stats(sizes: DataFrame, dist: Distribution) -> DataFrame:
-    return sizes.select(
-        *NODE,
-        "shardid",
+def _names_of(dist: Distribution) -> list[Column]:
+    return [
         F.lit(dist.table_name).alias("table_name"),
         F.lit(dist.colocation_id).cast("int").alias("colocation_id"),
-        "shard_size",
-    )
+    ]
 
 
 def shard_size(

@@ -9,9 +9,9 @@ nodes, ordered by (level falling, node), and pairs it with the k-th step of
 all receiving nodes, ordered by (level rising, node).
 
 Between two neighbouring counts the same nodes take turns, so there the steps
-of a node are evenly spaced. A *stretch* is such a piece of one node's walk,
-described by a few numbers instead of one row per step. There are at most
-nodes x (distinct counts) stretches, whatever the number of keys.
+of a node are evenly spaced. A *leg* is such a piece of one node's walk: a few
+numbers instead of one row per step. There are at most nodes x (distinct
+counts) legs, whatever the number of keys.
 """
 
 from __future__ import annotations
@@ -27,111 +27,102 @@ def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def _turns() -> tuple[Column, Column, Column]:
-    """Within one level, whose rows are nodes: place of a node (from 1), number
-    of nodes, and what the nodes have already given or taken up to here."""
-    level = W.partitionBy("level")
-    apart = F.sum(F.abs(F.col("held") - F.col("level"))).over(level)
-    place = F.row_number().over(level.orderBy(*NODE)).cast("long")
-    return place, F.count(F.lit(1)).over(level), apart
+def legs(nodes: DataFrame) -> DataFrame:
+    """Legs of all nodes, from ``nodes(nodename, nodeport, held)``:
 
-
-def _with_all(nodes: DataFrame) -> DataFrame:
-    """Adds the cluster's distinct counts, and the levels at which giving and
-    receiving stop: one small array and two numbers for all nodes."""
-    total, n = F.sum("held"), F.count(F.lit(1))
-    whole = nodes.agg(
-        F.struct(
-            F.collect_set("held").alias("counts"),
-            _div(total, n).alias("give_to"),
-            _div(total + n - 1, n).alias("take_to"),
-        ).alias("whole")
-    ).scalar()
-    return nodes.withColumn("whole", whole).select(*NODE, "held", "whole.*")
-
-
-def giving(nodes: DataFrame) -> DataFrame:
-    """Stretches of the giving nodes, from ``nodes(nodename, nodeport, held)``:
-
-    (nodename, nodeport, level, pick, steps, move, turn) -- starting at
-    ``level`` with the node's pick number ``pick``, ``steps`` picks are moves
-    ``move``, ``move + turn``, ``move + 2 turn``, ...
+    (nodename, nodeport, held, gives, level, place, turn, first, last) -- from
+    ``level`` on, the moves ``first`` to ``last`` go round ``turn`` nodes, of
+    which this one is number ``place`` (from 0).
     """
-    levels = F.filter("counts", lambda c: (c <= F.col("held")) & (c > F.col("give_to")))
-    walks = _with_all(nodes).withColumn("level", F.explode(levels))
-    below = F.array_max(F.filter("counts", lambda c: c < F.col("level")))
-    place, turn, given = _turns()
-    return walks.select(
+    # One row per node of the cluster, so one task can look at all of them.
+    everyone = W.partitionBy()
+    total, n = F.sum("held").over(everyone), F.count(F.lit(1)).over(everyone)
+    held, low, high = F.col("held"), F.col("low"), F.col("high")
+    counted = nodes.select(
         *NODE,
-        "level",
-        (F.col("held") - F.col("level") + 1).alias("pick"),
-        (F.col("level") - F.greatest(below, "give_to")).alias("steps"),
-        (given + place).alias("move"),
-        turn.alias("turn"),
+        "held",
+        F.array_sort(F.collect_set("held").over(everyone)).alias("counts"),
+        _div(total, n).alias("low"),
+        _div(total + n - 1, n).alias("high"),
     )
+    gives = held > low
+    down = F.reverse(F.filter("counts", lambda c: (c <= held) & (c > low)))
+    up = F.filter("counts", lambda c: (c >= held) & (c < high))
+    walks = counted.select(
+        *NODE,
+        "held",
+        gives.alias("gives"),
+        F.when(gives, down).otherwise(up).alias("met"),
+        F.when(gives, low).otherwise(high).alias("stop"),
+    )
+    pieces = F.transform(
+        "met",
+        lambda c, i: F.struct(
+            c.alias("level"), F.coalesce(F.get("met", i + 1), F.col("stop")).alias("until")
+        ),
+    )
+    walks = walks.select(*NODE, "held", "gives", F.inline(pieces))
 
-
-def receiving(nodes: DataFrame) -> DataFrame:
-    """Turns of the receiving nodes:
-
-    (nodename, nodeport, level, place, turn, first, last) -- moves ``first`` to
-    ``last`` start at ``level`` and go round ``turn`` nodes, of which this one
-    is number ``place`` (from 0).
-    """
-    levels = F.filter("counts", lambda c: (c >= F.col("held")) & (c < F.col("take_to")))
-    walks = _with_all(nodes).withColumn("level", F.explode(levels))
-    above = F.array_min(F.filter("counts", lambda c: c > F.col("level")))
-    place, turn, taken = _turns()
-    rise = F.least(above, "take_to") - F.col("level")
+    # Nodes on the same level take turns; `done` is what they moved before it.
+    level = W.partitionBy("gives", "level")
+    turn = F.count(F.lit(1)).over(level)
+    done = F.sum(F.abs(held - F.col("level"))).over(level)
     return walks.select(
         *NODE,
+        "held",
+        "gives",
         "level",
-        (place - 1).alias("place"),
+        (F.row_number().over(level.orderBy(*NODE)) - 1).cast("long").alias("place"),
         turn.alias("turn"),
-        (taken + 1).alias("first"),
-        (taken + rise * turn).alias("last"),
+        (done + 1).alias("first"),
+        (done + F.abs(F.col("level") - F.col("until")) * turn).alias("last"),
     )
 
 
-def stretches(gives: DataFrame, takes: DataFrame, max_moves: int | None) -> DataFrame:
-    """Giving stretches cut where the receiving level changes, so that each lies
-    within one round of receiving nodes:
+def matched_legs(walks: DataFrame, max_moves: int | None) -> DataFrame:
+    """Giving legs cut where the receiving level changes, so that each meets one
+    round of receiving nodes:
 
-    (nodename, nodeport, level, pick, move, turn, pick_from, pick_to,
-    take_level, take_turn, take_first)
+    (nodename, nodeport, level, turn, pick, move, pick_from, pick_to,
+    take_level, take_turn, take_first) -- the node's pick number ``pick`` is
+    move ``move``, the next one ``turn`` moves later; it holds for the picks
+    ``pick_from`` to ``pick_to``.
     """
-    rounds = takes.filter(F.col("place") == 0).select(
+    rounds = walks.filter(~F.col("gives") & (F.col("place") == 0)).select(
         F.struct("level", "turn", "first", "last").alias("round")
     )
-    # One short array, as a scalar subquery: a row per distinct count of a node.
-    all_rounds = rounds.agg(F.collect_list("round").alias("rounds")).scalar()
-    last_move = F.col("move") + (F.col("steps") - 1) * F.col("turn")
-    met = gives.withColumn("last_move", last_move).withColumn("rounds", all_rounds)
-    met = met.withColumn(
-        "round",
-        F.explode(
-            F.filter(
-                "rounds",
-                lambda r: (r["first"] <= F.col("last_move")) & (r["last"] >= F.col("move")),
-            )
-        ),
+    # A short array, one entry per level at which receiving nodes stand.
+    rounds = rounds.agg(F.collect_list("round")).scalar()
+    turn = F.col("turn")
+    giving = walks.filter("gives").select(
+        *NODE,
+        "level",
+        "turn",
+        (F.col("held") - F.col("level") + 1).alias("pick"),
+        (F.col("first") + F.col("place")).alias("move"),
+        (F.col("last") - turn + F.col("place") + 1).alias("end"),
+        rounds.alias("rounds"),
+    )
+    overlaps = F.filter(
+        "rounds", lambda r: (r["first"] <= F.col("end")) & (r["last"] >= F.col("move"))
     )
-    skip = F.greatest(F.col("round.first") - F.col("move"), F.lit(0))
-    end = F.least("round.last", "last_move")
+    met = giving.withColumn("round", F.explode(overlaps))
+    start = F.greatest("move", "round.first")
+    end = F.least("end", "round.last")
     if max_moves is not None:
         end = F.least(end, F.lit(max_moves).cast("long"))
-    cut = met.select(
+    steps_before = _div(start - F.col("move") + turn - 1, turn)
+    # Division rounds towards zero, so a leg that ends before it starts is cut first.
+    met = met.filter(end >= F.col("move")).select(
         *NODE,
         "level",
+        "turn",
         "pick",
         "move",
-        "turn",
-        (F.col("pick") + _div(skip + F.col("turn") - 1, F.col("turn"))).alias("pick_from"),
-        F.when(end >= F.col("move"), F.col("pick") + _div(end - F.col("move"), F.col("turn")))
-        .otherwise(F.lit(0))
-        .alias("pick_to"),
+        (F.col("pick") + steps_before).alias("pick_from"),
+        (F.col("pick") + _div(end - F.col("move"), turn)).alias("pick_to"),
         F.col("round.level").alias("take_level"),
         F.col("round.turn").alias("take_turn"),
         F.col("round.first").alias("take_first"),
     )
-    return cut.filter(F.col("pick_from") <= F.col("pick_to"))
+    return met.filter(F.col("pick_from") <= F.col("pick_to"))

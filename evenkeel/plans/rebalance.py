@@ -31,7 +31,7 @@ from evenkeel.operators.placement import (
 from evenkeel.operators.ranking import rank_in_groups, top_in_groups
 from evenkeel.operators.sizes import shard_size
 from evenkeel.operators.stats import analyze_tables
-from evenkeel.plans.moves import giving, receiving, stretches
+from evenkeel.plans.moves import legs, matched_legs
 from evenkeel.sources import materialise
 
 
@@ -113,14 +113,14 @@ def rebalance_plan(
         held = primary.join(held, NODE, "left").select(
             *NODE, F.coalesce("held", F.lit(0).cast("long")).alias("held")
         )
-    takes = materialise(receiving(held), folder)
-    walks = materialise(stretches(giving(held), takes, max_moves), folder)
+    walks = materialise(legs(held), folder)
+    gives = matched_legs(walks, max_moves)
 
     # Keys of giving nodes, in the order in which their node lets go of them.
-    quota = walks.groupBy(*NODE).agg(F.max("pick_to").alias("quota"))
+    givers = gives.select(*NODE).distinct()
     shared = F.col("dist_value_count") > 1
     is_last = shared & (F.col("key_text") == F.col("last_text"))
-    keys = placed.join(facts.join(quota, NODE), [*NODE, "shardid"]).withColumn(
+    keys = placed.join(facts.join(givers, NODE), [*NODE, "shardid"]).withColumn(
         "key_text", F.col("dist_value").cast("string")
     )
     keys = keys.select(
@@ -139,7 +139,7 @@ def rebalance_plan(
         picks = rank_in_groups(keys, NODE, order, "rank", folder)
 
     # Pick number -> move number -> receiving node and both counts.
-    picks = picks.join(walks, NODE).filter(F.col("rank").between(F.col("pick_from"), F.col("pick_to")))
+    picks = picks.join(gives, NODE).filter(F.col("rank").between(F.col("pick_from"), F.col("pick_to")))
     step = F.col("rank") - F.col("pick")
     moves = picks.select(
         (F.col("move") + step * F.col("turn")).alias("move_no"),
@@ -157,7 +157,7 @@ def rebalance_plan(
     moves = moves.withColumn("place", ahead % F.col("take_turn")).withColumn(
         "target_count", F.col("take_level") + F.call_function("div", ahead, F.col("take_turn"))
     )
-    targets = takes.select(
+    targets = walks.filter(~F.col("gives")).select(
         F.col("level").alias("take_level"),
         "place",
         F.col("nodename").alias("target_node"),
@@ -198,23 +198,40 @@ def apply_plan(placed: DataFrame, plan: DataFrame, placements: DataFrame) -> Dat
     )
 
 
-def relayout(t: DataFrame, key: str, placed: DataFrame, path: str) -> DataFrame:
-    """Write a table in the layout of ``placed``, one folder per (nodename,
-    nodeport, shardid), and return a reader of it. A filter on these columns
-    then prunes folders.
+def relayout(
+    t: DataFrame,
+    key: str,
+    placed: DataFrame,
+    path: str,
+    shard_folders: bool = False,
+    folder: str | None = None,
+) -> DataFrame:
+    """Write a table in the layout of ``placed`` and return a reader of it, with
+    the columns nodename, nodeport and shardid added.
+
+    There is one folder per node, with the rows of a file sorted by shard, so
+    that filters on the node prune folders and filters on the shard prune pages.
+    ``shard_folders`` adds a folder per shard; that is for layouts without many
+    isolated keys, each of which has a shard of its own.
 
-    The rows are spread with a rebalance hint: AQE cuts a shard that is larger
-    than its target size over several tasks and files, and merges small ones.
-    Rows with a NULL or unplaced key are kept, in the default folder.
+    Rows are spread with a rebalance hint: AQE cuts what is larger than its
+    target size, be it a node, a shard or one key, over several tasks and
+    files. Rows with a NULL or unplaced key are kept, in the default folder.
+
+    ``placed`` is written first. As a plain table it is broadcast if it is
+    small; if not, both sides of the join are shuffles, which lets AQE split
+    the rows of a hot key.
     """
-    if set(t.columns) & {*NODE, "shardid"}:
-        raise ValueError(f"the table already has one of the columns {NODE + ['shardid']}")
-    homes = placed.withColumnRenamed("dist_value", "_key")
-    rows = t.join(homes, t[key] == homes["_key"], "left").drop("_key")
     by = [*NODE, "shardid"]
-    rows.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(path)
-    placed_at = [placed.schema[c] for c in by]
-    return t.sparkSession.read.schema(T.StructType([*t.schema, *placed_at])).parquet(path)
+    if set(t.columns) & set(by):
+        raise ValueError(f"the table already has one of the columns {by}")
+    homes = materialise(placed.select(F.col("dist_value").alias("_key"), *by), folder)
+    rows = t.join(homes, t[key] == homes["_key"], "left").drop("_key")
+    folders = by if shard_folders else NODE
+    spread = rows.hint("rebalance", *folders).sortWithinPartitions(*by)
+    spread.write.mode("overwrite").partitionBy(*folders).parquet(path)
+    schema = T.StructType([*t.schema, *(placed.schema[c] for c in by)])
+    return t.sparkSession.read.schema(schema).parquet(path)
 
 
 def balance_report(before: DataFrame, after: DataFrame, per: str = "shard") -> DataFrame:

@@ -3,7 +3,7 @@ cut a plan in two."""
 
 from evenkeel.sources.files import file_relations, file_shard_stats
 from evenkeel.sources.logs import read_logs
-from evenkeel.sources.shared import materialise, shared_folder, small_side
+from evenkeel.sources.shared import materialise, shared_folder
 
 __all__ = [
     "file_relations",
@@ -11,5 +11,4 @@ __all__ = [
     "materialise",
     "read_logs",
     "shared_folder",
-    "small_side",
 ]

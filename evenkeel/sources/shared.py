@@ -1,16 +1,12 @@
-"""Intermediate tables in the cluster's shared folder, and the size check in
-front of a broadcast."""
+"""Intermediate tables in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A metadata side is broadcast up to this many rows (a few tens of MB).
-SMALL_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,9 +17,12 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="evenkeel-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder(spark.conf.get("spark.app.id", ""))
+
+
+@lru_cache
+def _local_folder(app_id: str) -> str:
+    return tempfile.mkdtemp(prefix="evenkeel-")
 
 
 def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -41,14 +40,3 @@ def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast hint for a cluster-metadata frame, given only after a bounded
-    count has shown at most ``max_rows`` rows; otherwise the frame goes back
-    unhinted and the join is left to Catalyst and AQE.
-
-    For frames that are cheap to count; not for results of a table scan.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -22,7 +22,7 @@ def follow_summary(
     """Append the results of new logs to the summary table at ``path``. The
     checkpoint makes a restart go on where the query stopped, with no line
     lost or written twice."""
-    results = parse_results(result_lines(label_runs(logs))).drop("file_name")
+    results = parse_results(label_runs(result_lines(logs))).drop("file_name")
     writer = (
         results.writeStream.outputMode("append")
         .partitionBy("variant")
