@@ -369,6 +369,11 @@ ORACLE: dict[str, str] = {
     "run_summary": f"""
         SELECT benchmark, variant, iteration, vuser, nopm, tpm, system, value
         FROM ({_parsed(_RESULTS.format(_labelled(_run_log())))})""",
+    "summary_listing": f"""
+        WITH r AS ({_labelled(_RESULTS.format(_run_log()))})
+        SELECT variant, value FROM r
+        UNION ALL
+        SELECT DISTINCT variant, benchmark || '.summary.' || variant || '.log' FROM r""",
     "missing_results": _MISSING,
     "throughput": _THROUGHPUT,
 }

@@ -214,6 +214,10 @@ def q_run_summary(spark: SparkSession, sf: str) -> DataFrame:
     return runs.run_summary(layout.run_log(spark, sf))
 
 
+def q_summary_listing(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.summary_listing(runs.run_summary(layout.run_log(spark, sf)))
+
+
 def q_missing_results(spark: SparkSession, sf: str) -> DataFrame:
     """Runs without a result, where only large purchases count as results."""
     events = layout.table(spark, sf, "events")
@@ -277,6 +281,7 @@ QUERIES: dict[str, Query] = {
     "label_runs": q_label_runs,
     "parse_results": q_parse_results,
     "run_summary": q_run_summary,
+    "summary_listing": q_summary_listing,
     "missing_results": q_missing_results,
     "throughput": q_throughput,
 }

@@ -70,6 +70,20 @@ def run_summary(logs: DataFrame) -> DataFrame:
     )
 
 
+def summary_listing(summary: DataFrame) -> DataFrame:
+    """(variant, value): a summary as text to show, each variant under a header
+    line ``<benchmark>.summary.<variant>.log``."""
+    parts = ["benchmark", "variant"]
+    name = F.concat("benchmark", F.lit(".summary."), "variant", F.lit(".log"))
+    heads = summary.select(*parts).distinct().select(
+        *parts, F.lit(-1).alias("iteration"), F.lit(-1).cast("long").alias("_line"),
+        name.alias("value"),
+    )
+    lines = summary.withColumn("_line", F.monotonically_increasing_id())
+    both = heads.unionByName(lines.select(*heads.columns))
+    return both.orderBy(*parts, "iteration", "_line").select("variant", "value")
+
+
 def missing_results(logs: DataFrame) -> DataFrame:
     """(benchmark, variant, iteration) of the runs whose log has no result line
     and which therefore do not show in the summary.

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import layout
+from evenkeel import Cluster
 from evenkeel.functions import quote_ident, shard_of, size_pretty, to_blocks
 from evenkeel.functions.sql import (
     register_functions,
@@ -170,6 +171,29 @@ def test_unplaced_and_null_keys(spark):
     assert [tuple(r) for r in counts] == [("a", 1, shard[1], len(want))]
 
 
+def test_cluster_by_name(spark):
+    dist, where, who = metadata(spark)
+    names = ("orders", "customer")
+    tables = {n: layout.table(spark, SF, n) for n in names}
+    cluster = Cluster(tables, dist, where, who, layout.shard_stats(spark, SF))
+    d = layout.dist_of("orders")
+    counts = cluster.keys_per_node("orders", "o_custkey").collect()
+    assert counts == keys_per_node(tables["orders"], d, where, who).collect()
+    # Any column can be counted over the table's shards.
+    keys = cluster.keys_per_shard("orders", "o_orderkey").agg(F.sum("dist_value_count"))
+    assert keys.head()[0] == 15000
+    home = cluster.locate_key("orders", "o_custkey", "1005")
+    assert home.collect() == locate_key(dist, where, who, "orders", "o_custkey", 1005).collect()
+    assert cluster.shard_size("orders", 1, False).count() == 4
+    assert cluster.rebalance_evenly("orders", max_moves=2, analyze_at_end=False).plan.count() == 2
+    with pytest.raises(ValueError, match="unknown table"):
+        cluster.keys_per_node("lineitem", "l_suppkey")
+    with pytest.raises(ValueError, match="data type of column"):
+        cluster.keys_per_node("orders", "nope")
+    with pytest.raises(ValueError, match="not a distributed table"):
+        cluster.shard_size("part")
+
+
 # -- sizes
 
 

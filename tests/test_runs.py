@@ -13,6 +13,7 @@ from evenkeel.operators.runs import (
     parse_results,
     result_lines,
     run_summary,
+    summary_listing,
     throughput,
     write_summary,
     write_summary_text,
@@ -59,6 +60,14 @@ def test_summary_of_files(spark, logs):
     assert rows[-1].value == "TEST RESULT : cut off"
 
 
+def test_listing_has_a_header_per_variant(spark, logs):
+    listing = summary_listing(run_summary(read_logs(spark, str(logs)))).collect()
+    values = [r.value for r in listing]
+    assert values[0] == "tpcc.summary.PG-17.2.log" and values[1] == LINE.format(42332, 97427)
+    assert values[2] == "tpcc.summary.PG-17.2-some_lib.log" and len(values) == len(WANT) + 2
+    assert values[-1] == "TEST RESULT : cut off"
+
+
 def test_runs_without_result(spark, logs):
     missing = missing_results(read_logs(spark, str(logs))).collect()
     assert [tuple(r) for r in missing] == [("tpcc", "PG-17.2", 2)]
