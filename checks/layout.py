@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators.inventory import KNOWN_TABLES
 from evenkeel.operators.placement import Distribution
-from evenkeel.operators.sizes import place_bytes, shard_bytes
+from evenkeel.operators.sizes import key_bytes, shard_bytes
 
 N_SHARDS = 32
 # First bucket of each node group.
@@ -94,8 +94,8 @@ def width_of(name: str) -> Column:
 
 
 def shard_stats(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [shard_bytes(table(spark, sf, n), dist_of(n), width_of(n)) for n in TABLES]
-    return place_bytes(reduce(DataFrame.unionByName, parts), placements(spark), nodes(spark))
+    parts = [key_bytes(table(spark, sf, n), dist_of(n), width_of(n)) for n in TABLES]
+    return shard_bytes(reduce(DataFrame.unionByName, parts), placements(spark), nodes(spark))
 
 
 def _pick(words: list[str], index: Column) -> Column:

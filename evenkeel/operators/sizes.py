@@ -16,31 +16,33 @@ from evenkeel.operators.placement import NODE, Distribution, on_primaries
 TABLE_KINDS = ["r", "p"]
 
 
-def shard_bytes(t: DataFrame, dist: Distribution, width: Column) -> DataFrame:
-    """(shardid, table_name, colocation_id, shard_size) of one table: ``width``,
-    the bytes of a row, summed per shard. The sum is taken per shard in each
-    task first, so what is shuffled is at most one row per shard and task,
-    however the keys are skewed."""
+def _bytes_per_key(t: DataFrame, dist: Distribution, width: Column) -> DataFrame:
     key = t[dist.dist_column]
-    rows = t.filter(key.isNotNull()).select(dist.shard(key).alias("shardid"), width.alias("bytes"))
-    sizes = rows.groupBy("shardid").agg(F.sum("bytes").cast("long").alias("shard_size"))
-    return sizes.select("shardid", *_names_of(dist), "shard_size")
+    rows = t.filter(key.isNotNull()).select(key.alias("dist_value"), width.alias("bytes"))
+    return rows.groupBy("dist_value").agg(F.sum("bytes").cast("long").alias("bytes"))
 
 
-def place_bytes(sizes: DataFrame, placements: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``shard_stats`` from ``shard_bytes`` of any number of tables."""
+def key_bytes(t: DataFrame, dist: Distribution, width: Column) -> DataFrame:
+    """(shardid, table_name, colocation_id, bytes), one row per key of a table:
+    ``width``, the bytes of a row, summed. Sums are taken per key before keys
+    are hashed; a hot key is one row per task when it is shuffled."""
+    sizes = _bytes_per_key(t, dist, width)
+    return sizes.select(dist.shard("dist_value").alias("shardid"), *_names_of(dist), "bytes")
+
+
+def shard_bytes(sizes: DataFrame, placements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``shard_stats`` from ``key_bytes`` of any number of tables, put together
+    with ``unionByName``. What is shuffled is a row per shard and task."""
+    by = ["shardid", "table_name", "colocation_id"]
+    sizes = sizes.groupBy(*by).agg(F.sum("bytes").alias("shard_size"))
     placed = on_primaries(sizes, placements, nodes)
-    return placed.select(*NODE, "shardid", "table_name", "colocation_id", "shard_size")
+    return placed.select(*NODE, *by, "shard_size")
 
 
 def placed_bytes(t: DataFrame, dist: Distribution, width: Column, placed: DataFrame) -> DataFrame:
     """``shard_stats`` of one table whose keys are already placed, for instance
-    after a rebalance. Rows are summed per key before the join, so a hot key
-    reaches it as a single row."""
-    rows = t.select(t[dist.dist_column].alias("dist_value"), width.alias("bytes"))
-    per_key = rows.filter(F.col("dist_value").isNotNull()).groupBy("dist_value")
-    per_key = per_key.agg(F.sum("bytes").cast("long").alias("bytes"))
-    sizes = per_key.join(placed, "dist_value").groupBy(*NODE, "shardid")
+    after a rebalance."""
+    sizes = _bytes_per_key(t, dist, width).join(placed, "dist_value").groupBy(*NODE, "shardid")
     sizes = sizes.agg(F.sum("bytes").alias("shard_size"))
     return sizes.select(*NODE, "shardid", *_names_of(dist), "shard_size")
 

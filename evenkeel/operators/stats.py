@@ -17,15 +17,37 @@ def analyze_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFram
     max_value, avg_width), one row per column of every table.
 
     Minimum and maximum are given as text, widths in bytes. Everything but the
-    distinct count is one pass without a shuffle of rows. Exact distinct counts
-    take one grouping per column, which reads that column only; with
-    ``exact=False`` they are estimated within the one pass.
+    distinct count is one pass without a shuffle of rows. For exact distinct
+    counts each column is read once more, by itself, and the values of all
+    columns share one shuffle after repeats have been dropped in each task.
+    With ``exact=False`` the counts are estimated within the first pass.
     """
-    return reduce(DataFrame.unionByName, [_analyze(n, t, exact) for n, t in tables.items()])
+    columns = {name: [f for f in t.schema if _atomic(f)] for name, t in tables.items()}
+    stats = _union([_one_pass(name, t, columns[name], exact) for name, t in tables.items()])
+    if exact:
+        by = ["table_name", "column_name"]
+        values = _union([_values(n, t, f) for n, t in tables.items() for f in columns[n]])
+        counts = values.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+        stats = stats.join(counts, by, "left").withColumn(
+            "distinct_values", F.coalesce("n", F.lit(0).cast("long"))
+        )
+    return stats.select(
+        "table_name",
+        "column_name",
+        "rows",
+        "nulls",
+        "distinct_values",
+        "min_value",
+        "max_value",
+        "avg_width",
+    )
+
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
-def _analyze(name: str, t: DataFrame, exact: bool) -> DataFrame:
-    fields = [f for f in t.schema.fields if _orderable(f.dataType)]
+
+def _one_pass(name: str, t: DataFrame, fields: list[T.StructField], exact: bool) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(fields):
         c = t[f.name]
@@ -37,7 +59,7 @@ def _analyze(name: str, t: DataFrame, exact: bool) -> DataFrame:
         ]
         if not exact:
             aggs.append(F.approx_count_distinct(c).alias(f"distinct{i}"))
-    columns = [
+    rows = [
         F.struct(
             F.lit(f.name).alias("column_name"),
             F.col("rows").alias("rows"),
@@ -49,31 +71,26 @@ def _analyze(name: str, t: DataFrame, exact: bool) -> DataFrame:
         )
         for i, f in enumerate(fields)
     ]
-    stats = t.agg(*aggs).select(F.inline(F.array(*columns)))
-    if exact:
-        counts = reduce(DataFrame.unionByName, [_distinct(t, f) for f in fields])
-        stats = stats.drop("distinct_values").join(counts, "column_name")
-    return stats.select(
-        F.lit(name).alias("table_name"),
-        "column_name",
-        "rows",
-        "nulls",
-        "distinct_values",
-        "min_value",
-        "max_value",
-        "avg_width",
-    )
+    stats = t.agg(*aggs).select(F.inline(F.array(*rows)))
+    return stats.withColumn("table_name", F.lit(name))
 
 
-def _distinct(t: DataFrame, f: T.StructField) -> DataFrame:
-    c = t[f.name]
-    if isinstance(f.dataType, T.StringType):
-        # Long texts are shuffled as a digest, marked so that no text equals one.
-        digest = F.concat(F.lit("#"), F.sha2(c, 256))
-        c = F.when(F.octet_length(c) > _PLAIN_BYTES, digest).otherwise(c)
-    values = t.select(c.alias("v")).filter(F.col("v").isNotNull()).distinct()
-    return values.agg(F.count(F.lit(1)).alias("distinct_values")).select(
-        F.lit(f.name).alias("column_name"), "distinct_values"
+def _values(name: str, t: DataFrame, f: T.StructField) -> DataFrame:
+    """The values of one column as texts that differ whenever the values do."""
+    c, kind = t[f.name], f.dataType
+    if isinstance(kind, T.TimestampType):
+        text = F.unix_micros(c).cast("string")  # local times repeat when clocks change
+    elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        text = (c + F.lit(0.0)).cast("string")  # -0.0 is 0.0
+    elif isinstance(kind, T.BinaryType):
+        text = F.hex(c)
+    else:
+        text = c.cast("string")
+    # Long ones travel as a digest, marked so that no other text equals it.
+    digest = F.concat(F.lit("#"), F.sha2(text, 256))
+    text = F.when(F.octet_length(text) > _PLAIN_BYTES, digest).otherwise(text)
+    return t.filter(c.isNotNull()).select(
+        F.lit(name).alias("table_name"), F.lit(f.name).alias("column_name"), text.alias("v")
     )
 
 
@@ -81,9 +98,9 @@ def _width(c: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.StringType, T.BinaryType)):
         return F.octet_length(c)
     fixed = {T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.FloatType: 4,
-             T.DateType: 4}
+             T.DateType: 4}
     return F.when(c.isNotNull(), F.lit(fixed.get(type(kind), 8)))
 
 
-def _orderable(kind: T.DataType) -> bool:
-    return isinstance(kind, T.AtomicType)
+def _atomic(f: T.StructField) -> bool:
+    return isinstance(f.dataType, T.AtomicType)

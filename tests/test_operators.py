@@ -324,6 +324,20 @@ def test_statistics_with_nulls_and_long_texts(spark):
     assert near["s"].distinct_values == 3
 
 
+def test_statistics_of_other_types(spark):
+    t = spark.sql("""
+        SELECT * FROM VALUES
+            (0.0D, TIMESTAMP '2024-10-27 00:30:00Z', X'00', DATE '2024-01-01', 1.10BD),
+            (-0.0D, TIMESTAMP '2024-10-27 01:30:00Z', X'01', DATE '2024-01-01', 1.20BD),
+            (CAST('NaN' AS DOUBLE), NULL, X'0001', NULL, NULL) AS t(d, ts, b, day, n)""")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = {r.column_name: r.distinct_values for r in analyze_tables({"t": t}).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {"d": 2, "ts": 2, "b": 3, "day": 1, "n": 2}
+
+
 def test_estimated_statistics_need_no_row_shuffle(spark):
     plan = plan_of(analyze_tables({"orders": layout.table(spark, SF, "orders")}, exact=False))
     assert "hashpartitioning" not in plan
