@@ -16,15 +16,65 @@ counts) legs, whatever the number of keys.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
-
-from evenkeel.operators.placement import NODE
+from pyspark.sql import DataFrame
 
+# The windows over all rows see one row per node of the cluster. Nodes on the
+# same level take turns; `done` is what they have moved before they reach it.
+_LEGS = """
+WITH counted AS (
+    SELECT nodename, nodeport, held,
+           array_sort(collect_set(held) OVER ()) AS counts,
+           sum(held) OVER () DIV count(*) OVER () AS low,
+           (sum(held) OVER () + count(*) OVER () - 1) DIV count(*) OVER () AS high
+    FROM {nodes}),
+walks AS (
+    SELECT nodename, nodeport, held, held > low AS gives,
+           IF(held > low, low, high) AS stop,
+           IF(held > low, reverse(filter(counts, c -> c <= held AND c > low)),
+                          filter(counts, c -> c >= held AND c < high)) AS met
+    FROM counted),
+pieces AS (
+    SELECT nodename, nodeport, held, gives,
+           inline(transform(met, (c, i) ->
+               named_struct('level', c, 'until', coalesce(get(met, i + 1), stop))))
+    FROM walks),
+turns AS (
+    SELECT nodename, nodeport, held, gives, level, until,
+           row_number() OVER (PARTITION BY gives, level ORDER BY nodename, nodeport) AS nth,
+           count(*) OVER (PARTITION BY gives, level) AS turn,
+           sum(abs(held - level)) OVER (PARTITION BY gives, level) AS done
+    FROM pieces)
+SELECT nodename, nodeport, held, gives, level, CAST(nth - 1 AS BIGINT) AS place, turn,
+       done + 1 AS first, done + abs(level - until) * turn AS last
+FROM turns
+"""
 
-def _div(a: Column, b: Column) -> Column:
-    return F.call_function("div", a, b)
+# `rounds` is a short array, one entry per level at which receiving nodes stand.
+# Division rounds towards zero, hence the test `end >= move` before it.
+_MATCHED = """
+WITH giving AS (
+    SELECT nodename, nodeport, level, turn, held - level + 1 AS pick, first + place AS move,
+           last - turn + place + 1 AS end,
+           (SELECT collect_list(named_struct('level', level, 'turn', turn,
+                                             'first', first, 'last', last))
+            FROM {legs} WHERE NOT gives AND place = 0) AS rounds
+    FROM {legs} WHERE gives),
+met AS (
+    SELECT nodename, nodeport, level, turn, pick, move, end,
+           explode(filter(rounds, r -> r.first <= end AND r.last >= move)) AS round
+    FROM giving),
+cut AS (
+    SELECT nodename, nodeport, level, turn, pick, move, round,
+           greatest(move, round.first) AS start, least(end, round.last, {max_move}) AS end
+    FROM met),
+picks AS (
+    SELECT *, pick + (start - move + turn - 1) DIV turn AS pick_from,
+           pick + (end - move) DIV turn AS pick_to
+    FROM cut WHERE end >= move)
+SELECT nodename, nodeport, level, turn, pick, move, pick_from, pick_to,
+       round.level AS take_level, round.turn AS take_turn, round.first AS take_first
+FROM picks WHERE pick_from <= pick_to
+"""
 
 
 def legs(nodes: DataFrame) -> DataFrame:
@@ -34,49 +84,7 @@ def legs(nodes: DataFrame) -> DataFrame:
     ``level`` on, the moves ``first`` to ``last`` go round ``turn`` nodes, of
     which this one is number ``place`` (from 0).
     """
-    # One row per node of the cluster, so one task can look at all of them.
-    everyone = W.partitionBy()
-    total, n = F.sum("held").over(everyone), F.count(F.lit(1)).over(everyone)
-    held, low, high = F.col("held"), F.col("low"), F.col("high")
-    counted = nodes.select(
-        *NODE,
-        "held",
-        F.array_sort(F.collect_set("held").over(everyone)).alias("counts"),
-        _div(total, n).alias("low"),
-        _div(total + n - 1, n).alias("high"),
-    )
-    gives = held > low
-    down = F.reverse(F.filter("counts", lambda c: (c <= held) & (c > low)))
-    up = F.filter("counts", lambda c: (c >= held) & (c < high))
-    walks = counted.select(
-        *NODE,
-        "held",
-        gives.alias("gives"),
-        F.when(gives, down).otherwise(up).alias("met"),
-        F.when(gives, low).otherwise(high).alias("stop"),
-    )
-    pieces = F.transform(
-        "met",
-        lambda c, i: F.struct(
-            c.alias("level"), F.coalesce(F.get("met", i + 1), F.col("stop")).alias("until")
-        ),
-    )
-    walks = walks.select(*NODE, "held", "gives", F.inline(pieces))
-
-    # Nodes on the same level take turns; `done` is what they moved before it.
-    level = W.partitionBy("gives", "level")
-    turn = F.count(F.lit(1)).over(level)
-    done = F.sum(F.abs(held - F.col("level"))).over(level)
-    return walks.select(
-        *NODE,
-        "held",
-        "gives",
-        "level",
-        (F.row_number().over(level.orderBy(*NODE)) - 1).cast("long").alias("place"),
-        turn.alias("turn"),
-        (done + 1).alias("first"),
-        (done + F.abs(F.col("level") - F.col("until")) * turn).alias("last"),
-    )
+    return nodes.sparkSession.sql(_LEGS, nodes=nodes)
 
 
 def matched_legs(walks: DataFrame, max_moves: int | None) -> DataFrame:
@@ -88,41 +96,5 @@ def matched_legs(walks: DataFrame, max_moves: int | None) -> DataFrame:
     move ``move``, the next one ``turn`` moves later; it holds for the picks
     ``pick_from`` to ``pick_to``.
     """
-    rounds = walks.filter(~F.col("gives") & (F.col("place") == 0)).select(
-        F.struct("level", "turn", "first", "last").alias("round")
-    )
-    # A short array, one entry per level at which receiving nodes stand.
-    rounds = rounds.agg(F.collect_list("round")).scalar()
-    turn = F.col("turn")
-    giving = walks.filter("gives").select(
-        *NODE,
-        "level",
-        "turn",
-        (F.col("held") - F.col("level") + 1).alias("pick"),
-        (F.col("first") + F.col("place")).alias("move"),
-        (F.col("last") - turn + F.col("place") + 1).alias("end"),
-        rounds.alias("rounds"),
-    )
-    overlaps = F.filter(
-        "rounds", lambda r: (r["first"] <= F.col("end")) & (r["last"] >= F.col("move"))
-    )
-    met = giving.withColumn("round", F.explode(overlaps))
-    start = F.greatest("move", "round.first")
-    end = F.least("end", "round.last")
-    if max_moves is not None:
-        end = F.least(end, F.lit(max_moves).cast("long"))
-    steps_before = _div(start - F.col("move") + turn - 1, turn)
-    # Division rounds towards zero, so a leg that ends before it starts is cut first.
-    met = met.filter(end >= F.col("move")).select(
-        *NODE,
-        "level",
-        "turn",
-        "pick",
-        "move",
-        (F.col("pick") + steps_before).alias("pick_from"),
-        (F.col("pick") + _div(end - F.col("move"), turn)).alias("pick_to"),
-        F.col("round.level").alias("take_level"),
-        F.col("round.turn").alias("take_turn"),
-        F.col("round.first").alias("take_first"),
-    )
-    return met.filter(F.col("pick_from") <= F.col("pick_to"))
+    limit = 2**63 - 1 if max_moves is None else max_moves
+    return walks.sparkSession.sql(_MATCHED, legs=walks, max_move=limit)

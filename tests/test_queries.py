@@ -7,6 +7,7 @@ import math
 import pytest
 
 import __spark_entry__ as entry_points
+from checks import layout
 
 SF = "/root/testdata/sf0.01"
 QUERIES = entry_points.queries()
@@ -45,6 +46,14 @@ def test_each_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_declared_schemas_are_those_of_the_files(spark, sf):
+    for name in layout.SCHEMAS:
+        path = f"/root/testdata/{sf}"
+        inferred = spark.read.parquet(f"{path}/{name}.parquet").dtypes
+        assert layout.table(spark, path, name).dtypes == inferred
+
+
 def test_entry(spark):
     counts = entry_points.entry(spark).collect()
     assert [r.nodename for r in counts] == ["worker-1", "worker-2", "worker-3", "worker-4"]
