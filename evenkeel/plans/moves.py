@@ -73,7 +73,10 @@ picks AS (
     FROM cut WHERE end >= move)
 SELECT nodename, nodeport, level, turn, pick, move, pick_from, pick_to,
        round.level AS take_level, round.turn AS take_turn, round.first AS take_first
-FROM picks WHERE pick_from <= pick_to
+FROM picks
+WHERE pick_from <= pick_to
+  AND level - (pick_from - pick) - round.level
+      - (move + (pick_from - pick) * turn - round.first) DIV round.turn > 1
 """
 
 
@@ -94,7 +97,8 @@ def matched_legs(walks: DataFrame, max_moves: int | None) -> DataFrame:
     (nodename, nodeport, level, turn, pick, move, pick_from, pick_to,
     take_level, take_turn, take_first) -- the node's pick number ``pick`` is
     move ``move``, the next one ``turn`` moves later; it holds for the picks
-    ``pick_from`` to ``pick_to``.
+    ``pick_from`` to ``pick_to``. As counts only draw nearer, a leg is out when
+    its first move already joins counts that are at most one apart.
     """
     limit = 2**63 - 1 if max_moves is None else max_moves
     return walks.sparkSession.sql(_MATCHED, legs=walks, max_move=limit)

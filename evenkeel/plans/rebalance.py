@@ -68,18 +68,18 @@ def move_candidates(placed: DataFrame, k: int = 1, folder: str | None = None) ->
     return top.select(*NODE, "rank", "key_text", "shardid", "dist_value_count")
 
 
-def _shard_facts(placed: DataFrame) -> DataFrame:
-    """Per shard: number of keys, and the largest and second largest key text
-    (the latter NULL when there is one key). The top two are cut down in each
-    task before the shuffle, so a shard with many keys is never gathered."""
-    texts = placed.withColumn("key_text", F.col("dist_value").cast("string"))
-    falling = W.partitionBy(*NODE, "shardid").orderBy(F.desc("key_text"))
+def _last_two(placed: DataFrame) -> DataFrame:
+    """(nodename, nodeport, shardid, last_text, prev_text): the largest and the
+    second largest key text of each shard. A task passes on no more than the top
+    two of a shard, so a shard with many keys is never gathered."""
+    by = [*NODE, "shardid"]
+    texts = placed.select(*by, F.col("dist_value").cast("string").alias("key_text"))
+    falling = W.partitionBy(*by).orderBy(F.desc("key_text"))
     top_two = texts.withColumn("rn", F.row_number().over(falling)).filter(F.col("rn") <= 2)
-    ends = top_two.groupBy(*NODE, "shardid").agg(
+    return top_two.groupBy(*by).agg(
         F.max(F.when(F.col("rn") == 1, F.col("key_text"))).alias("last_text"),
         F.max(F.when(F.col("rn") == 2, F.col("key_text"))).alias("prev_text"),
     )
-    return placed_per_shard(placed).join(ends, [*NODE, "shardid"])
 
 
 def rebalance_plan(
@@ -99,15 +99,15 @@ def rebalance_plan(
     the last one left in a shard no longer has to be: being alone it goes
     directly after the one before it.
 
-    ``placed`` is read twice, so hand in a written table (``materialise``) when
-    it comes from a large scan. What depends on nodes and shards only is worked
-    out first and written; then the keys of the giving nodes are ranked, and
-    the moves are looked up by arithmetic, without another shuffle.
+    ``placed`` is read three times, so hand in a written table (``materialise``)
+    when it comes from a large scan. What depends on nodes and shards only is worked
+    out first and written; then the keys of the giving nodes alone are ranked,
+    and the moves are looked up by arithmetic, without another shuffle.
     """
     if max_moves is not None and max_moves < 0:
         raise ValueError(f"max_moves must not be negative, got {max_moves}")
-    facts = materialise(_shard_facts(placed), folder)
-    held = facts.groupBy(*NODE).agg(F.sum("dist_value_count").alias("held"))
+    shards = materialise(placed_per_shard(placed), folder)
+    held = shards.groupBy(*NODE).agg(F.sum("dist_value_count").alias("held"))
     if nodes is not None:
         primary = nodes.filter(F.col("noderole") == "primary").select(*NODE).distinct()
         held = primary.join(held, NODE, "left").select(
@@ -118,11 +118,14 @@ def rebalance_plan(
 
     # Keys of giving nodes, in the order in which their node lets go of them.
     givers = gives.select(*NODE).distinct()
+    by = [*NODE, "shardid"]
+    ends = _last_two(placed.join(givers, NODE, "left_semi"))
+    # Written, so that both sides of the next join are plain tables: it is then
+    # broadcast if small, and otherwise AQE can split a shard with many keys.
+    facts = materialise(shards.join(ends, by), folder)
     shared = F.col("dist_value_count") > 1
     is_last = shared & (F.col("key_text") == F.col("last_text"))
-    keys = placed.join(facts.join(givers, NODE), [*NODE, "shardid"]).withColumn(
-        "key_text", F.col("dist_value").cast("string")
-    )
+    keys = placed.join(facts, by).withColumn("key_text", F.col("dist_value").cast("string"))
     keys = keys.select(
         *NODE,
         "shardid",

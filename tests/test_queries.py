@@ -31,8 +31,12 @@ KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "D
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_matches_sql(spark, duck, name):
+def test_matches_sql(spark, duck, name, capsys):
     got = QUERIES[name](spark, SF)
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "Python" not in plan
     want = duck.sql(ORACLE[name])
     assert sorted(got.columns) == sorted(want.columns)
     types = dict(zip(want.columns, map(str, want.types)))
