@@ -57,6 +57,7 @@ class Cluster:
     def locate_key(self, table: str, column: str, value: Any) -> DataFrame:
         """Node and shard that own a key; the value is cast to the key's type
         when the table is known here, and the table is not read."""
+        placement.resolve_distribution(self.distribution, table, column)
         known = self.tables.get(table)
         kind = None if known is None else placement.key_type(known, column)
         return placement.locate_key(

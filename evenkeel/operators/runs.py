@@ -102,13 +102,14 @@ def write_summary(summary: DataFrame, path: str, append: bool = False) -> None:
     """Store a summary as Parquet, one folder per variant. A new run of the
     benchmarks replaces the old summary; ``append`` adds to it."""
     # The hint lets AQE split a variant with many lines over several tasks.
-    spread = summary.hint("rebalance", "variant")
+    spread = summary.hint("rebalance", "variant").sortWithinPartitions("variant", "iteration")
     spread.write.mode("append" if append else "overwrite").partitionBy("variant").parquet(path)
 
 
 def write_summary_text(summary: DataFrame, path: str, append: bool = False) -> None:
     """The same as plain result lines."""
-    lines = summary.select("variant", "value").hint("rebalance", "variant")
+    spread = summary.hint("rebalance", "variant").sortWithinPartitions("variant", "iteration")
+    lines = spread.select("variant", "value")
     lines.write.mode("append" if append else "overwrite").partitionBy("variant").text(path)
 
 

@@ -21,6 +21,7 @@ def analyze_tables(tables: dict[str, DataFrame], exact: bool = True) -> DataFram
     counts each column is read once more, by itself, and the values of all
     columns share one shuffle after repeats have been dropped in each task.
     With ``exact=False`` the counts are estimated within the first pass.
+    Columns of nested types are left out.
     """
     columns = {name: [f for f in t.schema if _atomic(f)] for name, t in tables.items()}
     stats = _union([_one_pass(name, t, columns[name], exact) for name, t in tables.items()])

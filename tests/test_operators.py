@@ -30,7 +30,7 @@ from evenkeel.operators.placement import (
 )
 from evenkeel.operators.sizes import shard_size, top_relations
 from evenkeel.operators.stats import analyze_tables
-from evenkeel.sources import file_relations, materialise, shared_folder
+from evenkeel.sources import catalog_relations, file_relations, materialise, shared_folder
 
 SF = "/root/testdata/sf0.01"
 
@@ -264,6 +264,35 @@ def test_inventory_of_files(spark, tmp_path):
     assert [(r.schema, r.name, r.kind) for r in found] == [("mine", "nation", "p")]
 
 
+def test_inventory_of_the_catalog(spark):
+    spark.sql("CREATE DATABASE inventory_db")
+    nation = layout.table(spark, SF, "nation")
+    nation.write.saveAsTable("inventory_db.tpch_plain")
+    nation.write.partitionBy("n_regionkey").saveAsTable("inventory_db.tpch_parts")
+    spark.sql("CREATE VIEW inventory_db.tpcc_view AS SELECT 1 AS x")
+    spark.sql("CREATE FUNCTION inventory_db.slev_one() RETURNS INT RETURN 1")
+    nation.createOrReplaceTempView("tpcc_temporary")
+    try:
+        found = catalog_relations(spark, "inventory_db")
+        kinds = {r.name: (r.schema, r.kind, r.bytes) for r in found.collect()}
+        assert kinds == {
+            "tpch_plain": ("inventory_db", "r", None),
+            "tpch_parts": ("inventory_db", "p", None),
+            "tpcc_view": ("inventory_db", "v", None),
+            "slev_one": ("inventory_db", "f", None),
+        }
+        assert len(list(inv.run_statements(inv.statements(found, schema="inventory_db")))) == 2
+        found = catalog_relations(spark, "inventory_db")
+        top = top_relations(found, schema="inventory_db").collect()
+        assert {r.table_name for r in top} == {"tpch_plain", "tpch_parts"}
+        assert all(r.bytes > 0 for r in top)
+        for kind, patterns in [("v", inv.VIEW_PATTERNS), ("f", inv.FUNCTION_PATTERNS)]:
+            assert inv.match_relations(found, kind, patterns, "inventory_db").count() == 1
+    finally:
+        spark.catalog.dropTempView("tpcc_temporary")
+        spark.sql("DROP DATABASE inventory_db CASCADE")
+
+
 # -- inventory
 
 
