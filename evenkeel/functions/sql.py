@@ -64,11 +64,12 @@ def register_key_functions(
     """Create ``<name>_keys_per_shard()``, ``<name>_keys_per_node()`` and
     ``<name>_locate_key(value)`` for one distributed table. All arguments that
     name tables are tables or views of the session."""
-    owners = f"""(SELECT DISTINCT p.shardid, n.nodename, n.nodeport
+    owners = f"""(SELECT p.shardid, n.nodename, n.nodeport
                   FROM {placements} p JOIN {nodes} n ON n.groupid = p.groupid
                   WHERE n.noderole = 'primary')"""
-    counts = f"""(SELECT {shard_base} + shard_of(CAST(k AS STRING), {n_shards}) AS shardid,
-                         count(*) AS dist_value_count
+    # Never NULL, so that the join puts no test of the hash on the scan.
+    shard = f"coalesce({shard_base} + shard_of(CAST(k AS STRING), {n_shards}), -1L)"
+    counts = f"""(SELECT {shard} AS shardid, count(*) AS dist_value_count
                   FROM (SELECT DISTINCT {key} AS k FROM {table} WHERE {key} IS NOT NULL)
                   GROUP BY 1)"""
     spark.sql(f"""

@@ -238,6 +238,8 @@ def test_key_functions_in_sql(spark):
     per_shard = spark.sql("SELECT * FROM orders_keys_per_shard() ORDER BY 1, 2, 3")
     d = layout.dist_of("orders")
     assert per_shard.collect() == keys_per_shard(orders, d, where, who).collect()
+    plan = plan_of(per_shard)
+    assert "md5" not in plan[plan.index("FileScan parquet") - 200 :]
     per_node = spark.sql("SELECT * FROM orders_keys_per_node() ORDER BY 1, 2")
     assert per_node.collect() == keys_per_node(orders, d, where, who).collect()
     home = spark.sql("SELECT * FROM orders_locate_key('1005')").head()
