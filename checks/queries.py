@@ -101,7 +101,7 @@ def q_to_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_balance_status(spark: SparkSession, sf: str) -> DataFrame:
-    return rebalance.balance_status(placement.placed_per_node(_placed(spark, sf)))
+    return rebalance.balance_status(_per(placement.keys_per_node, "orders")(spark, sf))
 
 
 def _candidates(k: int) -> Query:
