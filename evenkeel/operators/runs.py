@@ -29,7 +29,7 @@ def _labels() -> list[Column]:
     return [
         part(1).alias("benchmark"),
         part(2).alias("variant"),
-        part(3).cast("int").alias("iteration"),
+        part(3).try_cast("int").alias("iteration"),
     ]
 
 
@@ -42,14 +42,14 @@ def label_runs(logs: DataFrame) -> DataFrame:
 
 def parse_results(lines: DataFrame) -> DataFrame:
     """Adds (vuser, nopm, tpm, system) of a result line; all NULL, and the line
-    kept, when it does not have the shape."""
+    kept, when it does not have the shape. A number too large is NULL too."""
     fits = F.col("value").rlike(RESULT_SHAPE)
     part = lambda i: F.when(fits, F.regexp_extract("value", RESULT_SHAPE, i))
     return lines.select(
         *lines.columns,
-        part(1).cast("long").alias("vuser"),
-        part(2).cast("long").alias("nopm"),
-        part(3).cast("long").alias("tpm"),
+        part(1).try_cast("long").alias("vuser"),
+        part(2).try_cast("long").alias("nopm"),
+        part(3).try_cast("long").alias("tpm"),
         part(4).alias("system"),
     )
 

@@ -81,6 +81,15 @@ def test_mark_is_plain_text(spark):
     assert parse_results(result_lines(lines)).head().nopm is None
 
 
+def test_numbers_too_large_are_null(spark):
+    logs = spark.createDataFrame(
+        [("tpcc.PG-17.99999999999.log", LINE.format(10**30, 7))], "file_name string, value string"
+    )
+    row = run_summary(logs).head()
+    assert (row.variant, row.iteration, row.nopm, row.tpm) == ("PG-17", None, None, 7)
+    assert label_runs(logs).filter("iteration = 1").count() == 0
+
+
 def test_summary_is_replaced_or_grows(spark, logs, tmp_path):
     summary = run_summary(read_logs(spark, str(logs)))
     path = str(tmp_path / "summary")
