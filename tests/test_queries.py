@@ -8,10 +8,10 @@ import pytest
 
 import __spark_entry__ as entry_points
 from checks import layout
+from checks.oracle import ORACLE
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
 
 
 def _plain(value):
@@ -48,6 +48,8 @@ def test_matches_sql(spark, duck, name, capsys):
 
 def test_each_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
 
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
