@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substrings
+from . import lines, quality, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.rlz_spans(table(spark, sf_dir, "documents"), min_words=13))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 #: Words of each document, numbered.
@@ -45,4 +55,58 @@ KEPT AS (
 )
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM documents d LEFT JOIN KEPT k ON k.doc_id = d.doc_id""",
+    "op3_quality_rules": r"""
+WITH D AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+),
+WORDS AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM D),
+W3 AS (
+  SELECT r, pos, count(*) OVER (PARTITION BY r, word, b, c) AS n
+  FROM (SELECT r, pos, word, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM WORDS WINDOW o AS (PARTITION BY r ORDER BY pos))
+  WHERE c IS NOT NULL
+),
+REP AS (SELECT r, count(DISTINCT pos + k) AS n_repeat_words FROM W3, (SELECT unnest(range(3)) AS k) WHERE n > 1 GROUP BY r),
+M AS (
+  SELECT doc_id, lang, len(w) AS n_words, coalesce(length(array_to_string(w, '')), 0) AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words,
+         len(list_filter(w, lambda x: x IN ('auf', 'das', 'dem', 'den', 'der', 'des', 'die', 'ein', 'eine', 'für', 'im', 'in', 'ist', 'mit', 'nicht',
+           'sich', 'und', 'von', 'zu', 'a', 'and', 'as', 'at', 'be', 'by', 'for', 'from', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to',
+           'was', 'with', 'con', 'de', 'del', 'el', 'en', 'la', 'las', 'los', 'no', 'para', 'por', 'que', 'se', 'su', 'un', 'una', 'y', 'dans', 'du',
+           'elle', 'est', 'et', 'le', 'les', 'pas', 'pour', 'qui', 'sur', 'une'))) AS n_stop_words
+  FROM D LEFT JOIN REP ON REP.r = D.r
+),
+F AS (
+  SELECT *, list_filter([
+    CASE WHEN n_words < 50 THEN 'few_words' END,
+    CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 'repeated_words' END,
+    CASE WHEN 100 * word_chars < 250 * n_words THEN 'short_words' END,
+    CASE WHEN 100 * word_chars > 1200 * n_words THEN 'long_words' END,
+    CASE WHEN 100 * n_symbols > 10 * n_words THEN 'symbols' END,
+    CASE WHEN 100 * n_dup_lines > 40 * n_lines THEN 'repeated_lines' END,
+    CASE WHEN 100 * n_stop_words < 2 * n_words AND (lang IS NULL OR lang IN ('de', 'en', 'es', 'fr')) THEN 'stop_words' END
+  ], lambda x: x IS NOT NULL) AS f
+  FROM M
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, len(f) = 0 AS kept, n_lines, n_stop_words,
+       coalesce(array_to_string(f, ','), '') AS failed
+FROM F""",
+    "op8_line_dedup": r"""
+WITH L AS (
+  SELECT r, doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS pos
+  FROM (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+),
+BAD AS (SELECT line FROM L WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 8),
+C AS (
+  SELECT r, doc_id, count(*) FILTER (regexp_matches(L.line, '[^\x20\x09-\x0D]')) AS n_lines, count(BAD.line) AS gone,
+         string_agg(L.line, chr(10) ORDER BY pos) AS whole, string_agg(L.line, chr(10) ORDER BY pos) FILTER (BAD.line IS NULL) AS kept
+  FROM L LEFT JOIN BAD ON BAD.line = L.line GROUP BY r, doc_id
+)
+SELECT doc_id, n_lines, CASE WHEN gone > 0.5 * n_lines THEN 0 ELSE gone END AS n_removed,
+       sha256(CASE WHEN gone > 0.5 * n_lines THEN whole ELSE coalesce(kept, '') END) AS kept_sha256
+FROM C""",
 }
