@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, quality, substrings
+from . import jaccard, lines, quality, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=80)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_jaccard_join": op4_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
 }
 
@@ -109,4 +114,21 @@ C AS (
 SELECT doc_id, n_lines, CASE WHEN gone > 0.5 * n_lines THEN 0 ELSE gone END AS n_removed,
        sha256(CASE WHEN gone > 0.5 * n_lines THEN whole ELSE coalesce(kept, '') END) AS kept_sha256
 FROM C""",
+    "op4_jaccard_join": r"""
+WITH RECURSIVE W AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+S AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g
+  FROM W
+),
+N AS (SELECT doc_id, count(*) AS n FROM S GROUP BY doc_id),
+P AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM S x JOIN S y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+L AS (SELECT a, b FROM P JOIN N na ON na.doc_id = a JOIN N nb ON nb.doc_id = b WHERE 100 * o >= 80 * (na.n + nb.n - o)),
+R AS (SELECT a AS doc_id, a AS c FROM L UNION SELECT L.b, R.c FROM R JOIN L ON L.a = R.doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r.c, d.doc_id) AS component_id, coalesce(k.k, d.doc_id) AS class_id
+FROM documents d LEFT JOIN N ON N.doc_id = d.doc_id
+LEFT JOIN (SELECT doc_id, min(c) AS c FROM R GROUP BY doc_id) r ON r.doc_id = d.doc_id
+LEFT JOIN (SELECT a, least(a, min(b)) AS k FROM P JOIN N na ON na.doc_id = a JOIN N nb ON nb.doc_id = b WHERE o = na.n AND o = nb.n GROUP BY a) k ON k.a = d.doc_id""",
 }
