@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lines, quality, substrings
+from evenkeel.sources import shared_folder
+
+from . import jaccard, lines, packing, quality, simple8b, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +20,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(substrings.rlz_spans(table(spark, sf_dir, "documents"), min_words=13))
 
 
+def op2_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/simple8b-{uuid.uuid4().hex}"
+    simple8b.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    return simple8b.digest(simple8b.read_ids(spark, path))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
@@ -27,11 +38,18 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.digest(packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_simple8b": op2_simple8b,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op8_line_dedup": op8_line_dedup,
+    "op9_packing": op9_packing,
 }
 
 #: Words of each document, numbered.
