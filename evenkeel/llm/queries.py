@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.sources import shared_folder
 
-from . import jaccard, lines, packing, quality, simple8b, substrings
+from . import jaccard, lines, packing, quality, secrets, sharding, simple8b, substrings
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=80)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ledger = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    return secrets.digest(table(spark, sf_dir, "documents"), ledger)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
@@ -43,13 +48,23 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048))
 
 
+#: Bytes of a shard: small enough that small tables split as well.
+SHARD_BYTES = 1 << 20
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simple8b": op2_simple8b,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
+    "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
+    "op10_sharding": op10_sharding,
 }
 
 #: Words of each document, numbered.
@@ -149,4 +164,17 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(r.c, d.doc_id) AS compon
 FROM documents d LEFT JOIN N ON N.doc_id = d.doc_id
 LEFT JOIN (SELECT doc_id, min(c) AS c FROM R GROUP BY doc_id) r ON r.doc_id = d.doc_id
 LEFT JOIN (SELECT a, least(a, min(b)) AS k FROM P JOIN N na ON na.doc_id = a JOIN N nb ON nb.doc_id = b WHERE o = na.n AND o = nb.n GROUP BY a) k ON k.a = d.doc_id""",
+    "op10_sharding": f"""
+WITH B AS (
+  SELECT doc_id, coalesce(strlen(text), 0) AS bytes,
+         right(bin(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15))::BIGINT)::VARCHAR, 60) AS raw
+  FROM documents
+),
+D AS (SELECT doc_id, bytes, lpad(raw, 60, '0') AS bits FROM B),
+N AS (
+  SELECT doc_id, bytes, bits, depth, sum(bytes) OVER (PARTITION BY depth, substr(bits, 1, depth)) AS total
+  FROM D, (SELECT unnest(range(61)) AS depth)
+),
+P AS (SELECT doc_id, any_value(bytes) AS bytes, any_value(bits) AS bits, min(depth) AS depth FROM N WHERE total <= {SHARD_BYTES} GROUP BY doc_id)
+SELECT doc_id, bytes, substr(bits, 1, depth) AS shard, CAST(depth AS INTEGER) AS depth, false AS oversized FROM P""",
 }
