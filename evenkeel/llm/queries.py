@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.sources import shared_folder
 
-from . import jaccard, lines, packing, quality, secrets, sharding, simple8b, substrings
+from . import jaccard, lines, packing, quality, secrets, sharding, simple8b, substrings, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), words=5, percent=80)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     return secrets.digest(table(spark, sf_dir, "documents"), ledger)
@@ -61,6 +65,7 @@ QUERIES = {
     "op2_simple8b": op2_simple8b,
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_decontamination": op5_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
@@ -177,4 +182,47 @@ N AS (
 ),
 P AS (SELECT doc_id, any_value(bytes) AS bytes, any_value(bits) AS bits, min(depth) AS depth FROM N WHERE total <= {SHARD_BYTES} GROUP BY doc_id)
 SELECT doc_id, bytes, substr(bits, 1, depth) AS shard, CAST(depth AS INTEGER) AS depth, false AS oversized FROM P""",
+    "op5_decontamination": r"""
+WITH T AS (
+  SELECT 'd' AS side, doc_id AS id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.,:/''’-][\p{L}\p{N}]+)*[.!?]*') AS t FROM documents
+  UNION ALL
+  SELECT 'b', item_id, regexp_extract_all(text, '[\p{L}\p{N}]+(?:[.,:/''’-][\p{L}\p{N}]+)*[.!?]*') FROM benchmark
+),
+V AS (SELECT side, id, unnest(t) AS t, generate_subscripts(t, 1) AS pos FROM T),
+P AS (
+  SELECT side, id, pos, lower(rtrim(t, '.!?')) AS v, t, lag(t) OVER (PARTITION BY side, id ORDER BY pos) AS before FROM V
+),
+K AS (
+  SELECT side, id, pos, v,
+    CASE WHEN regexp_matches(v, '^\p{N}') OR v IN ('two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine', 'ten', 'eleven', 'twelve', 'twenty',
+           'thirty', 'forty', 'fifty', 'hundred', 'thousand', 'million') THEN '#n'
+         WHEN v IN ('cm', 'dm', 'feet', 'foot', 'gallons', 'grams', 'hectares', 'hours', 'inches', 'joules', 'kg', 'kilograms', 'kilometers', 'kilometres',
+           'km', 'kmh', 'kph', 'kwh', 'liters', 'litres', 'mb', 'gb', 'tb', 'meters', 'metres', 'miles', 'millimeters', 'minutes', 'mm', 'mph', 'newtons',
+           'ounces', 'percent', 'pounds', 'seconds', 'tons', 'tonnes', 'volts', 'watts', 'weeks', 'yards', 'years', 'cents', 'dollars', 'euros', 'pence') THEN '#u'
+         WHEN regexp_matches(t, '^\p{Lu}') AND before IS NOT NULL AND NOT regexp_matches(before, '[.!?]$') THEN '#p'
+         ELSE v END AS k
+  FROM P
+),
+W AS (
+  SELECT side, id, pos, list(k) OVER o AS ks, list(v) OVER o AS vs FROM K WINDOW o AS (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+),
+I AS (SELECT id, pos, ks, vs FROM W WHERE side = 'b' AND len(ks) = 8 AND len(list_filter(ks, lambda x: x NOT IN ('#n', '#u', '#p'))) >= 4),
+TOTAL AS (SELECT id, count(*) AS total FROM I GROUP BY id),
+MET AS (SELECT w.id AS doc_id, i.id AS item_id, w.pos - i.pos AS shift, i.pos AS item_at, i.ks, i.vs AS asked, w.vs AS given FROM I i JOIN W w ON w.side = 'd' AND w.ks = i.ks),
+C AS (SELECT doc_id, item_id, shift, count(DISTINCT item_at) AS n_windows FROM MET GROUP BY ALL),
+S AS (
+  SELECT doc_id, item_id, shift, a, min(g) AS low, max(g) AS high
+  FROM (SELECT doc_id, item_id, shift, unnest(ks) AS k, unnest(asked) AS a, unnest(given) AS g FROM MET) WHERE k IN ('#n', '#u', '#p') GROUP BY ALL
+),
+Q AS (
+  SELECT doc_id, item_id, shift, count(*) AS n_slots, count(*) FILTER (low <> high) AS n_mixed, count(*) FILTER (low <> a OR high <> a) AS n_changed FROM S GROUP BY ALL
+),
+F AS (
+  SELECT C.doc_id, C.item_id, C.shift, n_windows, coalesce(n_slots, 0) AS n_slots, coalesce(n_mixed, 0) AS n_mixed, coalesce(n_changed, 0) AS n_changed, total
+  FROM C LEFT JOIN Q ON Q.doc_id = C.doc_id AND Q.item_id = C.item_id AND Q.shift = C.shift JOIN TOTAL ON TOTAL.id = C.item_id
+)
+SELECT doc_id, item_id, n_windows, n_slots, n_changed
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_changed, shift) AS r FROM F
+      WHERE 100 * n_windows >= 30 * total AND 100 * (n_slots - n_mixed) >= 80 * n_slots)
+WHERE r = 1""",
 }
