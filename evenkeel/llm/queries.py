@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.sources import shared_folder
 
-from . import jaccard, lines, packing, quality, secrets, sharding, simple8b, substrings, templates
+from . import jaccard, licenses, lines, packing, quality, secrets, sharding, simple8b, substrings, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.license_spans(table(spark, sf_dir, "documents")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     return secrets.digest(table(spark, sf_dir, "documents"), ledger)
@@ -66,6 +70,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_decontamination": op5_decontamination,
+    "op6_license_scan": op6_license_scan,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
