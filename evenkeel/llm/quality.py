@@ -120,8 +120,13 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, .
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, lang: str | None = "lang") -> DataFrame:
-    """The rows of ``docs`` that break no rule, as they were."""
-    return judged(docs, rules, base, lang).where("kept").select(f"{_DOC}.*")
+    """The rows of ``docs`` that break no rule, as they were.
+
+    A row is dropped by an outer generator: Spark would push a plain filter on ``kept`` below the projections and
+    so compute the words of a text once per word.
+    """
+    row = F.explode_outer(F.when(F.col("kept"), F.array(_DOC))).alias(_DOC)
+    return judged(docs, rules, base, lang).select(row).where(F.col(_DOC).isNotNull()).select(f"{_DOC}.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
