@@ -131,8 +131,8 @@ def _moves(name: str, max_moves: int | None = None) -> str:
 LAST_SHARD = max(t[2] for t in layout.TABLES.values()) + N - 1
 
 
-def _moved(name: str) -> str:
-    return f"""{_moves(name)},
+def _moved(name: str, max_moves: int | None = None) -> str:
+    return f"""{_moves(name, max_moves)},
         after_moves AS (
             SELECT coalesce(target_node, nodename) AS nodename,
                    coalesce(target_port, nodeport) AS nodeport,
@@ -251,7 +251,7 @@ def _labelled(source: str) -> str:
     return f"""
         SELECT regexp_extract(file_name, '{_RUN_NAME}', 1) AS benchmark,
                regexp_extract(file_name, '{_RUN_NAME}', 2) AS variant,
-               regexp_extract(file_name, '{_RUN_NAME}', 3)::INTEGER AS iteration, *
+               regexp_extract(file_name, '{_RUN_NAME}', 3)::BIGINT AS iteration, *
         FROM ({source}) WHERE regexp_matches(file_name, '{_RUN_NAME}')"""
 
 
@@ -267,7 +267,7 @@ def _parsed(source: str) -> str:
 _RESULTS = "SELECT * FROM ({}) WHERE contains(value, 'TEST RESULT :')"
 
 _MISSING = """
-    SELECT 'tpcc' AS benchmark, 'PG-17.2-ext' AS variant, user_id::INTEGER AS iteration
+    SELECT 'tpcc' AS benchmark, 'PG-17.2-ext' AS variant, user_id::BIGINT AS iteration
     FROM events GROUP BY user_id
     HAVING count(*) FILTER (event_type = 'purchase' AND value > 300) = 0"""
 
@@ -281,6 +281,29 @@ _THROUGHPUT = """
 
 _ORDERS_BASE = layout.TABLES["orders"][2]
 
+_moved_100 = _moved("orders", 100)
+
+# An isolated key is at its own shard, others at the shard of their hash, which may have moved as a whole.
+_LOCATED_AFTER = f"""{_moves("orders", 50)}
+    SELECT c_custkey, coalesce(m.target_node, w.target_node, 'worker-' || {_group("b")}) AS nodename,
+           coalesce(m.target_port, w.target_port, 5432)::INTEGER AS nodeport, 'orders' AS table_name,
+           'orders_' || s AS shard_table_name, s AS shard_id
+    FROM (SELECT c_custkey, {_bucket("c_custkey")} AS b FROM customer)
+    LEFT JOIN moves m ON m.dist_value = c_custkey
+    LEFT JOIN moves w ON NOT w.needs_isolation AND w.shardid = {_ORDERS_BASE} + b,
+    LATERAL (SELECT CASE WHEN m.needs_isolation THEN {LAST_SHARD} + m.move_no
+                         ELSE {_ORDERS_BASE} + b END AS s)"""
+
+_COLOCATED = f"""{_moves("orders")},
+    own AS ({_placed("customer")})
+    SELECT coalesce(m.target_node, w.target_node, own.nodename) AS nodename,
+           coalesce(m.target_port, w.target_port, own.nodeport) AS nodeport,
+           CASE WHEN m.move_no IS NOT NULL THEN {LAST_SHARD} + m.move_no ELSE own.shardid END AS shardid,
+           own.dist_value
+    FROM own LEFT JOIN moves m ON m.needs_isolation AND m.dist_value = own.dist_value
+    LEFT JOIN moves w ON NOT w.needs_isolation
+         AND w.shardid - {_ORDERS_BASE} = own.shardid - {layout.TABLES["customer"][2]}"""
+
 ORACLE: dict[str, str] = {
     "shard_of": f"SELECT o_orderkey, o_custkey, {_bucket('o_custkey')} AS bucket FROM orders",
     "place_keys": _placed("orders"),
@@ -330,19 +353,41 @@ ORACLE: dict[str, str] = {
     "rebalance_plan_limited": f"{_moves('orders', 50)} SELECT * FROM moves",
     "rebalance_plan_documents": f"{_moves('documents')} SELECT * FROM moves",
     "apply_plan": f"{_moved('orders')} SELECT * FROM after_moves",
+    "apply_plan_twice": f"""{_moved_100}
+        SELECT nodename, nodeport, dist_value,
+               count(*) OVER (PARTITION BY shardid) = 1 AS alone FROM after_moves""",
+    "keys_per_shard_after_rebalance": f"""{_moved('orders')}
+        SELECT nodename, nodeport, shardid, count(*) AS dist_value_count
+        FROM after_moves GROUP BY nodename, nodeport, shardid""",
+    "locate_keys_after_rebalance": _LOCATED_AFTER,
+    "locate_keys_typed": f"""
+        SELECT c_custkey, {_located(_bucket("c_custkey"), _ORDERS_BASE, "orders")}
+        FROM customer, (SELECT unnest([1, 2]))""",
+    "apply_plan_colocated": _COLOCATED,
     "balance_report_shards": f"{_moved('orders')} {_report('nodename, nodeport, shardid')}",
     "balance_report_nodes": f"{_moved('orders')} {_report('nodename, nodeport')}",
     "size_report": _size_report(),
     "relayout": f"""{_moved("documents")}
         SELECT nodename, nodeport, shardid, count(*) AS n_rows, sum(n_chars)::BIGINT AS n_chars
         FROM documents JOIN after_moves ON doc_id = dist_value GROUP BY ALL""",
+    "relayout_files": f"""
+        SELECT DISTINCT nodename, nodeport, NULL::BIGINT AS shardid, 'documents' AS table_name,
+               true AS stored FROM ({_placed("documents")})""",
     "colocated_tables": f"""
         SELECT table_name, sum(shard_size)::BIGINT AS bytes
         FROM ({_shard_stats()}) WHERE colocation_id = 3 GROUP BY table_name""",
-    "session_context": f"""
-        SELECT 'default' AS db, 'default' AS schema,
-               (SELECT count(*) FROM ({_relations()})) AS n_relations""",
     "analyze_tables": _analyze(),
+    "analyze_nested": """
+        SELECT 'embeddings' AS table_name, 'vec_id' AS column_name, count(*) AS rows,
+               count(*) - count(vec_id) AS nulls, count(DISTINCT vec_id) AS distinct_values,
+               min(vec_id)::VARCHAR AS min_value, max(vec_id)::VARCHAR AS max_value,
+               8.0::DOUBLE AS avg_width FROM embeddings
+        UNION ALL
+        SELECT 'embeddings', 'label', count(*), count(*) - count(label), count(DISTINCT label),
+               min(label)::VARCHAR, max(label)::VARCHAR, 4.0::DOUBLE FROM embeddings
+        UNION ALL
+        SELECT 'embeddings', 'embedding', count(*), count(*) - count(embedding), NULL, NULL, NULL,
+               NULL FROM embeddings""",
     "top_relations": f"""
         SELECT schema, name AS table_name, bytes, {_pretty("bytes")} AS total_size
         FROM ({_relations()}) WHERE schema = 'public' AND kind IN ('r', 'p')
@@ -375,5 +420,19 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT variant, benchmark || '.summary.' || variant || '.log' FROM r""",
     "missing_results": _MISSING,
+    "missing_iterations": f"""
+        WITH seen AS ({_labelled(_run_log())}),
+        has AS (SELECT DISTINCT benchmark, variant, iteration FROM seen
+                WHERE contains(value, 'TEST RESULT :'))
+        SELECT * FROM (
+            SELECT DISTINCT benchmark, variant, i AS iteration
+            FROM seen, (SELECT unnest(range(1, 8)) AS i)
+            UNION SELECT DISTINCT benchmark, variant, iteration FROM seen)
+        EXCEPT SELECT * FROM has""",
+    "stored_summaries": f"""
+        SELECT benchmark, variant, count(*) * if(variant = 'PG-17.0', 2, 1) AS n,
+               (sum(nopm) * if(variant = 'PG-17.0', 2, 1))::BIGINT AS nopm
+        FROM ({_parsed(_RESULTS.format(_labelled(_run_log())))})
+        WHERE variant IN ('PG-17.0', 'PG-17.1') GROUP BY benchmark, variant""",
     "throughput": _THROUGHPUT,
 }

@@ -13,7 +13,7 @@ from checks import layout
 from evenkeel.functions import shard_of, size_pretty, to_blocks
 from evenkeel.operators import inventory, placement, runs, sizes, stats
 from evenkeel.plans import rebalance
-from evenkeel.sources import materialise, shared_folder
+from evenkeel.sources import file_shard_stats, materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,7 +27,7 @@ def _placed(spark: SparkSession, sf: str, name: str = "orders") -> DataFrame:
 
 def _moved(spark: SparkSession, sf: str, name: str = "orders") -> tuple[DataFrame, DataFrame]:
     before = materialise(_placed(spark, sf, name))
-    plan = rebalance.rebalance_plan(before)
+    plan = materialise(rebalance.rebalance_plan(before))
     return before, rebalance.apply_plan(before, plan, layout.placements(spark))
 
 
@@ -119,6 +119,60 @@ def q_apply_plan(spark: SparkSession, sf: str) -> DataFrame:
     return _moved(spark, sf)[1]
 
 
+def _applied(spark: SparkSession, sf: str, moves: int | None) -> rebalance.Applied:
+    before = materialise(_placed(spark, sf))
+    plan = materialise(rebalance.rebalance_plan(before, moves))
+    return rebalance.apply_moves(before, plan, layout.placements(spark), layout.nodes(spark))
+
+
+def q_apply_plan_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of 50 moves: where each key is, and whether it has a shard to itself."""
+    one = _applied(spark, sf, 50)
+    plan = materialise(rebalance.rebalance_plan(one.placed, 50))
+    two = rebalance.apply_moves(one.placed, plan, one.placements, layout.nodes(spark), one.isolated)
+    shards = two.placed.groupBy("nodename", "nodeport", "shardid").agg(F.count(F.lit(1)).alias("n"))
+    return two.placed.join(shards, ["nodename", "nodeport", "shardid"]).select(
+        "nodename", "nodeport", "dist_value", (F.col("n") == 1).alias("alone")
+    )
+
+
+def q_keys_per_shard_after_rebalance(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts from the table itself, with the metadata of a rebalance."""
+    done = _applied(spark, sf, None)
+    return placement.keys_per_shard(
+        layout.table(spark, sf, "orders"), layout.dist_of("orders"), done.placements,
+        layout.nodes(spark), done.isolated,
+    )
+
+
+def q_locate_keys_after_rebalance(spark: SparkSession, sf: str) -> DataFrame:
+    done = _applied(spark, sf, 50)
+    keys = layout.table(spark, sf, "customer").select("c_custkey")
+    return placement.locate_keys(
+        keys, "c_custkey", layout.distribution(spark), done.placements, layout.nodes(spark),
+        "orders", isolated=done.isolated,
+    )
+
+
+def q_locate_keys_typed(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys given as padded text and as floating-point numbers."""
+    customers = layout.table(spark, sf, "customer")
+    text = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    meta = layout.distribution(spark), layout.placements(spark), layout.nodes(spark), "orders"
+    as_text = placement.locate_keys(customers.select("c_custkey", text.alias("key")), "key", *meta, "bigint")
+    number = customers.select("c_custkey", F.col("c_custkey").cast("double").alias("key"))
+    as_number = placement.locate_keys(number, "key", *meta, "bigint")
+    return as_text.drop("key").unionByName(as_number.drop("key"))
+
+
+def q_apply_plan_colocated(spark: SparkSession, sf: str) -> DataFrame:
+    """The customers after the plan for their orders."""
+    orders, customers = (materialise(_placed(spark, sf, n)) for n in ("orders", "customer"))
+    plan = materialise(rebalance.rebalance_plan(orders))
+    dists = layout.dist_of("orders"), layout.dist_of("customer")
+    return rebalance.follow_plan(customers, plan, *dists, layout.placements(spark))
+
+
 def _report(per: str) -> Query:
     return lambda spark, sf: rebalance.balance_report(*_moved(spark, sf), per)
 
@@ -143,6 +197,14 @@ def q_relayout(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_relayout_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The folders of a stored layout, from its files alone."""
+    path = f"{shared_folder(spark)}/evenkeel/{uuid.uuid4().hex}"
+    rebalance.relayout(layout.table(spark, sf, "documents"), "doc_id", _placed(spark, sf, "documents"), path)
+    found = file_shard_stats(spark, path, "documents", 13)
+    return found.select("nodename", "nodeport", "shardid", "table_name", (F.col("shard_size") > 0).alias("stored"))
+
+
 def q_colocated_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The tables that share the layout of lineitem, with their bytes."""
     names = placement.colocated_tables(layout.distribution(spark), "lineitem")
@@ -150,18 +212,15 @@ def q_colocated_tables(spark: SparkSession, sf: str) -> DataFrame:
     return stats_of.groupBy("table_name").agg(F.sum("shard_size").alias("bytes"))
 
 
-def q_session_context(spark: SparkSession, sf: str) -> DataFrame:
-    """The session's database and schema beside the inventory that is looked at."""
-    context = inventory.session_context(spark)
-    n = layout.relations(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    return context.withColumn("n_relations", n.scalar())
-
-
 def q_analyze_tables(spark: SparkSession, sf: str) -> DataFrame:
     names = ["orders", "customer", "documents"]
     return stats.analyze_tables({n: layout.table(spark, sf, n) for n in names})
 
 
+def q_analyze_nested(spark: SparkSession, sf: str) -> DataFrame:
+    return stats.analyze_tables({"embeddings": spark.read.parquet(f"{sf}/embeddings.parquet")})
+
+
 def q_top_relations(spark: SparkSession, sf: str) -> DataFrame:
     return sizes.top_relations(layout.relations(spark, sf))
 
@@ -230,6 +289,22 @@ def q_missing_results(spark: SparkSession, sf: str) -> DataFrame:
     return runs.missing_results(logs)
 
 
+def q_missing_iterations(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs that are short of seven per variant."""
+    return runs.missing_results(layout.run_log(spark, sf), iterations=7)
+
+
+def q_stored_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Two variants stored one after the other, one of them again, and the other added to."""
+    path = f"{shared_folder(spark)}/evenkeel/{uuid.uuid4().hex}"
+    summary = runs.run_summary(layout.run_log(spark, sf))
+    first, second = (summary.filter(F.col("variant") == v) for v in ("PG-17.0", "PG-17.1"))
+    for part, append in ((first, False), (second, False), (second, False), (first, True)):
+        runs.write_summary(part, path, append)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("benchmark", "variant").agg(F.count(F.lit(1)).alias("n"), F.sum("nopm").alias("nopm"))
+
+
 def q_throughput(spark: SparkSession, sf: str) -> DataFrame:
     day = 24 * 60
     return runs.throughput(layout.table(spark, sf, "events"), day, 7 * day, "purchase")
@@ -261,13 +336,19 @@ QUERIES: dict[str, Query] = {
     "rebalance_plan_limited": _plan(50, "orders"),
     "rebalance_plan_documents": _plan(None, "documents"),
     "apply_plan": q_apply_plan,
+    "apply_plan_twice": q_apply_plan_twice,
+    "keys_per_shard_after_rebalance": q_keys_per_shard_after_rebalance,
+    "locate_keys_after_rebalance": q_locate_keys_after_rebalance,
+    "locate_keys_typed": q_locate_keys_typed,
+    "apply_plan_colocated": q_apply_plan_colocated,
     "balance_report_shards": _report("shard"),
     "balance_report_nodes": _report("node"),
     "size_report": q_size_report,
     "relayout": q_relayout,
+    "relayout_files": q_relayout_files,
     "colocated_tables": q_colocated_tables,
-    "session_context": q_session_context,
     "analyze_tables": q_analyze_tables,
+    "analyze_nested": q_analyze_nested,
     "top_relations": q_top_relations,
     "statements": q_statements,
     "match_relations_view": _match("v", inventory.VIEW_PATTERNS),
@@ -283,5 +364,7 @@ QUERIES: dict[str, Query] = {
     "run_summary": q_run_summary,
     "summary_listing": q_summary_listing,
     "missing_results": q_missing_results,
+    "missing_iterations": q_missing_iterations,
+    "stored_summaries": q_stored_summaries,
     "throughput": q_throughput,
 }

@@ -17,15 +17,27 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def shard_of(key: Column | str, n_shards: int) -> Column:
+def key_text(key: Column | str, key_type: str | None = None) -> Column:
+    """The text by which a key is hashed and ordered. With its type given, instants count
+    in microseconds whatever the session's time zone, and -0.0 is 0.0."""
+    c = _col(key)
+    if key_type == "timestamp":
+        return F.unix_micros(c).cast("string")
+    if key_type in ("double", "float"):
+        c = c + F.lit(0.0).cast(key_type)
+    return c.cast("string")
+
+
+def shard_of(key: Column | str, n_shards: int, key_type: str | None = None) -> Column:
     """Bucket 0 .. n_shards-1 of a key; NULL for a NULL key.
 
     The first 32 bits of the md5 of the key's text are cut into ``n_shards``
-    equal ranges, so the same key gives the same bucket in any engine.
+    equal ranges, so the same key gives the same bucket in any engine. ``key_type``
+    (see ``key_text``) is needed for instants and floating-point keys.
     """
     if not 1 <= n_shards <= MAX_SHARDS:
         raise ValueError(f"n_shards must lie in 1..{MAX_SHARDS}, got {n_shards}")
-    digest = F.md5(_col(key).cast("string"))
+    digest = F.md5(key_text(key, key_type))
     hashed = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
     return F.shiftright(hashed * F.lit(n_shards).cast("long"), 32)
 

@@ -63,12 +63,23 @@ def register_key_functions(
 ) -> None:
     """Create ``<name>_keys_per_shard()``, ``<name>_keys_per_node()`` and
     ``<name>_locate_key(value)`` for one distributed table. All arguments that
-    name tables are tables or views of the session."""
+    name tables are tables or views of the session. The argument of ``locate_key`` is
+    cast to the key's type, and a value that isn't one of it raises."""
+    columns = dict(spark.table(table).dtypes)
+    if key not in columns:
+        raise ValueError(f"could not determine the data type of column {key}")
+    kind = columns[key]
+
+    def text(k: str) -> str:
+        if kind == "timestamp":
+            return f"CAST(unix_micros({k}) AS STRING)"
+        return f"CAST({k} + CAST(0 AS {kind}) AS STRING)" if kind in ("double", "float") else f"CAST({k} AS STRING)"
+
     owners = f"""(SELECT p.shardid, n.nodename, n.nodeport
                   FROM {placements} p JOIN {nodes} n ON n.groupid = p.groupid
                   WHERE n.noderole = 'primary')"""
     # Never NULL, so that the join puts no test of the hash on the scan.
-    shard = f"coalesce({shard_base} + shard_of(CAST(k AS STRING), {n_shards}), -1L)"
+    shard = f"coalesce({shard_base} + shard_of({text("k")}, {n_shards}), -1L)"
     counts = f"""(SELECT {shard} AS shardid, count(*) AS dist_value_count
                   FROM (SELECT DISTINCT {key} AS k FROM {table} WHERE {key} IS NOT NULL)
                   GROUP BY 1)"""
@@ -89,4 +100,4 @@ def register_key_functions(
                        shard_table_name STRING, shard_id BIGINT)
         RETURN SELECT o.nodename, o.nodeport, '{name}', concat('{name}_', o.shardid), o.shardid
                FROM {owners} o
-               WHERE o.shardid = {shard_base} + shard_of(v, {n_shards})""")
+               WHERE o.shardid = {shard_base} + shard_of({text(f"CAST(v AS {kind})")}, {n_shards})""")

@@ -17,7 +17,7 @@ from Python rows or RDDs) should go through ``materialise`` first.
 from __future__ import annotations
 
 import warnings
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -37,6 +37,7 @@ class Distribution:
     colocation_id: int
     shard_base: int
     shard_count: int
+    key_type: str | None = None
 
     def shard(self, key: Column | str) -> Column:
         """Shard id of a key column, -1 (no shard) for a NULL key.
@@ -44,7 +45,7 @@ class Distribution:
         Never NULL: a join on a nullable shard id would make Catalyst filter
         the scan by ``shard id IS NOT NULL``, and so hash every row of it.
         """
-        shard = shard_of(key, self.shard_count) + F.lit(self.shard_base).cast("long")
+        shard = shard_of(key, self.shard_count, self.key_type) + F.lit(self.shard_base).cast("long")
         return F.coalesce(shard, F.lit(-1).cast("long"))
 
 
@@ -92,6 +93,11 @@ def key_type(t: DataFrame, key: str) -> str:
     return t.schema[key].dataType.simpleString()
 
 
+def typed(dist: Distribution, t: DataFrame) -> Distribution:
+    """``dist`` with the type that its key has in the table."""
+    return replace(dist, key_type=key_type(t, dist.dist_column))
+
+
 def on_primaries(sharded: DataFrame, placements: DataFrame, nodes: DataFrame) -> DataFrame:
     """Adds the primary nodes to rows that have a ``shardid``: two lookups in
     the cluster metadata. Rows without a primary placement drop out."""
@@ -100,50 +106,77 @@ def on_primaries(sharded: DataFrame, placements: DataFrame, nodes: DataFrame) ->
     return placed.join(primary, "groupid").drop("groupid")
 
 
-def sharded_keys(t: DataFrame, dist: Distribution) -> DataFrame:
+def _at_home(keys: DataFrame, key: Column, dist: Distribution, isolated: DataFrame | None) -> DataFrame:
+    """Adds the ``shardid`` of a key: the shard that it was isolated to, or else that of its hash.
+    Without isolated keys there is no join."""
+    if isolated is None:
+        return keys.withColumn("shardid", dist.shard(key))
+    own = isolated.select(F.col("dist_value").alias("_own_key"), F.col("shardid").alias("_own_shard"))
+    joined = keys.withColumn("_hash_shard", dist.shard(key)).join(own, key == own["_own_key"], "left")
+    home = F.coalesce("_own_shard", "_hash_shard").alias("shardid")
+    return joined.select(*(F.col(f"`{c}`") for c in keys.columns), home)
+
+
+def sharded_keys(t: DataFrame, dist: Distribution, isolated: DataFrame | None = None) -> DataFrame:
     """(dist_value, shardid): the distinct keys of a table and their shards.
+    ``isolated`` (dist_value, shardid) has the keys with a shard of their own, as
+    ``apply_moves`` gives them.
 
     The distinct comes first. Its map-side half folds the repeats of a key, hot
     or not, so the shuffle, the hash and all that follows see keys, not rows.
     """
     keys = t.select(t[dist.dist_column].alias("dist_value"))
     keys = keys.filter(F.col("dist_value").isNotNull()).distinct()
-    return keys.withColumn("shardid", dist.shard("dist_value"))
+    return _at_home(keys, keys["dist_value"], typed(dist, t), isolated)
 
 
 def place_keys(
-    t: DataFrame, dist: Distribution, placements: DataFrame, nodes: DataFrame
+    t: DataFrame,
+    dist: Distribution,
+    placements: DataFrame,
+    nodes: DataFrame,
+    isolated: DataFrame | None = None,
 ) -> DataFrame:
     """(nodename, nodeport, shardid, dist_value): each distinct key with the
     primary node that holds its shard. NULL keys and keys whose shard has no
     primary placement drop out."""
-    placed = on_primaries(sharded_keys(t, dist), placements, nodes)
+    placed = on_primaries(sharded_keys(t, dist, isolated), placements, nodes)
     return placed.select(*NODE, "shardid", "dist_value")
 
 
-def keys_per_shard_global(t: DataFrame, dist: Distribution) -> DataFrame:
+def keys_per_shard_global(
+    t: DataFrame, dist: Distribution, isolated: DataFrame | None = None
+) -> DataFrame:
     """(shardid, dist_value_count) from the table alone, without placements."""
-    counts = sharded_keys(t, dist).groupBy("shardid")
+    counts = sharded_keys(t, dist, isolated).groupBy("shardid")
     return counts.agg(F.count(F.lit(1)).alias("dist_value_count"))
 
 
 def keys_per_shard(
-    t: DataFrame, dist: Distribution, placements: DataFrame, nodes: DataFrame
+    t: DataFrame,
+    dist: Distribution,
+    placements: DataFrame,
+    nodes: DataFrame,
+    isolated: DataFrame | None = None,
 ) -> DataFrame:
     """(nodename, nodeport, shardid, dist_value_count), exact, in that order.
 
     Keys are counted per shard before the placements are joined, so the join
     sees one row per shard.
     """
-    counts = on_primaries(keys_per_shard_global(t, dist), placements, nodes)
+    counts = on_primaries(keys_per_shard_global(t, dist, isolated), placements, nodes)
     return counts.select(*NODE, "shardid", "dist_value_count").orderBy(*NODE, "shardid")
 
 
 def keys_per_node(
-    t: DataFrame, dist: Distribution, placements: DataFrame, nodes: DataFrame
+    t: DataFrame,
+    dist: Distribution,
+    placements: DataFrame,
+    nodes: DataFrame,
+    isolated: DataFrame | None = None,
 ) -> DataFrame:
     """(nodename, nodeport, dist_value_count): the shard counts summed per node."""
-    counts = on_primaries(keys_per_shard_global(t, dist), placements, nodes)
+    counts = on_primaries(keys_per_shard_global(t, dist, isolated), placements, nodes)
     sums = counts.groupBy(*NODE).agg(F.sum("dist_value_count").alias("dist_value_count"))
     return sums.orderBy(*NODE)
 
@@ -166,15 +199,21 @@ def locate_key(
     column: str,
     value: Any,
     value_type: str | None = None,
+    isolated: DataFrame | None = None,
 ) -> DataFrame:
     """(nodename, nodeport, table_name, shard_table_name, shard_id) of one key.
 
     Works from metadata alone: the table is not read and need not hold the key.
-    ``value_type`` (see ``key_type``) casts the value to the key column's type.
+    ``value_type`` (see ``key_type``) casts the value to the key column's type; a value
+    that isn't one of it raises. Without it the value has to be of that type.
     """
-    dist = resolve_distribution(distribution, table, column)
+    dist = replace(resolve_distribution(distribution, table, column), key_type=value_type)
     key = F.lit(value) if value_type is None else F.lit(value).cast(value_type)
-    shard = placements.filter(F.col("shardid") == dist.shard(key)).select("shardid").distinct()
+    home = dist.shard(key)
+    if isolated is not None:
+        own = isolated.filter(F.col("dist_value") == key).agg(F.max("shardid")).scalar()
+        home = F.coalesce(own, home)
+    shard = placements.filter(F.col("shardid") == home).select("shardid").distinct()
     return _located(on_primaries(shard, placements, nodes), table).orderBy(*NODE)
 
 
@@ -185,12 +224,33 @@ def locate_keys(
     placements: DataFrame,
     nodes: DataFrame,
     table: str,
+    value_type: str | None = None,
+    isolated: DataFrame | None = None,
 ) -> DataFrame:
     """``locate_key`` for a whole column: each row of ``keys`` with its location
-    columns appended. Lookups in the metadata only, no shuffle of ``keys``."""
-    dist = resolve_distribution(distribution, table)
-    sharded = keys.withColumn("shardid", dist.shard(keys[column]))
-    return _located(on_primaries(sharded, placements, nodes), table, *keys.columns)
+    columns appended, NULL for a NULL key and for one whose shard is nowhere.
+    ``value_type`` casts to the key column's type, and a value that isn't one of it raises;
+    without it the column has to be of that type. Lookups in the metadata only, no shuffle
+    of ``keys`` as long as the metadata is small enough to be sent to all tasks.
+    """
+    kind = value_type or key_type(keys, column)
+    dist = replace(resolve_distribution(distribution, table), key_type=kind)
+    held = keys.withColumn("_key", keys[column].cast(kind))
+    sharded = _at_home(held, F.col("_key"), dist, isolated).drop("_key")
+    primary = nodes.filter(F.col("noderole") == "primary").select("groupid", *NODE)
+    homes = placements.join(primary, "groupid").select(F.col("shardid").alias("_home"), *(F.col(c).alias(f"_{c}") for c in NODE))
+    found = sharded.join(homes, sharded["shardid"] == homes["_home"], "left")
+    return found.select(
+        *(F.col(f"`{c}`") for c in keys.columns),
+        *(F.col(f"_{c}").alias(c) for c in NODE),
+        F.lit(table).alias("table_name"),
+        F.when(F.col("_home").isNotNull(), _shard_name(table, "_home")).alias("shard_table_name"),
+        F.col("_home").alias("shard_id"),
+    )
+
+
+def _shard_name(table: str, shard: str) -> Column:
+    return F.format_string(f"{table.replace('%', '%%')}_%d", shard)
 
 
 def _located(placed: DataFrame, table: str, *keep: str) -> DataFrame:
@@ -198,6 +258,6 @@ def _located(placed: DataFrame, table: str, *keep: str) -> DataFrame:
         *keep,
         *NODE,
         F.lit(table).alias("table_name"),
-        F.format_string(f"{table.replace('%', '%%')}_%d", "shardid").alias("shard_table_name"),
+        _shard_name(table, "shardid").alias("shard_table_name"),
         F.col("shardid").alias("shard_id"),
     )

@@ -18,6 +18,7 @@ def rank_in_groups(
     order: list[Column],
     name: str = "rank",
     folder: str | None = None,
+    k: int | None = None,
 ) -> DataFrame:
     """``row_number() over (partition by groups order by order)``, without one
     task per group.
@@ -27,6 +28,8 @@ def rank_in_groups(
     with its partition and its place in it. A rank is then the place within the
     partition plus the group's rows in earlier partitions, which come from a
     table of one row per (partition, group). ``order`` should have few ties.
+    With ``k`` only the first k rows of each group are given; partitions that begin
+    beyond them are left out by the same table.
     """
     keys = [F.col(g) for g in groups] + order
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -39,11 +42,14 @@ def rank_in_groups(
     earlier = W.partitionBy(*groups).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0).cast("long"))
     # Written too: Catalyst then knows its size when it chooses the join.
-    runs = materialise(
-        runs.select("_part", *groups, (before - F.col("_first") + 1).alias("_shift")), folder
-    )
+    shift = before - F.col("_first") + 1
+    runs = runs.select("_part", *groups, before.alias("_before"), shift.alias("_shift"))
+    if k is not None:
+        runs = runs.filter(F.col("_before") < k)
+    runs = materialise(runs.drop("_before"), folder)
     ranked = slots.join(runs, ["_part", *groups])
-    return ranked.select(*df.columns, (F.col("_slot") + F.col("_shift")).alias(name))
+    ranked = ranked.select(*df.columns, (F.col("_slot") + F.col("_shift")).alias(name))
+    return ranked if k is None else ranked.filter(F.col(name) <= k)
 
 
 def top_in_groups(
@@ -56,14 +62,7 @@ def top_in_groups(
 ) -> DataFrame:
     """The first ``k`` rows of each group with their row number.
 
-    Up to Spark's limit for it, the filter on the window is pushed below the
-    shuffle (``WindowGroupLimit``): a task passes on at most k rows per group.
-    Beyond that the exact ranking over range partitions is used.
+    No task passes on k rows of every group, and no task gathers a group: the rows are
+    ranked over sorted ranges, of which only those that hold a first k are read again.
     """
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k <= limit:
-        window = W.partitionBy(*groups).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long")).filter(
-            F.col(name) <= k
-        )
-    return rank_in_groups(df, groups, order, name, folder).filter(F.col(name) <= k)
+    return rank_in_groups(df, groups, order, name, folder, k)

@@ -29,7 +29,7 @@ def _labels() -> list[Column]:
     return [
         part(1).alias("benchmark"),
         part(2).alias("variant"),
-        part(3).try_cast("int").alias("iteration"),
+        part(3).try_cast("long").alias("iteration"),
     ]
 
 
@@ -76,7 +76,7 @@ def summary_listing(summary: DataFrame) -> DataFrame:
     parts = ["benchmark", "variant"]
     name = F.concat("benchmark", F.lit(".summary."), "variant", F.lit(".log"))
     heads = summary.select(*parts).distinct().select(
-        *parts, F.lit(-1).alias("iteration"), F.lit(-1).cast("long").alias("_line"),
+        *parts, F.lit(-1).cast("long").alias("iteration"), F.lit(-1).cast("long").alias("_line"),
         name.alias("value"),
     )
     lines = summary.withColumn("_line", F.monotonically_increasing_id())
@@ -84,9 +84,10 @@ def summary_listing(summary: DataFrame) -> DataFrame:
     return both.orderBy(*parts, "iteration", "_line").select("variant", "value")
 
 
-def missing_results(logs: DataFrame) -> DataFrame:
+def missing_results(logs: DataFrame, iterations: int | None = None) -> DataFrame:
     """(benchmark, variant, iteration) of the runs whose log has no result line
-    and which therefore do not show in the summary.
+    and which therefore do not show in the summary. With ``iterations``, the number
+    of runs that each variant should have, runs without any log are given too.
 
     Lines are folded to one row per file before a file name is looked at. The
     name's test sits in a CASE with the result of the folding, because Catalyst
@@ -95,22 +96,40 @@ def missing_results(logs: DataFrame) -> DataFrame:
     has = F.bool_or(F.col("value").contains(RESULT_MARK))
     files = logs.groupBy("file_name").agg(F.coalesce(has, F.lit(False)).alias("has"))
     without = F.when(F.col("has"), False).otherwise(F.col("file_name").rlike(LOG_NAME_SHAPE))
-    return files.filter(without).select(*_labels()).distinct()
+    if iterations is None:
+        return files.filter(without).select(*_labels()).distinct()
+    runs = files.withColumn("run", F.when(F.col("file_name").rlike(LOG_NAME_SHAPE), F.struct(*_labels())))
+    runs = runs.filter(F.col("run").isNotNull()).select("run.*", "has")
+    by = ["benchmark", "variant", "iteration"]
+    wanted = runs.select(*by[:2]).distinct().withColumn(
+        "iteration", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(iterations).cast("long")))
+    )
+    seen = runs.groupBy(*by).agg(F.bool_or("has").alias("has"))
+    everything = wanted.unionByName(runs.select(*by)).distinct()
+    return everything.join(seen.filter("has"), by, "left_anti")
 
 
-def write_summary(summary: DataFrame, path: str, append: bool = False) -> None:
-    """Store a summary as Parquet, one folder per variant. A new run of the
-    benchmarks replaces the old summary; ``append`` adds to it."""
+def _stored(summary: DataFrame) -> DataFrame:
+    """A summary's rows by variant, each run's lines in their order."""
+    by = ["benchmark", "variant"]
+    lines = summary.withColumn("line_no", F.monotonically_increasing_id())
     # The hint lets AQE split a variant with many lines over several tasks.
-    spread = summary.hint("rebalance", "variant").sortWithinPartitions("variant", "iteration")
-    spread.write.mode("append" if append else "overwrite").partitionBy("variant").parquet(path)
+    return lines.hint("rebalance", *by).sortWithinPartitions(*by, "iteration", "line_no")
+
+
+def write_summary(summary: DataFrame, path: str, append: bool = False) -> None:
+    """Store a summary as Parquet, one folder per benchmark and variant, with the
+    place of each line (``line_no``). A new run replaces the summary of its own variants and
+    leaves all others; ``append`` adds to it."""
+    writer = _stored(summary).write.option("partitionOverwriteMode", "dynamic")
+    writer.mode("append" if append else "overwrite").partitionBy("benchmark", "variant").parquet(path)
 
 
 def write_summary_text(summary: DataFrame, path: str, append: bool = False) -> None:
-    """The same as plain result lines."""
-    spread = summary.hint("rebalance", "variant").sortWithinPartitions("variant", "iteration")
-    lines = spread.select("variant", "value")
-    lines.write.mode("append" if append else "overwrite").partitionBy("variant").text(path)
+    """The same as plain result lines, in their order within each file."""
+    lines = _stored(summary).select("benchmark", "variant", "value")
+    writer = lines.write.option("partitionOverwriteMode", "dynamic")
+    writer.mode("append" if append else "overwrite").partitionBy("benchmark", "variant").text(path)
 
 
 def throughput(

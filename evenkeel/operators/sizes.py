@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import size_pretty, to_blocks
-from evenkeel.operators.placement import NODE, Distribution, on_primaries
+from evenkeel.operators.placement import NODE, Distribution, on_primaries, typed
 
 # Relation kinds that are tables (ordinary, partitioned).
 TABLE_KINDS = ["r", "p"]
@@ -27,7 +27,7 @@ def key_bytes(t: DataFrame, dist: Distribution, width: Column) -> DataFrame:
     ``width``, the bytes of a row, summed. Sums are taken per key before keys
     are hashed; a hot key is one row per task when it is shuffled."""
     sizes = _bytes_per_key(t, dist, width)
-    return sizes.select(dist.shard("dist_value").alias("shardid"), *_names_of(dist), "bytes")
+    return sizes.select(typed(dist, t).shard("dist_value").alias("shardid"), *_names_of(dist), "bytes")
 
 
 def shard_bytes(sizes: DataFrame, placements: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def _names_of(dist: Distribution) -> list[Column]:
     ]
 
 
-def shard_size(
+def sizes_of(
     shard_stats: DataFrame,
     table: str | None = None,
     colocation_id: int = 1,
@@ -78,7 +78,18 @@ def shard_size(
         "shard_size",
         to_blocks("shard_size").alias("shard_nblocks"),
         size_pretty("shard_size").alias("shard_size_pretty"),
-    ).orderBy(*NODE, "table_name", "shardid")
+    )
+
+
+def shard_size(
+    shard_stats: DataFrame,
+    table: str | None = None,
+    colocation_id: int = 1,
+    include_shard_id: bool = True,
+) -> DataFrame:
+    """``sizes_of``, in order."""
+    sizes = sizes_of(shard_stats, table, colocation_id, include_shard_id)
+    return sizes.orderBy(*NODE, "table_name", "shardid")
 
 
 def top_relations(relations: DataFrame, n: int = 20, schema: str = "public") -> DataFrame:

@@ -11,9 +11,10 @@ with the counts as they stand just before the move.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ from evenkeel.operators.placement import (
     resolve_distribution,
 )
 from evenkeel.operators.ranking import rank_in_groups, top_in_groups
-from evenkeel.operators.sizes import shard_size
+from evenkeel.operators.sizes import sizes_of
 from evenkeel.operators.stats import analyze_tables
 from evenkeel.plans.moves import legs, matched_legs
 from evenkeel.sources import materialise
@@ -181,11 +182,16 @@ def rebalance_plan(
     )
 
 
+def _last_shard(placed: DataFrame, placements: DataFrame) -> Column:
+    both = placements.select("shardid").unionByName(placed.select("shardid"))
+    return both.agg(F.max("shardid").alias("last_shard")).scalar()
+
+
 def apply_plan(placed: DataFrame, plan: DataFrame, placements: DataFrame) -> DataFrame:
     """``placed`` after the moves of a plan. An isolated key gets a shard of its
-    own, numbered above all shards of the cluster by its move; a key that moved
+    own, numbered above all shards of the cluster and of ``placed`` by its move; a key that moved
     with its shard keeps the shard; the others stay as they are."""
-    last_shard = placements.agg(F.max("shardid").alias("last_shard")).scalar()
+    last_shard = _last_shard(placed, placements)
     moved = plan.select(
         "dist_value",
         F.col("target_node").alias("new_node"),
@@ -201,6 +207,76 @@ def apply_plan(placed: DataFrame, plan: DataFrame, placements: DataFrame) -> Dat
     )
 
 
+@dataclass(frozen=True)
+class Applied:
+    """The cluster after a plan: ``placed`` and ``placements`` as before, and
+    ``isolated`` (dist_value, shardid), the keys with a shard of their own."""
+
+    placed: DataFrame
+    placements: DataFrame
+    isolated: DataFrame
+
+
+def apply_moves(
+    placed: DataFrame,
+    plan: DataFrame,
+    placements: DataFrame,
+    nodes: DataFrame,
+    isolated: DataFrame | None = None,
+    folder: str | None = None,
+) -> Applied:
+    """``apply_plan`` as a closed step: what it returns is what the lookups, the counts and the
+    next plan take (``isolated=``, ``placements``).
+
+    All three are written, so the next step reads tables. ``placements`` and ``isolated``
+    grow by a row per isolated key.
+    """
+    plan = plan.select("move_no", "dist_value", "shardid", "needs_isolation", "target_node", "target_port")
+    after = materialise(apply_plan(placed, plan, placements), folder)
+    primary = nodes.filter(F.col("noderole") == "primary").select(
+        F.col("groupid").alias("_group"), F.col("nodename").alias("target_node"), F.col("nodeport").alias("target_port")
+    )
+    sent = plan.join(primary, ["target_node", "target_port"])
+    whole = sent.filter(~F.col("needs_isolation")).select("shardid", "_group")
+    stay = placements.join(whole, "shardid", "left").select("shardid", F.coalesce("_group", "groupid").alias("groupid"))
+    number = _last_shard(placed, placements) + F.col("move_no")
+    alone = sent.filter("needs_isolation").select("dist_value", number.alias("shardid"), "_group")
+    new = materialise(stay.unionByName(alone.select("shardid", F.col("_group").alias("groupid"))), folder)
+    own = alone.select("dist_value", "shardid")
+    own = materialise(own if isolated is None else isolated.select("dist_value", "shardid").unionByName(own), folder)
+    return Applied(after, new, own)
+
+
+def follow_plan(
+    placed: DataFrame, plan: DataFrame, lead: Distribution, follower: Distribution, placements: DataFrame
+) -> DataFrame:
+    """``placed`` of a colocated table after the plan of ``lead``'s table.
+
+    A key that the plan isolates goes to the same node, in a shard of its own; a shard that
+    moves as a whole takes along what the other table has in it. Shards correspond by their place above
+    ``shard_base``; a shard of one key (beyond the hash range) by its key.
+    """
+    if (lead.colocation_id, lead.shard_count) != (follower.colocation_id, follower.shard_count):
+        raise ValueError(f"{lead.table_name} and {follower.table_name} are not colocated")
+    last_shard = _last_shard(placed, placements)
+    target = [F.col("target_node").alias("new_node"), F.col("target_port").alias("new_port")]
+    place = F.col("shardid") - lead.shard_base
+    hashed = (place >= 0) & (place < lead.shard_count)
+    by_key = plan.filter(F.col("needs_isolation") | ~hashed).select(
+        "dist_value", *target, F.when(F.col("needs_isolation"), last_shard + F.col("move_no")).alias("new_shard")
+    )
+    by_shard = plan.filter(~F.col("needs_isolation") & hashed).select(
+        (place + follower.shard_base).alias("shardid"), F.col("target_node").alias("with_node"), F.col("target_port").alias("with_port")
+    )
+    joined = placed.join(by_key, "dist_value", "left").join(by_shard, "shardid", "left")
+    return joined.select(
+        F.coalesce("new_node", "with_node", "nodename").alias("nodename"),
+        F.coalesce("new_port", "with_port", "nodeport").alias("nodeport"),
+        F.coalesce("new_shard", "shardid").alias("shardid"),
+        "dist_value",
+    )
+
+
 def relayout(
     t: DataFrame,
     key: str,
@@ -250,7 +326,7 @@ def size_report(
     before: DataFrame, after: DataFrame, table: str | None = None, colocation_id: int = 1
 ) -> DataFrame:
     """``shard_size`` of two sets of shard sizes, as ``balance_report``."""
-    sizes = [shard_size(stats, table, colocation_id) for stats in (before, after)]
+    sizes = [sizes_of(stats, table, colocation_id) for stats in (before, after)]
     return _phases(*sizes, "shard_size", [*NODE, "table_name", "shardid"])
 
 
@@ -298,5 +374,7 @@ def rebalance_evenly(
     statistics = None
     if analyze_at_end:
         group = [r.table_name for r in colocated_tables(distribution, table).collect()]
+        if unknown := [name for name in group if name not in tables]:
+            warnings.warn(f"no statistics of the colocated tables {unknown}: they were not given", stacklevel=2)
         statistics = analyze_tables({name: tables[name] for name in group if name in tables})
     return Rebalanced(dist, before, plan, after, statistics)

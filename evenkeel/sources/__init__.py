@@ -4,7 +4,7 @@ cut a plan in two."""
 from evenkeel.sources.catalog import catalog_relations
 from evenkeel.sources.files import file_relations, file_shard_stats
 from evenkeel.sources.logs import read_logs
-from evenkeel.sources.shared import materialise, shared_folder
+from evenkeel.sources.shared import materialise, scratch, shared_folder
 
 __all__ = [
     "catalog_relations",
@@ -12,5 +12,6 @@ __all__ = [
     "file_shard_stats",
     "materialise",
     "read_logs",
+    "scratch",
     "shared_folder",
 ]

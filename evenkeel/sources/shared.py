@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import lru_cache
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can read: the session's
-    ``spark.checkpoint.dir``. Only a local session may go without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    """Folder that every executor can read: ``spark.checkpoint.dir``, or else the
+    folder given to ``SparkContext.setCheckpointDir``. There is no default."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    return _local_folder(spark.conf.get("spark.app.id", ""))
-
-
-@lru_cache
-def _local_folder(app_id: str) -> str:
-    return tempfile.mkdtemp(prefix="evenkeel-")
+    return folder.rstrip("/")
 
 
 def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -33,10 +26,21 @@ def materialise(df: DataFrame, folder: str | None = None) -> DataFrame:
     check decides whether a join with it is broadcast.
 
     Files go to a fresh folder below ``folder`` (default: the shared folder)
-    and live as long as the caller keeps that folder.
+    and live as long as the caller keeps that folder; see ``scratch``.
     """
     spark = df.sparkSession
     path = f"{folder or shared_folder(spark)}/evenkeel/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
+
+@contextmanager
+def scratch(spark: SparkSession, folder: str | None = None) -> Iterator[str]:
+    """A fresh folder for the intermediate tables of a step, to be handed in as
+    ``folder=``. It is deleted at the end, so results have to be stored before."""
+    path = f"{folder or shared_folder(spark)}/evenkeel-step-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        here = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(here, True)
