@@ -18,14 +18,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# The windows over all rows see one row per node of the cluster. Nodes on the
-# same level take turns; `done` is what they have moved before they reach it.
+# What is needed of all nodes (their distinct counts, the mean) are scalar
+# subqueries, so no task gathers the nodes. Nodes on the same level take turns;
+# `done` is what they have moved before they reach it.
 _LEGS = """
 WITH counted AS (
     SELECT nodename, nodeport, held,
-           array_sort(collect_set(held) OVER ()) AS counts,
-           sum(held) OVER () DIV count(*) OVER () AS low,
-           (sum(held) OVER () + count(*) OVER () - 1) DIV count(*) OVER () AS high
+           (SELECT array_sort(collect_set(held)) FROM {nodes}) AS counts,
+           (SELECT sum(held) DIV count(*) FROM {nodes}) AS low,
+           (SELECT (sum(held) + count(*) - 1) DIV count(*) FROM {nodes}) AS high
     FROM {nodes}),
 walks AS (
     SELECT nodename, nodeport, held, held > low AS gives,

@@ -83,6 +83,24 @@ def _last_two(placed: DataFrame) -> DataFrame:
     )
 
 
+def _on_legs(picks: DataFrame, gives: DataFrame) -> DataFrame:
+    """Each pick with the leg of its node that its rank lies in.
+
+    A node's ranks are cut into as many bins of equal width as it has legs, and a leg
+    stands in each bin that it touches. So a node has at most twice as many
+    entries as legs, and all picks together meet about two legs each, however many legs there are.
+    """
+    wide = gives.groupBy(*NODE).agg(
+        F.greatest(F.lit(1).cast("long"), F.expr("max(pick_to) DIV count(*)")).alias("_width")
+    )
+    bins = F.sequence(F.expr("pick_from DIV _width"), F.expr("pick_to DIV _width"))
+    entries = gives.join(wide, NODE).filter(F.col("pick_from") <= F.col("pick_to"))
+    entries = entries.withColumn("_bin", F.explode(bins)).drop("_width")
+    placed = picks.join(wide, NODE).withColumn("_bin", F.expr("rank DIV _width")).drop("_width")
+    met = placed.join(entries, [*NODE, "_bin"]).drop("_bin")
+    return met.filter(F.col("rank").between(F.col("pick_from"), F.col("pick_to")))
+
+
 def rebalance_plan(
     placed: DataFrame,
     max_moves: int | None = None,
@@ -143,7 +161,7 @@ def rebalance_plan(
         picks = rank_in_groups(keys, NODE, order, "rank", folder)
 
     # Pick number -> move number -> receiving node and both counts.
-    picks = picks.join(gives, NODE).filter(F.col("rank").between(F.col("pick_from"), F.col("pick_to")))
+    picks = _on_legs(picks, gives)
     step = F.col("rank") - F.col("pick")
     moves = picks.select(
         (F.col("move") + step * F.col("turn")).alias("move_no"),

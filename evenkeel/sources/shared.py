@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read: ``spark.checkpoint.dir``, or else the
-    folder given to ``SparkContext.setCheckpointDir``. There is no default."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder given to ``SparkContext.setCheckpointDir``. Only a session whose executors are threads
+    of the driver may leave both out; it uses its warehouse folder."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and (context.master == "local" or context.master.startswith("local[")):
+        folder = spark.conf.get("spark.sql.warehouse.dir")
     if not folder:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return folder.rstrip("/")
