@@ -110,23 +110,22 @@ def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, .
     A null or empty text has no words and so fails ``few_words``. Rows are
     judged one by one: repeated rows get equal results, an empty table gives
     none. The input's columns are in a struct and can't clash.
+
+    The result comes out of a generator of one row: Spark would push a filter on the metrics below the
+    projections and so compute the words of a text once per word.
     """
     names = [F.when(_failed(r), F.lit(r.name)) for r in (*base, *rules)]
     broken = F.filter(F.array(*names), lambda x: x.isNotNull()).alias("failed")
     base_failed = F.lit(False)
     for r in base:
         base_failed = base_failed | _failed(r)
-    return measured(docs, lang).select("*", broken, base_failed.alias("base_failed")).withColumn("kept", F.size("failed") == 0)
+    out = measured(docs, lang).select("*", broken, base_failed.alias("base_failed")).withColumn("kept", F.size("failed") == 0)
+    return out.select(F.explode_outer(F.array(F.struct("*"))).alias("row")).select("row.*")
 
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE, lang: str | None = "lang") -> DataFrame:
-    """The rows of ``docs`` that break no rule, as they were.
-
-    A row is dropped by an outer generator: Spark would push a plain filter on ``kept`` below the projections and
-    so compute the words of a text once per word.
-    """
-    row = F.explode_outer(F.when(F.col("kept"), F.array(_DOC))).alias(_DOC)
-    return judged(docs, rules, base, lang).select(row).where(F.col(_DOC).isNotNull()).select(f"{_DOC}.*")
+    """The rows of ``docs`` that break no rule, as they were."""
+    return judged(docs, rules, base, lang).where("kept").select(f"{_DOC}.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
