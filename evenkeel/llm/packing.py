@@ -14,7 +14,7 @@ from .tokens import chunks, encoder
 
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n (attention stays within a document).
 LINEAR, QUADRATIC = 1024, 1
-_CHUNK = 1 << 20
+_CHUNK = 2 << 20
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -59,9 +59,9 @@ def pack(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int]]]:
     return out
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, word_ends: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1, word_ends: bool = False, with_ids: bool = True) -> DataFrame:
     """One row per piece of a document: doc_id, start (its document's ids before it), length, ids_crc32,
-    doc_tokens (with the end id), sequence_id, offset in the sequence, ids.
+    doc_tokens (with the end id), sequence_id, offset in the sequence and, unless ``with_ids`` is off, ids.
 
     Each task packs a block of documents of some megabytes, so at most one sequence's worth of room per block
     stays empty. A null or empty text is the end id alone. Rows without doc_id and rows with equal
@@ -69,8 +69,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1,
     """
 
     def run(table: pa.Table) -> pa.Table:
-        ids, known, raw = texts_of(table)
-        texts = [t.decode() for t in raw]
+        ids, known, texts = texts_of(table)
         encode, coded = encoder(tokenizer, word_ends).encode, []
         for a, b in chunks([len(t) for t in texts], _CHUNK):
             coded += encode(texts[a:b], end)
@@ -81,19 +80,15 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, end: int = 1,
             at = 0
             for doc, start, n in pieces:
                 piece = coded[doc][4 * start : 4 * (start + n)]
-                rows.append((int(ids[doc]) if known[doc] else None, start, n, zlib.crc32(piece), lengths[doc], first + s, at, piece))
+                rows.append((int(ids[doc]) if known[doc] else None, start, n, zlib.crc32(piece), lengths[doc], first + s, at, piece if with_ids else None))
                 at += n
         kinds = [pa.int64()] * 7 + [pa.binary()]
         names = [c.split()[0] for c in _PIECES.split(", ")] + ["ids"]
         columns = list(zip(*rows, strict=True)) if rows else [()] * 8
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return in_blocks(docs, block_count(docs)).groupBy("block").applyInArrow(run, f"{_PIECES}, ids binary")
-
-
-def digest(pieces: DataFrame) -> DataFrame:
-    """The contract's columns of :func:`packed`."""
-    return pieces.drop("ids")
+    pieces = in_blocks(docs, block_count(docs)).groupBy("block").applyInArrow(run, f"{_PIECES}, ids binary")
+    return pieces if with_ids else pieces.drop("ids")
 
 
 def sequences(pieces: DataFrame, capacity: int = 2048) -> DataFrame:

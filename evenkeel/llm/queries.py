@@ -53,7 +53,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return packing.digest(packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048))
+    return packing.packed(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048, with_ids=False)
 
 
 #: Bytes of a shard: small enough that small tables split as well.

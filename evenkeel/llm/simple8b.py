@@ -24,7 +24,7 @@ BLOCK_IDS = 256
 WIDTHS = np.array([w for w in range(1, 61) if 60 // w > 60 // (w + 1)], np.int64)
 COUNTS = 60 // WIDTHS
 _ESCAPE = 15
-_PAGE_BYTES = 1 << 20
+_PAGE_BYTES = 2 << 20
 PAGES = "part int, page int, first long, n_ids long, words binary, offsets binary, doc_ids array<long>, lengths array<long>"
 
 
@@ -38,8 +38,11 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     tail = len(ids) - (blocks - 1) * BLOCK_IDS
     grid[:-1, :BLOCK_IDS] = ids[: (blocks - 1) * BLOCK_IDS].reshape(-1, BLOCK_IDS)
     grid[-1, :tail] = ids[(blocks - 1) * BLOCK_IDS :]
-    low, high = (grid & np.uint64(0xFFFFFFFF)).astype(np.float64), (grid >> np.uint64(32)).astype(np.float64)
-    bits = np.where(high > 0, np.frexp(high)[1] + 32, np.frexp(low)[1]).astype(np.uint8)
+    # A float of 53 bits holds 32 bits exactly, and its exponent is their number.
+    bits = np.frexp((grid & np.uint64(0xFFFFFFFF)).astype(np.float64))[1].astype(np.uint8)
+    if len(ids) and ids.max() >> np.uint64(32):
+        high = np.frexp((grid >> np.uint64(32)).astype(np.float64))[1]
+        bits = np.where(high > 0, high + 32, bits).astype(np.uint8)
     # The best selector at each id: widest count whose ids all fit.
     selector = np.where(bits[:, :BLOCK_IDS] <= 60, len(WIDTHS), _ESCAPE).astype(np.uint8)
     most, size = bits, 1
@@ -127,7 +130,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end: int = 1, word_end
         part, page, first = TaskContext.get().partitionId(), 0, 0
         encode_texts = encoder(tokenizer, word_ends).encode
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
+            ids, texts = batch.column("doc_id").to_pylist(), [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for a, b in chunks([len(t) for t in texts], _PAGE_BYTES):
                 coded = encode_texts(texts[a:b], end)
                 words, offsets = encode(np.frombuffer(b"".join(coded), "<u4").astype(np.uint64))

@@ -1,4 +1,4 @@
-"""Token ids of whole texts, with the pieces of a text that recur encoded once per task."""
+"""Token ids of whole texts, with every distinct piece of a batch encoded once."""
 
 from __future__ import annotations
 
@@ -8,10 +8,16 @@ from functools import lru_cache
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Pieces remembered per worker and tokenizer; beyond that the memory starts anew, which changes no result.
-_REMEMBERED = 250_000
-_GPT_PIECES = re.compile(r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+")
+from .words import Words, mix
+
+#: Pieces remembered per worker and tokenizer, twice; older ones are encoded anew, which changes no result.
+_REMEMBERED = 500_000
+#: Pieces encoded as one text.
+_TOGETHER = 1_000
+#: Marks that end a word.
+_MARKS = ".,;:!?#$%&*"
 _OTHER_SPACE = re.compile(r"[^\S \t\n\r\f\v]")
+_SPACED = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache
@@ -23,42 +29,114 @@ def encoder(path: str, word_ends: bool) -> Encoder:
 class Encoder:
     """Encodes texts as little-endian unsigned 32-bit ids.
 
-    Texts are cut where the tokenizer's own pre-tokenizer cuts in any case, and every
-    distinct piece is encoded once. ``word_ends``: the tokenizer drops white
-    space, so any blank is such a place; otherwise a blank belongs to the
-    word after it, in runs all but the last stand alone. Texts with other kinds of
-    space are encoded whole. Strings of special tokens are ordinary text.
+    Texts are cut where the tokenizer's own pre-tokenizer cuts in any case, at the white space of
+    ASCII. Words are told apart by hashes in whole arrays, only distinct ones are looked up or encoded, and
+    their ids are dealt out to all places at once. ``word_ends``: the tokenizer drops white
+    space; otherwise a blank belongs to the word after it, and what else stands
+    between words is a piece of its own. There, texts with other kinds of space are encoded whole.
+    Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str, word_ends: bool) -> None:
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._word_ends = word_ends
-        self._known: dict[str, bytes] = {"": b""}
+        self._known: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+        # What stands between pieces that are encoded as one text: cut off on both sides in any case, and one id.
+        self._mark = "\x01" if word_ends else "\n"
+        self._between = f" {self._mark} " if word_ends else self._mark
+        (self._mark_id,) = self._ids([self._mark])[0]
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        if self._word_ends:
-            return text.replace("\n", " ").split(" ")
-        return None if _OTHER_SPACE.search(text) else _GPT_PIECES.findall(text)
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """The ids of each text, then ``end``."""
-        pieces = [self._pieces(t) for t in texts]
-        new = set().union(*(p for p in pieces if p)) - self._known.keys()
-        if len(self._known) + len(new) > _REMEMBERED:
-            new = set().union(*(p for p in pieces if p)) - {""}
-            self._known = {"": b""}
-        listed = list(new)
-        for at in range(0, len(listed), 20_000):
-            part = listed[at : at + 20_000]
-            self._known.update(zip(part, self._raw(part), strict=True))
-        whole = iter(self._raw([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        last = np.array([end], "<u4").tobytes()
-        look = self._known.__getitem__
-        return [(next(whole) if p is None else b"".join(map(look, p))) + last for p in pieces]
+        return [np.array(x, "<u4").tobytes() for x in self._ids(texts)]
+
+    def _coded(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces. Those not known are encoded, many in one text each."""
+        known, old = self._known, self._old
+        out = [known.get(p) or old.get(p) for p in pieces]
+        missing = [i for i, x in enumerate(out) if x is None]
+        mark, between = self._mark.encode(), self._between.encode()
+        odd = {i for i in missing if mark in pieces[i] or pieces[i].isspace()}
+        for i, ids in zip(odd, self._raw([pieces[i].decode() for i in odd]), strict=True):
+            out[i] = ids
+        plain = [i for i in missing if i not in odd] if odd else missing
+        for at in range(0, len(plain), _TOGETHER):
+            part = plain[at : at + _TOGETHER]
+            ids = np.array(self._ids([between.join([pieces[i] for i in part]).decode()])[0], "<u4")
+            marks = np.flatnonzero(ids == self._mark_id)
+            raw = ids.tobytes()
+            starts, ends = [0, *(4 * marks + 4).tolist()], [*(4 * marks).tolist(), len(raw)]
+            for i, a, b in zip(part, starts, ends, strict=True):
+                out[i] = raw[a:b]
+        if len(known) + len(pieces) > _REMEMBERED:  # what isn't met again until the next time is forgotten
+            self._old, self._known = known, {}
+        self._known.update(zip(pieces, out, strict=True))
+        return out
+
+    def _gaps(self, w: Words) -> tuple[np.ndarray, list[tuple[int, bytes, int]]]:
+        """Whether each word has a blank of its own before it, and the other pieces of space as (place, piece, text)."""
+        starts = w.texts
+        doc = np.repeat(np.arange(len(starts) - 1), np.diff(w.first))
+        before = np.empty(len(w.start), np.int64)
+        before[1:] = w.end[:-1]
+        opens = w.first[:-1][np.diff(w.first) > 0]
+        before[opens] = starts[doc[opens]]
+        data = np.frombuffer(w.buffer, np.uint8)
+        gap = w.start - before
+        spaced = (gap > 0) & (data[np.maximum(w.start - 1, 0)] == 0x20)
+        pieces = []
+        for i in np.flatnonzero(gap > spaced).tolist():
+            space = w.buffer[before[i] : w.start[i]]
+            parts = (space[:-1],) if spaced[i] else (space[:-1], space[-1:])
+            pieces += [(4 * i, p, 0) for p in parts if p]
+        last = np.where(np.diff(w.first) > 0, np.append(w.end, 0)[np.maximum(w.first[1:] - 1, 0)], starts[:-1])
+        for d in np.flatnonzero(starts[1:] - 1 > last).tolist():
+            pieces.append((4 * int(w.first[d + 1]) - 1, w.buffer[last[d] : starts[d + 1] - 1], d))
+        return spaced, pieces
+
+    def encode(self, texts: list[bytes], end: int) -> list[bytes]:
+        """The ids of each text (in UTF-8), then ``end``."""
+        whole = [] if self._word_ends else [d for d, t in enumerate(texts) if _OTHER_SPACE.search(t.decode())]
+        skipped = set(whole)
+        here = [b"" if d in skipped else t for d, t in enumerate(texts)] if whole else texts
+        w = Words(here, lower=self._word_ends, marks=_MARKS)
+        spaced, gaps = (np.zeros(len(w.h1), bool), []) if self._word_ends else self._gaps(w)
+        key = np.where(spaced, mix(w.h1 ^ _SPACED), w.h1)
+        order = np.argsort(key)
+        sorted_, other = key[order], w.h2[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (sorted_[1:] != sorted_[:-1]) | (other[1:] != other[:-1])
+        number = np.empty(len(key), np.int64)
+        number[order] = np.cumsum(new) - 1
+        first = order[new]
+        buffer = w.buffer
+        listed = [buffer[a:b] for a, b in zip((w.start[first] - spaced[first]).tolist(), w.end[first].tolist(), strict=True)]
+        # All pieces in their order: words, what else stands between them, and the end of each text.
+        extra = sorted({p for _, p, _ in gaps})
+        at = {p: len(listed) + i for i, p in enumerate(extra)}
+        coded = [*self._coded([*listed, *extra]), np.array([end], "<u4").tobytes()]
+        final = len(coded) - 1
+        places = np.array([*(k for k, _, _ in gaps), *(4 * w.first[1:] - 1).tolist()], np.int64)
+        inserted = np.array([*(at[p] for _, p, _ in gaps), *[final] * len(texts)], np.int64)
+        of = np.array([*(d for _, _, d in gaps), *range(len(texts))], np.int64)
+        ranked = np.lexsort((np.arange(len(of)), of, places))  # a text's last space, then its end, text by text
+        unit = np.insert(number, np.searchsorted(4 * np.arange(len(number)) + 2, places[ranked]), inserted[ranked])
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, offsets = np.frombuffer(b"".join(coded), "<u4"), np.cumsum(sizes) - sizes
+        count = sizes[unit]
+        ends = np.cumsum(count)
+        raw = flat[np.repeat(offsets[unit] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        stops = (4 * ends[unit == final]).tolist()
+        out = [raw[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)] if stops else []
+        if whole:
+            last = np.array([end], "<u4").tobytes()
+            for d, ids in zip(whole, self._raw([texts[d].decode() for d in whole]), strict=True):
+                out[d] = ids + last
+        return out
 
 
 def chunks(lengths: list[int], most: int) -> list[tuple[int, int]]:

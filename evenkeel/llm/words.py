@@ -9,6 +9,7 @@ import numpy as np
 #: Bytes that separate words: 0x20 and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_ALNUM = np.array([chr(b).isalnum() and b < 128 for b in range(256)])
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words beyond this many bytes are hashed one by one, so that a single huge word costs no long loop.
 _LANES = 8
@@ -27,12 +28,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """All words of some texts in order.
 
-    ``first[i]`` to ``first[i + 1]`` are the words of text i; ``start`` and
+    ``first[i]`` to ``first[i + 1]`` are the words of text i, which begins at ``texts[i]``; ``start`` and
     ``end`` are byte positions in ``buffer``; ``h1`` and ``h2`` are two
-    independent hashes of each word's bytes.
+    independent hashes of each word's bytes. ``marks`` at the end of words can be made words of their own.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = False, marks: str = "") -> None:
         buffer = b"\n".join(texts) + b"\n"
         if lower:
             buffer = buffer.translate(_LOWER)
@@ -43,9 +44,23 @@ class Words:
         self.start, self.end = edge[::2], edge[1::2]
         starts = np.zeros(len(texts) + 1, np.int64)
         np.cumsum([len(t) + 1 for t in texts], out=starts[1:])
+        self.texts = starts
+        if marks:
+            self._cut(np.isin(np.arange(256), list(marks.encode())), data)
         self.first = np.searchsorted(self.start, starts)
         self.h1, self.h2 = self._hashes()
 
+    def _cut(self, mark: np.ndarray, data: np.ndarray) -> None:
+        """Make the marks at the end of a word, after a letter or digit of ASCII, a word of their own."""
+        cut, going = self.end.copy(), np.arange(len(self.end))
+        while len(going):
+            going = going[mark[data[cut[going] - 1]] & (cut[going] - 1 > self.start[going])]
+            cut[going] -= 1
+        cut = np.where(_ALNUM[data[cut - 1]], cut, self.end) if len(cut) else cut
+        has = cut < self.end
+        self.start = np.sort(np.concatenate([self.start, cut[has]]))
+        self.end = np.sort(np.concatenate([cut, self.end[has]]))
+
     def _hashes(self) -> tuple[np.ndarray, np.ndarray]:
         padded = self.buffer + bytes(8)
         lane = np.ndarray((len(self.buffer) + 1,), "<u8", padded, 0, (1,))
