@@ -7,6 +7,8 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.sources import materialise
+
 _WORD = r"[^\x20\x09-\x0D]"
 #: Standard errors of a sketch within which a line counts as near the threshold.
 _ERRORS = 4
@@ -40,6 +42,7 @@ def boilerplate(docs: DataFrame, min_sites: int = 8, lg_k: int = 12, site: str =
     error = _ERRORS * 1.04 / sqrt(1 << lg_k)
     spread = pairs.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("spread"))
     above = spread.where(F.col("spread") >= min_sites * (1 - error) - 1).select("line", (F.col("spread") > min_sites * (1 + error) + 1).alias("sure"))
+    above = materialise(above)  # a small table: Spark can send it to all tasks, or else split a hot line
     near = above.where(~F.col("sure")).select("line")
     exact = pairs.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("site").alias("sites"))
     return above.where("sure").select("line").unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
@@ -57,7 +60,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = 8, max_share: float =
     held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("sum"))
     lines = F.array_distinct(F.filter(_lines(F.col("doc.text")), lambda x: x.rlike(_WORD)))
     holds = held.select("id", "sum", F.explode(lines).alias("line")).select("id", "sum", _hashes(F.col("line")).alias("line"))
-    bad = boilerplate(docs, min_sites, lg_k, site)
+    bad = materialise(boilerplate(docs, min_sites, lg_k, site))
     hits = holds.join(bad, "line").groupBy("id", "sum").agg(F.collect_set("line").alias("bad"))
     hits = hits.select(F.col("id").alias("hit_id"), F.col("sum").alias("hit_sum"), "bad")
     joined = held.join(hits, held["id"].eqNullSafe(hits["hit_id"]) & (held["sum"] == hits["hit_sum"]), "left")
