@@ -46,7 +46,8 @@ def shards(rows: DataFrame, limit: int) -> DataFrame:
         cells = materialise(left.groupBy(F.substring("bits", 1, deep).alias("cell")).agg(F.sum("bytes").alias("bytes")))
         nodes = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(level), F.lit(deep))).alias("depth")).withColumn("node", F.expr("substring(cell, 1, depth)"))
         fits = nodes.groupBy("node", "depth").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") <= limit).select("node", "depth")
-        directory = nodes.join(fits, ["node", "depth"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+        # Never sent to all tasks: the levels of all cells are many times the size that Spark knows of the cells' file.
+        directory = nodes.join(fits.hint("merge"), ["node", "depth"]).groupBy("cell").agg(F.min("depth").alias("depth"))
         if deep == _KEY_BITS + _ROW_BITS:  # all bits: what is still over the limit is one row
             directory = cells.select("cell").join(directory, "cell", "left").select("cell", F.coalesce("depth", F.lit(deep)).alias("depth"), F.col("depth").isNull().alias("oversized"))
         else:
