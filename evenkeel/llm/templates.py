@@ -3,6 +3,8 @@
 Numbers, names and units become typed placeholders, so a question asked again with
 other values has the same template. Windows of template tokens are joined by hash;
 where they match, the values in the slots of one aligned copy must map one to one.
+A name is told by its capital, so a copy in other case has other names: windows in which
+names stand as words are looked up as well.
 """
 
 from __future__ import annotations
@@ -51,6 +53,11 @@ def _template(tokens: str, values: str) -> Column:
     return F.transform(values, typed)
 
 
+def _cased(template: str, values: str) -> Column:
+    """The template of a text whose capitals say nothing: names stand as words."""
+    return F.zip_with(template, values, lambda k, v: F.when(k == NAME, v).otherwise(k))
+
+
 def _hashes(template: str, size: int) -> Column:
     """Hash of each run of ``size`` template tokens."""
     run = F.transform(F.sequence(F.lit(0), F.size(template) - size), lambda i: F.xxhash64(*(F.get(template, i + k) for k in range(size))))
@@ -58,19 +65,22 @@ def _hashes(template: str, size: int) -> Column:
 
 
 def _templates(texts: DataFrame, *keys: str) -> DataFrame:
-    """(keys, values, template) of every text; each layer is used twice above, so it is computed once."""
+    """(keys, values, template, cased) of every text; each layer is used twice above, so it is computed once."""
     tokens = texts.select(*keys, _tokens(F.col("text")).alias("tokens"))
-    return tokens.select(*keys, "tokens", _values("tokens").alias("values")).select(*keys, "values", _template("tokens", "values").alias("template"))
+    typed = tokens.select(*keys, "tokens", _values("tokens").alias("values")).select(*keys, "values", _template("tokens", "values").alias("template"))
+    return typed.select(*keys, "values", "template", _cased("template", "values").alias("cased"))
 
 
 def _windows(templates: DataFrame, size: int, *keys: str) -> DataFrame:
-    """(keys, hash, at, template, values) of every window.
+    """(keys, kind, hash, at, template, values) of every window, of kind 0 with names as placeholders and of kind 1 with names as words.
 
     The generator is an outer one, since Spark would test an inner one's array in a filter below the projections
     and compute all templates once per window there.
     """
-    placed = templates.select(*keys, "values", "template", F.posexplode_outer(_hashes("template", size)).alias("at", "hash")).where("hash IS NOT NULL")
-    return placed.select(*keys, "hash", "at", F.slice("template", F.col("at") + 1, size).alias("template"), F.slice("values", F.col("at") + 1, size).alias("values"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("template")) for k, c in enumerate(("template", "cased"))))
+    both = templates.select(*keys, "values", F.explode(kinds).alias("of")).select(*keys, "values", "of.*")
+    placed = both.select(*keys, "kind", "values", "template", F.posexplode_outer(_hashes("template", size)).alias("at", "hash")).where("hash IS NOT NULL")
+    return placed.select(*keys, "kind", "hash", "at", F.slice("template", F.col("at") + 1, size).alias("template"), F.slice("values", F.col("at") + 1, size).alias("values"))
 
 
 def _literal(template: Column) -> Column:
@@ -81,7 +91,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent:
     """Benchmark items found in documents: doc_id, item_id, n_windows, n_slots, n_changed.
 
     A window is ``size`` template tokens; an item with fewer tokens is one window. Windows
-    in which less than half the tokens are literal are not looked for. A document holds an
+    in which less than half the tokens are literal are not looked for. Items are looked for twice, with names as slots
+    and, for copies in other case, with names as words; what the first finds is reported. A document holds an
     item if one alignment of the two has at least ``percent`` of the item's windows and at least
     ``slot_percent`` of the item's slot values there map to one value only. ``n_slots`` counts the distinct
     slot values of the best alignment, ``n_changed`` those that differ in the document (0: a verbatim copy).
@@ -92,6 +103,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent:
     items = _templates(benchmark.where("item_id IS NOT NULL").select("item_id", "text"), "item_id")
     items = items.where(F.size("template") > 0).withColumn("size", F.least(F.size("template"), F.lit(size)))
     sizes = [r[0] for r in items.select("size").distinct().collect()]  # at most ``size`` of them
+    key = ["doc_id", "item_id", "kind"]
     hits = None
     for s in sorted(sizes):
         own = materialise(_windows(items.where(F.col("size") == s), s, "item_id").where(2 * _literal(F.col("template")) >= s).distinct())
@@ -100,24 +112,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent:
         if hashes.count() * 16 <= _SENT_BYTES:
             hashes = F.broadcast(hashes)
         # First the documents with any window, without their texts in the join; then the windows of those alone.
-        all_windows = _templates(held, "doc_id", "sum").select("doc_id", "sum", _hashes("template", s).alias("hashes"))
+        all_windows = _templates(held, "doc_id", "sum").select("doc_id", "sum", F.concat(_hashes("template", s), _hashes("cased", s)).alias("hashes"))
         touched = all_windows.select("doc_id", "sum", F.explode_outer("hashes").alias("hash")).join(hashes, "hash", "left_semi").select("doc_id", "sum").distinct()
         touched = materialise(touched)
         again = _windows(_templates(held.join(touched, ["doc_id", "sum"], "left_semi"), "doc_id"), s, "doc_id")
-        mine = own.select("hash", "item_id", F.col("at").alias("item_at"), F.col("template").alias("item_template"), F.col("values").alias("item_values"))
-        met = again.join(mine, "hash").where(F.col("template") == F.col("item_template"))
-        total = own.groupBy("item_id").agg(F.count_distinct("at").alias("total"))
-        aligned = met.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "template", "item_values", "values")
-        counts = aligned.groupBy("doc_id", "item_id", "shift").agg(F.count_distinct("item_at").alias("n_windows"))
+        mine = own.select("kind", "hash", "item_id", F.col("at").alias("item_at"), F.col("template").alias("item_template"), F.col("values").alias("item_values"))
+        met = again.join(mine, ["kind", "hash"]).where(F.col("template") == F.col("item_template"))
+        total = own.groupBy("item_id", "kind").agg(F.count_distinct("at").alias("total"))
+        aligned = met.select("doc_id", "item_id", "kind", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "template", "item_values", "values")
+        counts = aligned.groupBy(*key, "shift").agg(F.count_distinct("item_at").alias("n_windows"))
         slots = F.filter(F.arrays_zip("template", "item_values", "values"), lambda x: x["template"].isin(NUMBER, UNIT, NAME))
-        pairs = aligned.select("doc_id", "item_id", "shift", F.explode(slots).alias("slot")).select("doc_id", "item_id", "shift", F.col("slot.item_values").alias("asked"), F.col("slot.values").alias("given"))
-        values = pairs.groupBy("doc_id", "item_id", "shift", "asked").agg(F.min("given").alias("low"), F.max("given").alias("high"))
-        consistent = values.groupBy("doc_id", "item_id", "shift").agg(
+        pairs = aligned.select(*key, "shift", F.explode(slots).alias("slot")).select(*key, "shift", F.col("slot.item_values").alias("asked"), F.col("slot.values").alias("given"))
+        values = pairs.groupBy(*key, "shift", "asked").agg(F.min("given").alias("low"), F.max("given").alias("high"))
+        consistent = values.groupBy(*key, "shift").agg(
             F.count("*").alias("n_slots"), F.count_if(F.col("low") != F.col("high")).alias("n_mixed"), F.count_if((F.col("low") != F.col("asked")) | (F.col("high") != F.col("asked"))).alias("n_changed")
         )
-        found = counts.join(consistent, ["doc_id", "item_id", "shift"], "left").join(total, "item_id").na.fill(0, ["n_slots", "n_mixed", "n_changed"])
+        found = counts.join(consistent, [*key, "shift"], "left").join(total, ["item_id", "kind"]).na.fill(0, ["n_slots", "n_mixed", "n_changed"])
         found = found.where((100 * F.col("n_windows") >= percent * F.col("total")) & (100 * (F.col("n_slots") - F.col("n_mixed")) >= slot_percent * F.col("n_slots")))
-        best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_slots", "n_changed"), F.struct("n_windows", -F.col("n_changed"), -F.col("shift"))).alias("best"))
+        best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_slots", "n_changed"), F.struct(-F.col("kind"), "n_windows", -F.col("n_changed"), -F.col("shift"))).alias("best"))
         rows = best.select("doc_id", "item_id", "best.n_windows", "best.n_slots", "best.n_changed")
         hits = rows if hits is None else hits.unionByName(rows)
     if hits is None:
