@@ -83,19 +83,32 @@ def _windows(templates: DataFrame, size: int, *keys: str) -> DataFrame:
     return placed.select(*keys, "kind", "hash", "at", F.slice("template", F.col("at") + 1, size).alias("template"), F.slice("values", F.col("at") + 1, size).alias("values"))
 
 
+def _longest(places: Column, size: int) -> Column:
+    """Most tokens in a row that windows at sorted ``places`` cover."""
+    none = F.struct(F.lit(-1).alias("start"), F.lit(-1).alias("stop"), F.lit(0).alias("best"))
+
+    def step(run: Column, at: Column) -> Column:
+        start = F.when(at <= run["stop"], run["start"]).otherwise(at)
+        return F.struct(start.alias("start"), (at + size).alias("stop"), F.greatest(run["best"], at + size - start).alias("best"))
+
+    return F.aggregate(places, none, step, lambda run: run["best"])
+
+
 def _literal(template: Column) -> Column:
     return F.size(F.filter(template, lambda t: ~t.isin(NUMBER, UNIT, NAME)))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent: int = 30, slot_percent: int = 80) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent: int = 30, slot_percent: int = 80, run: int = 13) -> DataFrame:
     """Benchmark items found in documents: doc_id, item_id, n_windows, n_slots, n_changed.
 
     A window is ``size`` template tokens; an item with fewer tokens is one window. Windows
     in which less than half the tokens are literal are not looked for. Items are looked for twice, with names as slots
-    and, for copies in other case, with names as words; what the first finds is reported. A document holds an
-    item if one alignment of the two has at least ``percent`` of the item's windows and at least
-    ``slot_percent`` of the item's slot values there map to one value only. ``n_slots`` counts the distinct
-    slot values of the best alignment, ``n_changed`` those that differ in the document (0: a verbatim copy).
+    and, for copies in other case, with names as words; what the first finds is reported. An alignment of
+    the two counts if at least ``slot_percent`` of the item's slot values there map to one value only. A document
+    holds an item if one alignment has at least ``percent`` of the item's windows or ``run`` tokens in a row (a passage of
+    a long item), or if all together have ``percent`` of the windows (words added or left out shift the rest). ``n_slots``
+    counts the distinct slot values of the best alignment, or of all if none is enough by itself, ``n_changed`` those
+    that differ in the document (0: a verbatim copy).
 
     Null texts and texts without tokens match nothing; rows without doc_id or item_id match nothing; repeated
     rows count once. Other columns are not read.
@@ -119,17 +132,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent:
         mine = own.select("kind", "hash", "item_id", F.col("at").alias("item_at"), F.col("template").alias("item_template"), F.col("values").alias("item_values"))
         met = again.join(mine, ["kind", "hash"]).where(F.col("template") == F.col("item_template"))
         total = own.groupBy("item_id", "kind").agg(F.count_distinct("at").alias("total"))
-        aligned = met.select("doc_id", "item_id", "kind", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "template", "item_values", "values")
-        counts = aligned.groupBy(*key, "shift").agg(F.count_distinct("item_at").alias("n_windows"))
         slots = F.filter(F.arrays_zip("template", "item_values", "values"), lambda x: x["template"].isin(NUMBER, UNIT, NAME))
-        pairs = aligned.select(*key, "shift", F.explode(slots).alias("slot")).select(*key, "shift", F.col("slot.item_values").alias("asked"), F.col("slot.values").alias("given"))
+        aligned = materialise(met.select(*key, (F.col("at") - F.col("item_at")).alias("shift"), "item_at", slots.alias("slots")))
+        counts = aligned.groupBy(*key, "shift").agg(F.sort_array(F.collect_set("item_at")).alias("places"))
+        pairs = aligned.select(*key, "shift", F.explode("slots").alias("slot")).select(*key, "shift", F.col("slot.item_values").alias("asked"), F.col("slot.values").alias("given"))
         values = pairs.groupBy(*key, "shift", "asked").agg(F.min("given").alias("low"), F.max("given").alias("high"))
-        consistent = values.groupBy(*key, "shift").agg(
-            F.count("*").alias("n_slots"), F.count_if(F.col("low") != F.col("high")).alias("n_mixed"), F.count_if((F.col("low") != F.col("asked")) | (F.col("high") != F.col("asked"))).alias("n_changed")
-        )
-        found = counts.join(consistent, [*key, "shift"], "left").join(total, ["item_id", "kind"]).na.fill(0, ["n_slots", "n_mixed", "n_changed"])
-        found = found.where((100 * F.col("n_windows") >= percent * F.col("total")) & (100 * (F.col("n_slots") - F.col("n_mixed")) >= slot_percent * F.col("n_slots")))
-        best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_slots", "n_changed"), F.struct(-F.col("kind"), "n_windows", -F.col("n_changed"), -F.col("shift"))).alias("best"))
+        changed = F.count_if((F.col("low") != F.col("asked")) | (F.col("high") != F.col("asked"))).alias("n_changed")
+        consistent = values.groupBy(*key, "shift").agg(F.count("*").alias("n_slots"), F.count_if(F.col("low") != F.col("high")).alias("n_mixed"), changed)
+        good = counts.join(consistent, [*key, "shift"], "left").join(total, ["item_id", "kind"]).na.fill(0, ["n_slots", "n_mixed", "n_changed"])
+        good = good.where(100 * (F.col("n_slots") - F.col("n_mixed")) >= slot_percent * F.col("n_slots"))
+        good = materialise(good.select(*key, "shift", "places", F.size("places").cast("long").alias("n_windows"), "n_slots", "n_changed", "total"))
+        enough = 100 * F.col("n_windows") >= percent * F.col("total")
+        alone = good.where(enough | (_longest(F.col("places"), s) >= run)).select(*key, "shift", "n_windows", "n_slots", "n_changed", F.lit(1).alias("alone"))
+        # Pieces of a copy at several shifts, of which none is enough by itself.
+        united = good.select(*key, "total", F.explode("places").alias("place")).groupBy(*key, "total").agg(F.count_distinct("place").alias("n_windows")).where(enough)
+        all_values = values.join(good, [*key, "shift"], "left_semi").groupBy(*key, "asked").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        all_slots = all_values.groupBy(*key).agg(F.count("*").alias("n_slots"), changed)
+        united = united.join(all_slots, key, "left").na.fill(0, ["n_slots", "n_changed"])
+        found = alone.unionByName(united.select(*key, F.lit(0).cast("int").alias("shift"), "n_windows", "n_slots", "n_changed", F.lit(0).alias("alone")))
+        best = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("n_windows", "n_slots", "n_changed"), F.struct("alone", -F.col("kind"), "n_windows", -F.col("n_changed"), -F.col("shift"))).alias("best"))
         rows = best.select("doc_id", "item_id", "best.n_windows", "best.n_slots", "best.n_changed")
         hits = rows if hits is None else hits.unionByName(rows)
     if hits is None:
@@ -137,8 +158,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent:
     return hits
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent: int = 30, slot_percent: int = 80) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent: int = 30, slot_percent: int = 80, run: int = 13) -> DataFrame:
     """The rows of ``docs`` in which no item of ``benchmark`` is found; rows without doc_id stay."""
     held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"))
-    bad = contaminated(docs, benchmark, size, percent, slot_percent).select(F.col("doc_id").alias("bad")).distinct()
+    bad = contaminated(docs, benchmark, size, percent, slot_percent, run).select(F.col("doc_id").alias("bad")).distinct()
     return held.join(bad, held["id"] == bad["bad"], "left_anti").select("doc.*")

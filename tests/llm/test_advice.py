@@ -29,3 +29,15 @@ def test_items_in_other_case(spark):
     found = templates.contaminated(spark.createDataFrame(list(enumerate(texts)), TEXTS), spark.createDataFrame(list(items.items()), ITEMS))
     assert {(r.doc_id, r.item_id) for r in found.collect()} == want
     assert len(want) == 18
+
+
+def test_passages_and_edited_copies(spark):
+    """A passage of a long item, and a copy with a word added in a few places."""
+    word = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnprst"]
+    items = {1: " ".join(word[k % 175] + "aei"[k // 175] for k in range(250)), 2: " ".join(w + "o" for w in word[:59]), 3: " ".join(w + "u" for w in word[60:100])}
+    long, middle, short = (items[k].split() for k in (1, 2, 3))
+    edited = " ".join([*short[:10], "xa", *short[10:20], "xb", *short[20:30], "xc", *short[30:]])
+    texts = [" ".join(long[100:160]), " ".join(middle[30:50]), edited, " ".join(long[:12]), " ".join(middle[5:17]), " ".join(short[:10]), "xa xb " + " ".join(long[200:213])]
+    texts = [f"own words stand here {t} and here again" for t in texts]
+    found = templates.contaminated(spark.createDataFrame(list(enumerate(texts)), TEXTS), spark.createDataFrame(list(items.items()), ITEMS)).collect()
+    assert {(r.doc_id, r.item_id, r.n_windows) for r in found} == {(0, 1, 53), (1, 2, 13), (2, 3, 12), (6, 1, 6)}
