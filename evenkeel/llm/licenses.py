@@ -8,6 +8,7 @@ words as one of higher priority, is dropped.
 
 from __future__ import annotations
 
+from re import _parser as parser
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,11 +18,8 @@ from pyspark.sql import functions as F
 _APART = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OPEN, _CLOSE = "\x01", "\x02"
-#: A text without any of these has no phrase and meets no rule.
-_GATE = (
-    rf"(?i)licen[cs]e|licenci|copyright|spdx|copyleft|public[{_APART}]+domain|unlicense|all[{_APART}]+rights[{_APART}]+reserved"
-    rf"|(?:^|[{_APART}])cc(?:[{_APART}]*0|[{_APART}]+by)|creative[{_APART}]*commons|[al]?gpl|\bgfdl|gnu[{_APART}]+org|wtfpl|eupl|cecill"
-)
+#: A part of nearly every match: what the gate looks for instead of such a rule's keyword.
+_STEM = "licen"
 
 
 class Rule(NamedTuple):
@@ -46,7 +44,7 @@ _LATER = r"(?: or (?:any )?later(?: version)?)?"
 #: Hand-written signatures: label, keyword, name in running text, identifier, address. "-" stands for none.
 LICENSES = (
     ("mit", "mit", "mit licen[cs]e", "mit", "opensource org licen[cs]es? mit"),
-    ("mit-0", "mit", "mit no attribution", "mit 0", "opensource org licen[cs]es? mit 0"),
+    ("mit-0", "mit no attribution", "mit no attribution", "mit 0", "opensource org licen[cs]es? mit 0"),
     ("isc", "isc", "isc licen[cs]e", "isc", "opensource org licen[cs]es? isc"),
     ("x11", "x11", "x11 licen[cs]e", "x11", "-"),
     ("zlib", "zlib", "zlib(?: libpng)? licen[cs]e", "zlib", "opensource org licen[cs]es? zlib"),
@@ -98,17 +96,17 @@ LICENSES = (
     ("sspl-1", "server", rf"server side public licen[cs]e(?:{_V} 1)?", "sspl 1 0", "mongodb com licensing server side public licen[cs]e"),
     ("elastic-2", "elastic", rf"elastic licen[cs]e(?:{_V} 2(?: 0)?)?", "elastic 2 0", "elastic co licensing elastic licen[cs]e"),
     ("cc0", "cc0", rf"cc0(?: 1 0)?(?: universal)?", "cc0 1 0", "creativecommons org publicdomain zero 1 0"),
-    ("cc-by", "attribution", r"creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "-", "creativecommons org licen[cs]es? by [1-4] [05]"),
-    ("cc-by", "cc", "cc by(?: [1-4] [05])?", "cc by [1-4] [05]", "-"),
-    ("cc-by-sa", "sharealike", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "-", "creativecommons org licen[cs]es? by sa"),
-    ("cc-by-sa", "cc", "cc by sa(?: [1-4] [05])?", "cc by sa [1-4] [05]", "-"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "-", "creativecommons org licen[cs]es? by nc"),
-    ("cc-by-nc", "cc", "cc by nc(?: [1-4] [05])?", "cc by nc [1-4] [05]", "-"),
-    ("cc-by-nc-sa", "cc", "cc by nc sa(?: [1-4] [05])?", "cc by nc sa [1-4] [05]", "creativecommons org licen[cs]es? by nc sa"),
-    ("cc-by-nc-nd", "cc", "cc by nc nd(?: [1-4] [05])?", "cc by nc nd [1-4] [05]", "creativecommons org licen[cs]es? by nc nd"),
-    ("cc-by-nd", "cc", "cc by nd(?: [1-4] [05])?", "cc by nd [1-4] [05]", "creativecommons org licen[cs]es? by nd"),
-    ("public-domain", "domain", "(?:in|into|to) the public domain", "-", "-"),
-    ("all-rights-reserved", "reserved", "all rights reserved", "-", "-"),
+    ("cc-by", "creative commons", r"creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "-", "creativecommons org licen[cs]es? by [1-4] [05]"),
+    ("cc-by", "cc by", "cc by(?: [1-4] [05])?", "cc by [1-4] [05]", "-"),
+    ("cc-by-sa", "attribution share", r"creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "-", "creativecommons org licen[cs]es? by sa"),
+    ("cc-by-sa", "cc by", "cc by sa(?: [1-4] [05])?", "cc by sa [1-4] [05]", "-"),
+    ("cc-by-nc", "attribution non", r"creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?(?: licen[cs]e)?", "-", "creativecommons org licen[cs]es? by nc"),
+    ("cc-by-nc", "cc by", "cc by nc(?: [1-4] [05])?", "cc by nc [1-4] [05]", "-"),
+    ("cc-by-nc-sa", "cc by", "cc by nc sa(?: [1-4] [05])?", "cc by nc sa [1-4] [05]", "creativecommons org licen[cs]es? by nc sa"),
+    ("cc-by-nc-nd", "cc by", "cc by nc nd(?: [1-4] [05])?", "cc by nc nd [1-4] [05]", "creativecommons org licen[cs]es? by nc nd"),
+    ("cc-by-nd", "cc by", "cc by nd(?: [1-4] [05])?", "cc by nd [1-4] [05]", "creativecommons org licen[cs]es? by nd"),
+    ("public-domain", "public domain", "(?:in|into|to) the public domain", "-", "-"),
+    ("all-rights-reserved", "all rights reserved", "all rights reserved", "-", "-"),
 )
 _GRANT = r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|redistributed?) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:{})"
 
@@ -125,13 +123,36 @@ def _rules() -> tuple[Rule, ...]:
             out.append(Rule(label, "spdx", f"spdx licen[cs]e identifier (?:{tag})", 5, 1.0))
             out.append(Rule(label, "license", f"license (?:is )?(?:{tag})", 1, 0.6))
         if address != "-":
-            out.append(Rule(label, address.split()[0], f"(?:www )?(?:{address})", 4, 0.9))
+            out.append(Rule(label, " ".join(address.split()[:2]), f"(?:www )?(?:{address})", 4, 0.9))
     return (*out, *(Rule("unknown", k, f"{k} under (?:the )?(?:terms of )?[a-z0-9]+", 0, 0.3) for k in ("licensed", "licenced")))
 
 
 RULES = _rules()
 
 
+def _always(tree, part: str) -> bool:
+    """Whether every match of a parsed expression contains ``part``; False where that can't be told."""
+    run = ""
+    for op, arg in tree:
+        run = run + chr(arg) if op is parser.LITERAL else ""
+        if (
+            part in run
+            or (op is parser.SUBPATTERN and _always(arg[-1], part))
+            or (op is parser.BRANCH and all(_always(b, part) for b in arg[1]))
+            or (op in (parser.MAX_REPEAT, parser.MIN_REPEAT) and arg[0] > 0 and _always(arg[2], part))
+        ):
+            return True
+    return False
+
+
+def _gate(rules: tuple[Rule, ...]) -> str:
+    """An expression that every text with a match of a rule (or a phrase) meets before it is brought to words."""
+    patterns = [*((phrase, phrase) for _, phrase in PHRASES), *((r.keyword, r.pattern) for r in rules)]
+    parts = {_STEM if _always(parser.parse(pattern), _STEM) else keyword for keyword, pattern in patterns}
+    least = sorted(p for p in parts if not any(o != p and o in p for o in parts))
+    return "(?i)" + "|".join(f"[{_APART}]+".join(p.split(" ")) for p in least)
+
+
 def _words(text: Column) -> Column:
     """Lower-case words, each with a blank on either side of it."""
     return F.concat(F.lit(" "), F.regexp_replace(F.translate(text, _UPPER, _LOWER), f"[{_APART}]+", " "), F.lit(" "))
@@ -183,7 +204,7 @@ def license_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
         "doc_id",
         F.xxhash64("text").alias("sum"),
         F.regexp_count(text, F.lit(f"[^{_APART}]+")).cast("long").alias("n_words"),
-        F.when(text.rlike(_GATE), _words(text)).alias("words"),
+        F.when(text.rlike(_gate(rules)), _words(text)).alias("words"),
     )
     spans = F.when(F.col("words").isNotNull(), _detections("words", rules)).otherwise(F.array().cast(_SPANS))
     key = ["doc_id", "sum", "n_words"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
 import re
+from re import _parser as parser
 
-from evenkeel.llm import templates
+from evenkeel.llm import licenses, templates
 
 TEXTS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -41,3 +43,42 @@ def test_passages_and_edited_copies(spark):
     texts = [f"own words stand here {t} and here again" for t in texts]
     found = templates.contaminated(spark.createDataFrame(list(enumerate(texts)), TEXTS), spark.createDataFrame(list(items.items()), ITEMS)).collect()
     assert {(r.doc_id, r.item_id, r.n_windows) for r in found} == {(0, 1, 53), (1, 2, 13), (2, 3, 12), (6, 1, 6)}
+
+
+def _match(tree, r):
+    """A random text that a parsed expression matches."""
+    out = ""
+    for op, arg in tree:
+        if op is parser.LITERAL:
+            out += chr(arg)
+        elif op is parser.IN:
+            kind, x = r.choice(arg)
+            out += chr(x if kind is parser.LITERAL else r.randint(*x))
+        elif op is parser.SUBPATTERN:
+            out += _match(arg[-1], r)
+        elif op is parser.BRANCH:
+            out += _match(r.choice(arg[1]), r)
+        else:
+            assert op is parser.MAX_REPEAT
+            out += "".join(_match(arg[2], r) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+    return out
+
+
+def test_every_match_meets_gate_and_keyword():
+    r, gate = random.Random(11), re.compile(licenses._gate(licenses.RULES))
+    for rule in licenses.RULES:
+        for _ in range(60):
+            words = _match(parser.parse(rule.pattern), r)
+            assert re.fullmatch(rule.pattern, words) and rule.keyword in words, (rule, words)
+            raw = "".join(r.choice((" ", "-", "/", ".\n")) if c == " " else r.choice((c, c.upper())) for c in words)
+            assert gate.search(raw), (rule, raw)
+
+
+def test_licenses_behind_the_gate(spark):
+    texts = {
+        "Released under CDDL 1.0": "cddl-1", "0BSD": "0bsd", "zero-clause BSD": "0bsd", "MIT No Attribution": "mit-0", "https://www.mozilla.org/MPL/2.0/": "mpl-2",
+        "https://www.eclipse.org/legal/epl-v10.html": "epl-1", "http://scripts.sil.org/OFL": "ofl-1.1", "https://mariadb.com/bsl11/": "busl-1.1",
+        "Creative Commons Attribution-Share Alike 4.0": "cc-by-sa", "Creative Commons Attribution-Non Commercial 4.0": "cc-by-nc", "nothing of the kind": "",
+    }
+    table = spark.createDataFrame(list(enumerate(texts)), TEXTS)
+    assert [r.labels for r in sorted(licenses.digest(licenses.license_spans(table)).collect(), key=lambda r: r.doc_id)] == list(texts.values())
