@@ -154,8 +154,8 @@ def _gate(rules: tuple[Rule, ...]) -> str:
 
 
 def _words(text: Column) -> Column:
-    """Lower-case words, each with a blank on either side of it."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.translate(text, _UPPER, _LOWER), f"[{_APART}]+", " "), F.lit(" "))
+    """Lower-case words, each with one blank on either side of it."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate(text, _UPPER, _LOWER), f"[{_APART}]+", " ")), F.lit(" "))
 
 
 def _places(words: Column, pattern: Column, label: Column, base: Column, priority: Column, score: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 from re import _parser as parser
 
 from evenkeel.llm import licenses, templates
+from tests.llm import plain
 
 TEXTS = "doc_id long, text string"
 ITEMS = "item_id long, text string"
@@ -82,3 +83,11 @@ def test_licenses_behind_the_gate(spark):
     }
     table = spark.createDataFrame(list(enumerate(texts)), TEXTS)
     assert [r.labels for r in sorted(licenses.digest(licenses.license_spans(table)).collect(), key=lambda r: r.doc_id)] == list(texts.values())
+
+
+def test_license_places_behind_separators(spark):
+    texts = ["(c) 2020 under the MIT license", "# License\n\nunder the MIT license", "\n'cc-by-nc'", "\"Apache License, Version 2.0\"", "under the MIT license"]
+    found = licenses.digest(licenses.license_spans(spark.createDataFrame(list(enumerate(texts)), TEXTS))).collect()
+    want = [(k, *plain.license_base(t)) for k, t in enumerate(texts)]
+    assert sorted((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in found) == want
+    assert [w[3] for w in want] == [2, 1, 0, 0, 0]
