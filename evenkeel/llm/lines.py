@@ -53,8 +53,8 @@ def without_boilerplate(docs: DataFrame, min_sites: int = 8, max_share: float =
 
     Lines are cut at \\n and compared as they stand; those without a word are kept.
     A document of which more than ``max_share`` of the lines (with a
-    word) would go is a copy of a document rather than a carrier of
-    boilerplate: it stays whole, for the near-duplicate step to judge. A null text
+    word) would go stays whole, whether it is a copy of a document or a page with
+    few lines of its own; with ``max_share=1`` boilerplate goes everywhere. A null text
     stays null. Rows with the same doc_id and text get the same result.
     """
     held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("sum"))
