@@ -64,6 +64,15 @@ def _hashes(template: str, size: int) -> Column:
     return F.when(F.size(template) >= size, run).otherwise(F.array().cast("array<bigint>"))
 
 
+def _cased_hashes(template: str, cased: str, size: int) -> Column:
+    """Hashes of ``cased`` for the windows that hold a name; those of the others are the same as without."""
+    last = F.size(template) - size
+    names = F.filter(F.sequence(F.lit(0), F.size(template) - 1), lambda i: F.get(template, i) == NAME)
+    places = F.array_distinct(F.flatten(F.transform(names, lambda i: F.sequence(F.greatest(i - (size - 1), F.lit(0)), F.least(i, last)))))
+    run = F.transform(places, lambda i: F.xxhash64(*(F.get(cased, i + k) for k in range(size))))
+    return F.when(F.size(template) >= size, run).otherwise(F.array().cast("array<bigint>"))
+
+
 def _templates(texts: DataFrame, *keys: str) -> DataFrame:
     """(keys, values, template, cased) of every text; each layer is used twice above, so it is computed once."""
     tokens = texts.select(*keys, _tokens(F.col("text")).alias("tokens"))
@@ -71,15 +80,19 @@ def _templates(texts: DataFrame, *keys: str) -> DataFrame:
     return typed.select(*keys, "values", "template", _cased("template", "values").alias("cased"))
 
 
-def _windows(templates: DataFrame, size: int, *keys: str) -> DataFrame:
+def _windows(templates: DataFrame, size: int, *keys: str, only: DataFrame | None = None) -> DataFrame:
     """(keys, kind, hash, at, template, values) of every window, of kind 0 with names as placeholders and of kind 1 with names as words.
 
+    With ``only``, of the windows with its hashes, so that others are not cut out and sent through a shuffle.
+
     The generator is an outer one, since Spark would test an inner one's array in a filter below the projections
     and compute all templates once per window there.
     """
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("template")) for k, c in enumerate(("template", "cased"))))
     both = templates.select(*keys, "values", F.explode(kinds).alias("of")).select(*keys, "values", "of.*")
     placed = both.select(*keys, "kind", "values", "template", F.posexplode_outer(_hashes("template", size)).alias("at", "hash")).where("hash IS NOT NULL")
+    if only is not None:
+        placed = placed.join(only, "hash", "left_semi")
     return placed.select(*keys, "kind", "hash", "at", F.slice("template", F.col("at") + 1, size).alias("template"), F.slice("values", F.col("at") + 1, size).alias("values"))
 
 
@@ -125,10 +138,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent:
         if hashes.count() * 16 <= _SENT_BYTES:
             hashes = F.broadcast(hashes)
         # First the documents with any window, without their texts in the join; then the windows of those alone.
-        all_windows = _templates(held, "doc_id", "sum").select("doc_id", "sum", F.concat(_hashes("template", s), _hashes("cased", s)).alias("hashes"))
+        all_windows = _templates(held, "doc_id", "sum").select("doc_id", "sum", F.concat(_hashes("template", s), _cased_hashes("template", "cased", s)).alias("hashes"))
         touched = all_windows.select("doc_id", "sum", F.explode_outer("hashes").alias("hash")).join(hashes, "hash", "left_semi").select("doc_id", "sum").distinct()
         touched = materialise(touched)
-        again = _windows(_templates(held.join(touched, ["doc_id", "sum"], "left_semi"), "doc_id"), s, "doc_id")
+        again = _windows(_templates(held.join(touched, ["doc_id", "sum"], "left_semi"), "doc_id"), s, "doc_id", only=hashes)
         mine = own.select("kind", "hash", "item_id", F.col("at").alias("item_at"), F.col("template").alias("item_template"), F.col("values").alias("item_values"))
         met = again.join(mine, ["kind", "hash"]).where(F.col("template") == F.col("item_template"))
         total = own.groupBy("item_id", "kind").agg(F.count_distinct("at").alias("total"))
