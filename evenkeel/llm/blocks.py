@@ -52,6 +52,14 @@ def dealt(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(bucket[order[a]]), order[a:b]
 
 
+def dealt_in_order(keys: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, start, end) of each of ``n`` equal ranges of 64-bit values that sorted ``keys`` have members in."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+    bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=n))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield int(bucket[a]), a, b
+
+
 def unpacked(column: pa.ChunkedArray, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The values of all packed rows together, and the row of each."""
     parts = [np.frombuffer(x, kind) for x in column.to_pylist()]

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evenkeel.sources import shared_folder
 
-from . import jaccard, licenses, lines, packing, quality, secrets, sharding, simple8b, substrings, templates
+from . import codebooks, collocations, hmm, jaccard, licenses, lines, packing, quality, secrets, sharding, simple8b, substrings, templates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), max_words=3, least=10, covered=50, top=2000)
+
+
+def op12_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.digest(table(spark, sf_dir, "embeddings"), parts=16)
+
+
+def op13_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, sf_dir, "documents"), states=8, rounds=2, least=10)
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_simple8b": op2_simple8b,
@@ -75,6 +87,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
+    "op12_codebooks": op12_codebooks,
+    "op13_hidden_markov": op13_hidden_markov,
 }
 
 #: Words of each document, numbered.
@@ -84,6 +99,24 @@ WORDS AS (
   FROM (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)
 )"""
 
+
+def _round_of_codebooks(i: int) -> str:
+    """The parts' nearest entries in codebook i, and the codebook after that round."""
+    return f"""
+A{i} AS (
+  SELECT r, part, x, min((d, entry)) AS best FROM (
+    SELECT r, part, p.x, entry, coalesce(list_sum(list_transform(range(1, len(p.x) + 1), lambda j: (p.x[j] - b.x[j]) * (p.x[j] - b.x[j]))), 0)::BIGINT AS d
+    FROM P p JOIN B{i} b USING (part)
+  ) GROUP BY r, part, x
+),
+M{i} AS (
+  SELECT part, entry, list((s - (((s % n) + n) % n)) // n ORDER BY j) AS x FROM (
+    SELECT part, best[2] AS entry, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM (SELECT part, best, x, unnest(range(1, len(x) + 1)) AS j FROM A{i}) GROUP BY ALL
+  ) GROUP BY part, entry
+),
+B{i + 1} AS (SELECT part, entry, coalesce(m.x, b.x) AS x FROM B{i} b LEFT JOIN M{i} m USING (part, entry))"""
+
+
 ORACLE = {
     "op1_substring_dedup": f"""
 WITH {_WORDS},
@@ -230,4 +263,49 @@ SELECT doc_id, item_id, n_windows, n_slots, n_changed
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_changed, shift) AS r FROM F
       WHERE 100 * n_windows >= 30 * total AND 100 * (n_slots - n_mixed) >= 80 * n_slots)
 WHERE r = 1""",
+    "op11_collocations": r"""
+WITH PIECES AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+  )
+),
+GRAMS AS (
+  SELECT lang, size, phrase, count(*) AS n FROM (
+    SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase
+    FROM PIECES, (SELECT unnest([1, 2, 3]) AS size)
+  ) GROUP BY ALL
+),
+TOTAL AS (SELECT lang, sum(n)::BIGINT AS n FROM GRAMS WHERE size = 1 GROUP BY lang),
+LONGER AS (SELECT *, string_split(phrase, ' ') AS w FROM GRAMS WHERE size > 1 AND n >= 10),
+CUTS AS (
+  SELECT c.lang, c.phrase, c.n AS a, k, l.n AS l, r.n AS r, (1000000::HUGEINT * c.n * c.n // (l.n::HUGEINT * r.n))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM LONGER) c
+  JOIN GRAMS l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:k], ' ')
+  JOIN GRAMS r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+),
+LOWEST AS (SELECT * FROM CUTS QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+HELD AS (
+  SELECT lang, phrase, max(n) AS longest FROM (SELECT lang, n, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM LONGER WHERE size = 3)
+  GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, t.n, score
+FROM LOWEST JOIN TOTAL t USING (lang) LEFT JOIN HELD h USING (lang, phrase)
+WHERE longest IS NULL OR 100 * longest < 50 * a QUALIFY rank <= 2000""",
+    "op12_codebooks": f"""
+WITH K AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, * FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  )
+),
+P AS (SELECT r, part, v[part * len(v) // 16 + 1 : (part + 1) * len(v) // 16] AS x FROM K, (SELECT unnest(range(16)) AS part)),
+B0 AS (SELECT part, r - 1 AS entry, x FROM P WHERE r <= 64),{_round_of_codebooks(0)},{_round_of_codebooks(1)},{_round_of_codebooks(2)},
+CODED AS (SELECT r, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, sum(best[1])::BIGINT AS error FROM A2 GROUP BY r),
+BOOKS AS (
+  SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, j)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS j FROM B2)
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM K JOIN CODED USING (r), BOOKS""",
 }
