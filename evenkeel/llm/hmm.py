@@ -18,7 +18,7 @@ from .words import mix
 
 #: Tokens per hash partition of the words, on average.
 PARTITION_TOKENS = 2 << 20
-_PAGE_BYTES = 16 << 20
+_PAGE_BYTES = 8 << 20
 #: The end of a text among the words: no hash of a word.
 _END = (np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1))
 #: At first, how much likelier a word is in one state than in another at most, and the chance to stay in a state.
@@ -70,8 +70,9 @@ class Steps:
         steps = np.arange(falling[0] if len(falling) else 0)
         self.width = np.searchsorted(-falling, -steps, side="left")
         self.at = np.concatenate([[0], np.cumsum(self.width)])
-        rank = np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.width)
-        self.tokens = ids[starts[self.order][rank] + np.repeat(steps, self.width)]
+        place = starts[self.order][np.arange(self.at[-1]) - np.repeat(self.at[:-1], self.width)]
+        place += np.repeat(steps, self.width)
+        self.tokens = ids[place]
         self.width, self.at = self.width.tolist(), self.at.tolist()
 
     def likelihoods(self, start: np.ndarray, step: np.ndarray, emissions: np.ndarray) -> np.ndarray:
