@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.sources import materialise
 
-from .blocks import dealt_in_order, found
+from .blocks import found
 from .pages import hashes, paged
 from .words import mix, windows
 
@@ -21,6 +21,7 @@ from .words import mix, windows
 _ENDS, _SPACE = b".,;:!?\n\v\f\r", b" \t"
 #: Occurrences per hash partition, on average; a summary holds at most this many, divided by the threshold.
 PARTITION_MASS = 2 << 20
+_RANKED_PARTS = 64
 
 
 class Summary:
@@ -57,10 +58,13 @@ class Summary:
 
 
 def _summarised(least: int):
-    """Per hash partition: the candidates among the counts of all pages, told to each page that holds them."""
+    """Per hash partition: the n-grams that can be frequent among the counts of all pages, told to each page that holds them.
+
+    The summary keeps the candidates; a second look at the same counts adds up theirs exactly.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, "<u8") for x in table["keys"].to_pylist()]
+        keys = [np.frombuffer(x, "<u4").astype(np.uint64) for x in table["keys"].to_pylist()]
         counts = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()]
         summary = Summary(sum(int(c.sum()) for c in counts) // least + 1)
         at = 0
@@ -71,21 +75,31 @@ def _summarised(least: int):
             summary.merge(np.concatenate(keys[at:end]), np.concatenate(counts[at:end]))
             at = end
         possible = summary.possible(least)
+        exact = np.zeros(len(possible), np.int64)
+        for k, c in zip(keys, counts, strict=True):
+            place = found(k, possible)
+            exact[place[place >= 0]] += c[place >= 0]  # no key twice in a row
+        possible = possible[exact >= least]
         left = [k[found(k, possible) >= 0] for k in keys]
         told = [i for i, k in enumerate(left) if len(k)]
         return pa.table({
             "page": pa.array([table["page"][i].as_py() for i in told], pa.int64()),
+            "bucket": pa.array([table["bucket"][i].as_py() for i in told], pa.int32()),
             "size": pa.array([table["size"][i].as_py() for i in told], pa.int32()),
-            "keys": pa.array([left[i].tobytes() for i in told], pa.binary()),
+            "keys": pa.array([left[i].astype("<u4").tobytes() for i in told], pa.binary()),
         })
 
     return run
 
 
 class _Page:
-    """The words of one page, and the hashes of its n-grams."""
+    """The words of one page, and the hashes of its n-grams: 32 bits for the partition and 32 within it.
+
+    A partition holds about as many occurrences at any size of the input, so few n-grams share a hash.
+    """
 
-    def __init__(self, row: dict) -> None:
+    def __init__(self, row: dict, partitions: int) -> None:
+        self.partitions = np.uint64(partitions)
         self.page, self.lang = row["page"], row["part"]
         self.ids = np.frombuffer(row["ids"], "<u4")
         self.words = row["words"]
@@ -99,7 +113,9 @@ class _Page:
 
     def keys(self, size: int) -> np.ndarray:
         """The hash of the n-gram that begins at each place."""
-        return windows(self._line, size, size)
+        h = windows(self._line, size, size)
+        low = np.uint64(32)
+        return (h >> low) * self.partitions + ((h & np.uint64(0xFFFFFFFF)) * self.partitions >> low)
 
     def inside(self, size: int) -> np.ndarray:
         """Whether the n-gram that begins at each place lies within a piece."""
@@ -121,7 +137,7 @@ class _Page:
         return out
 
 
-def _requests(size: int, partitions: int):
+def _requests(size: int):
     """The counts of a page's n-grams of ``size`` words, all of whose parts are candidates, one row per hash partition."""
 
     def run(page: _Page, told: dict[int, np.ndarray]) -> Iterator[tuple]:
@@ -130,8 +146,10 @@ def _requests(size: int, partitions: int):
             parts = page.held(size - 1, told.get(size - 1))
             ok &= parts[:-1] & parts[1:]
         keys, counts = np.unique(page.keys(size)[ok], return_counts=True)
-        for bucket, a, b in dealt_in_order(keys, partitions):
-            yield bucket, page.page, size, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()
+        bucket, keys = (keys >> np.uint64(32)).astype(np.int64), keys.astype("<u4")
+        bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield int(bucket[a]), page.page, size, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()
 
     return run
 
@@ -140,18 +158,18 @@ _REQUEST = "bucket int, page long, size int, keys binary, counts binary"
 _REQUEST_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
 
-def _rows(pages: pa.Table, answers: pa.Table | None) -> Iterator[tuple[_Page, dict[int, np.ndarray]]]:
+def _rows(pages: pa.Table, answers: pa.Table | None, partitions: int) -> Iterator[tuple[_Page, dict[int, np.ndarray]]]:
     told: dict[int, list] = {}
     if answers is not None:
-        for size, keys in zip(answers["size"].to_pylist(), answers["keys"].to_pylist(), strict=True):
-            told.setdefault(size, []).append(np.frombuffer(keys, "<u8"))
+        for size, bucket, keys in zip(*(answers[c].to_pylist() for c in ("size", "bucket", "keys")), strict=True):
+            told.setdefault(size, []).append(np.frombuffer(keys, "<u4") + (np.uint64(bucket) << np.uint64(32)))
     held = {size: np.sort(np.concatenate(parts)) for size, parts in told.items()}
     for row in pages.select(["page", "part", "words", "ids"]).to_pylist():
-        yield _Page(row), held
+        yield _Page(row, partitions), held
 
 
 def _asked(pages: DataFrame, answers: DataFrame | None, size: int, partitions: int) -> DataFrame:
-    ask = _requests(size, partitions)
+    ask = _requests(size)
 
     def table(rows: list[tuple]) -> pa.Table:
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(_REQUEST_TYPES)
@@ -160,11 +178,11 @@ def _asked(pages: DataFrame, answers: DataFrame | None, size: int, partitions: i
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                for page, held in _rows(pa.Table.from_batches([batch.slice(i, 1)]), None):
+                for page, held in _rows(pa.Table.from_batches([batch.slice(i, 1)]), None, partitions):
                     yield from table(list(ask(page, held))).to_batches()
 
     def met(pages: pa.Table, answers: pa.Table) -> pa.Table:
-        return table([r for page, held in _rows(pages, answers) for r in ask(page, held)])
+        return table([r for page, held in _rows(pages, answers, partitions) for r in ask(page, held)])
 
     pages = pages.select("page", "part", "words", "ids")
     if answers is None:
@@ -205,7 +223,7 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, folder:
     Pages count their n-grams and send the counts to hash partitions. There a Misra-Gries
     summary, with more room than its mass divided by ``least``, keeps every n-gram that can be frequent, and
     tells each page which of its own those are. Longer n-grams are counted only where both parts are candidates.
-    The second pass counts the candidates by their words, so a hash can let through a rare one but never add up two.
+    At the end the candidates are counted by their words, so a hash can let through a rare one but never add up two.
     """
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
     with paged(docs, lang, _SPACE, _ENDS, folder=folder) as (pages, own):
@@ -215,11 +233,11 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, folder:
         partitions = max(1, -(-mass // PARTITION_MASS))
         for size in range(1, max_words + 1):
             asked = _asked(pages, answers if answers is None else answers.where(F.col("size") == size - 1), size, partitions)
-            told = materialise(asked.groupBy("bucket").applyInArrow(_summarised(least), "page long, size int, keys binary"), own)
+            told = materialise(asked.groupBy("bucket").applyInArrow(_summarised(least), "page long, bucket int, size int, keys binary"), own)
             answers = told if answers is None else answers.unionByName(told)
 
         def counted(pages: pa.Table, answers: pa.Table) -> pa.Table:
-            return pa.concat_tables([t for page, held in _rows(pages, answers) for t in _phrases(page, held, max_words)])
+            return pa.concat_tables([t for page, held in _rows(pages, answers, partitions) for t in _phrases(page, held, max_words)])
 
         rows = pages.select("page", "part", "words", "ids").groupBy("page").cogroup(answers.groupBy("page")).applyInArrow(counted, "lang string, size int, phrase string, n long")
         summed = rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -268,8 +286,12 @@ def collocations(docs: DataFrame, max_words: int = 3, least: int = 10, covered:
     holders = longer.where(F.col("size") > 2).select("lang", F.explode(parts).alias("phrase"), "n")
     holders = holders.groupBy("lang", "phrase").agg(F.max("n").alias("longest"))
     kept = scored.join(holders, ["lang", "phrase"], "left").where(F.col("longest").isNull() | (F.lit(100) * F.col("longest") < F.lit(covered) * F.col("a")))
-    order = W.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # First the best of each of some parts of a language, so that the last task of a language has few rows.
+    kept = kept.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(_RANKED_PARTS)))
+    for by in (["lang", "_part"], ["lang"]):
+        order = W.partitionBy(*by).orderBy(F.desc("cut.score"), F.desc("a"), F.asc("phrase"))
+        kept = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    ranked = kept
     totals = held.where(F.col("size") == 0).select("lang", F.col("n").alias("n"))
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score")

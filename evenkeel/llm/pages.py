@@ -115,7 +115,7 @@ def paged(docs: DataFrame, part: Column | None = None, space: bytes = _SPACE, en
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", part.cast("string").alias("part"))
     name = f"pages_{uuid.uuid4().hex}"
     with scratch(spark, folder) as own:
-        buckets = block_count(docs, 2 * page_bytes)
+        buckets = block_count(docs, 4 * page_bytes)
         written = named.mapInArrow(cut, _SCHEMA).write.format("parquet").bucketBy(buckets, "page").sortBy("page")
         try:
             written.option("path", f"{own}/pages").saveAsTable(name)
