@@ -60,7 +60,8 @@ class Summary:
 def _summarised(least: int):
     """Per hash partition: the n-grams that can be frequent among the counts of all pages, told to each page that holds them.
 
-    The summary keeps the candidates; a second look at the same counts adds up theirs exactly.
+    The summary keeps the candidates; a second look at the same counts adds up theirs exactly. A page is told in bits, one for
+    each n-gram that it asked about.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -80,13 +81,13 @@ def _summarised(least: int):
             place = found(k, possible)
             exact[place[place >= 0]] += c[place >= 0]  # no key twice in a row
         possible = possible[exact >= least]
-        left = [k[found(k, possible) >= 0] for k in keys]
-        told = [i for i, k in enumerate(left) if len(k)]
+        left = [found(k, possible) >= 0 for k in keys]
+        told = [i for i, hit in enumerate(left) if hit.any()]
         return pa.table({
             "page": pa.array([table["page"][i].as_py() for i in told], pa.int64()),
             "bucket": pa.array([table["bucket"][i].as_py() for i in told], pa.int32()),
             "size": pa.array([table["size"][i].as_py() for i in told], pa.int32()),
-            "keys": pa.array([left[i].astype("<u4").tobytes() for i in told], pa.binary()),
+            "hits": pa.array([np.packbits(left[i]).tobytes() for i in told], pa.binary()),
         })
 
     return run
@@ -126,71 +127,75 @@ class _Page:
             out &= word[i : i + n]
         return out
 
-    def held(self, size: int, keys: np.ndarray | None) -> np.ndarray:
-        """Whether the n-gram that begins at each place is a candidate."""
+    def candidates(self, size: int, held: dict[int, np.ndarray]) -> np.ndarray:
+        """Whether the n-gram that begins at each place is one of ``held[size]``."""
         out = self.inside(size)
-        if keys is None:
-            out[:] = False
-            return out
         at = np.flatnonzero(out)
-        out[at] = found(self.keys(size)[at], keys) >= 0
+        out[at] = found(self.keys(size)[at], held[size]) >= 0
         return out
 
-
-def _requests(size: int):
-    """The counts of a page's n-grams of ``size`` words, all of whose parts are candidates, one row per hash partition."""
-
-    def run(page: _Page, told: dict[int, np.ndarray]) -> Iterator[tuple]:
-        ok = page.inside(size)
+    def asks(self, size: int, held: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the n-grams of ``size`` words, all of whose parts are candidates, in order, and their counts."""
+        ok = self.inside(size)
         if size > 1:
-            parts = page.held(size - 1, told.get(size - 1))
+            parts = self.candidates(size - 1, held)
             ok &= parts[:-1] & parts[1:]
-        keys, counts = np.unique(page.keys(size)[ok], return_counts=True)
-        bucket, keys = (keys >> np.uint64(32)).astype(np.int64), keys.astype("<u4")
-        bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield int(bucket[a]), page.page, size, keys[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()
-
-    return run
+        return np.unique(self.keys(size)[ok], return_counts=True)
+
+    def hears(self, answers: list[dict]) -> dict[int, np.ndarray]:
+        """By size, the hashes of the page's candidates that the partitions have answered about so far."""
+        held: dict[int, np.ndarray] = {}
+        for size in range(1, max((r["size"] for r in answers), default=0) + 1):
+            keys, _ = self.asks(size, held)
+            hit = np.zeros(len(keys), bool)
+            bounds = dict(_by_partition(keys))
+            for r in answers:
+                if r["size"] == size:
+                    span = bounds[r["bucket"]]
+                    hit[span] = np.unpackbits(np.frombuffer(r["hits"], np.uint8), count=span.stop - span.start).astype(bool)
+            held[size] = keys[hit]
+        return held
+
+
+def _by_partition(keys: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """(hash partition, its place) of ordered hashes."""
+    bucket = (keys >> np.uint64(32)).astype(np.int64)
+    bounds = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield int(bucket[a]), slice(a, b)
 
 
 _REQUEST = "bucket int, page long, size int, keys binary, counts binary"
 _REQUEST_TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
 
-def _rows(pages: pa.Table, answers: pa.Table | None, partitions: int) -> Iterator[tuple[_Page, dict[int, np.ndarray]]]:
-    told: dict[int, list] = {}
-    if answers is not None:
-        for size, bucket, keys in zip(*(answers[c].to_pylist() for c in ("size", "bucket", "keys")), strict=True):
-            told.setdefault(size, []).append(np.frombuffer(keys, "<u4") + (np.uint64(bucket) << np.uint64(32)))
-    held = {size: np.sort(np.concatenate(parts)) for size, parts in told.items()}
-    for row in pages.select(["page", "part", "words", "ids"]).to_pylist():
-        yield _Page(row, partitions), held
-
-
 def _asked(pages: DataFrame, answers: DataFrame | None, size: int, partitions: int) -> DataFrame:
-    ask = _requests(size)
-
-    def table(rows: list[tuple]) -> pa.Table:
+    """The counts of each page's n-grams that can be frequent as far as is known, one row per hash partition."""
+
+    def ask(row: dict, answers: list[dict]) -> pa.Table:
+        page = _Page(row, partitions)
+        held = page.hears(answers)
+        held.setdefault(size - 1, np.zeros(0, np.uint64))
+        keys, counts = page.asks(size, held)
+        short = keys.astype("<u4")
+        rows = [(b, page.page, size, short[at].tobytes(), counts[at].astype("<u4").tobytes()) for b, at in _by_partition(keys)]
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(_REQUEST_TYPES)
         return pa.table([pa.array(c, t) for c, t in zip(columns, _REQUEST_TYPES, strict=True)], names=[c.split()[0] for c in _REQUEST.split(", ")])
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                for page, held in _rows(pa.Table.from_batches([batch.slice(i, 1)]), None, partitions):
-                    yield from table(list(ask(page, held))).to_batches()
+                yield from ask(batch.slice(i, 1).to_pylist()[0], []).to_batches()
 
     def met(pages: pa.Table, answers: pa.Table) -> pa.Table:
-        return table([r for page, held in _rows(pages, answers, partitions) for r in ask(page, held)])
+        return pa.concat_tables([ask(row, answers.to_pylist()) for row in pages.to_pylist()])
 
-    pages = pages.select("page", "part", "words", "ids")
     if answers is None:
         return pages.mapInArrow(alone, _REQUEST)
     return pages.groupBy("page").cogroup(answers.groupBy("page")).applyInArrow(met, _REQUEST)
 
 
-def _phrases(page: _Page, told: dict[int, np.ndarray], sizes: int) -> Iterator[pa.Table]:
+def _phrases(page: _Page, held: dict[int, np.ndarray], sizes: int) -> Iterator[pa.Table]:
     """(lang, size, phrase, n): the candidates of a page with their counts, told apart by their words."""
     words = pa.array([b"", *page.words.split(b"\n")] if page.words else [b""], pa.binary())
     number = page.ids.astype(np.int64)  # for n-grams of the size at hand: equal numbers, equal words
@@ -198,10 +203,11 @@ def _phrases(page: _Page, told: dict[int, np.ndarray], sizes: int) -> Iterator[p
         n = max(len(page.ids) - size + 1, 0)
         if size > 1:
             pair = number[:n] * np.int64(len(words)) + page.ids[size - 1 : size - 1 + n]
-            at = np.flatnonzero(page.held(size, told.get(size)))
-            number = np.zeros(n, np.int64)
         else:
-            pair, at = number, np.flatnonzero(page.held(1, told.get(1)))
+            pair = number
+        at = np.flatnonzero(page.candidates(size, held)) if size in held else np.zeros(0, np.int64)
+        if size > 1:
+            number = np.zeros(n, np.int64)
         _, first, same, counts = np.unique(pair[at], return_index=True, return_inverse=True, return_counts=True)
         if size > 1:
             number[at] = same + 1  # dense, so that the next pair stays within 64 bits
@@ -229,17 +235,18 @@ def phrase_counts(docs: DataFrame, max_words: int = 3, least: int = 10, folder:
     with paged(docs, lang, _SPACE, _ENDS, folder=folder) as (pages, own):
         totals = pages.groupBy("part").agg(F.sum("n_words").alias("n"))
         mass = pages.agg(F.sum("n_words")).first()[0] or 0
-        answers: DataFrame | None = None
+        pages, answers = pages.select("page", "part", "words", "ids"), None
         partitions = max(1, -(-mass // PARTITION_MASS))
         for size in range(1, max_words + 1):
-            asked = _asked(pages, answers if answers is None else answers.where(F.col("size") == size - 1), size, partitions)
-            told = materialise(asked.groupBy("bucket").applyInArrow(_summarised(least), "page long, bucket int, size int, keys binary"), own)
+            asked = _asked(pages, answers, size, partitions)
+            told = materialise(asked.groupBy("bucket").applyInArrow(_summarised(least), "page long, bucket int, size int, hits binary"), own)
             answers = told if answers is None else answers.unionByName(told)
 
         def counted(pages: pa.Table, answers: pa.Table) -> pa.Table:
-            return pa.concat_tables([t for page, held in _rows(pages, answers, partitions) for t in _phrases(page, held, max_words)])
+            told, read = answers.to_pylist(), [_Page(row, partitions) for row in pages.to_pylist()]
+            return pa.concat_tables([t for page in read for t in _phrases(page, page.hears(told), max_words)])
 
-        rows = pages.select("page", "part", "words", "ids").groupBy("page").cogroup(answers.groupBy("page")).applyInArrow(counted, "lang string, size int, phrase string, n long")
+        rows = pages.groupBy("page").cogroup(answers.groupBy("page")).applyInArrow(counted, "lang string, size int, phrase string, n long")
         summed = rows.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         alls = totals.where("n > 0").select(F.col("part").alias("lang"), F.lit(0).alias("size"), F.lit("").alias("phrase"), "n")
         return materialise(summed.unionByName(alls), folder)
