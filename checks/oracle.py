@@ -294,8 +294,7 @@ _LOCATED_AFTER = f"""{_moves("orders", 50)}
     LATERAL (SELECT CASE WHEN m.needs_isolation THEN {LAST_SHARD} + m.move_no
                          ELSE {_ORDERS_BASE} + b END AS s)"""
 
-_COLOCATED = f"""{_moves("orders")},
-    own AS ({_placed("customer")})
+_CUSTOMERS_AFTER = f"""
     SELECT coalesce(m.target_node, w.target_node, own.nodename) AS nodename,
            coalesce(m.target_port, w.target_port, own.nodeport) AS nodeport,
            CASE WHEN m.move_no IS NOT NULL THEN {LAST_SHARD} + m.move_no ELSE own.shardid END AS shardid,
@@ -304,6 +303,63 @@ _COLOCATED = f"""{_moves("orders")},
     LEFT JOIN moves w ON NOT w.needs_isolation
          AND w.shardid - {_ORDERS_BASE} = own.shardid - {layout.TABLES["customer"][2]}"""
 
+_COLOCATED = f"""{_moves("orders")}, own AS ({_placed("customer")}) {_CUSTOMERS_AFTER}"""
+
+
+def _hash(key: str) -> str:
+    return f"('0x' || substr(md5(({key})::VARCHAR), 1, 8))::BIGINT"
+
+
+# All cut positions of the hash space in a row: each begins a range that ends before the next. What begins at an isolated hash is its
+# own shard's, the rest belongs to the shard of its hash.
+def _ranges(max_moves: int | None) -> str:
+    return f"""{_moves("orders", max_moves)},
+    own AS (
+      SELECT {_hash("dist_value")} AS h, min({LAST_SHARD} + move_no) AS s FROM moves WHERE needs_isolation GROUP BY ALL
+    ),
+    starts AS (
+      SELECT DISTINCT low FROM (
+        SELECT (i * 4294967296 + {N - 1}) // {N} AS low FROM (SELECT unnest(range({N}))::BIGINT AS i)
+        UNION ALL SELECT h FROM own UNION ALL SELECT h + 1 FROM own WHERE h < 4294967295
+      )
+    ),
+    ranges AS (
+      SELECT coalesce(s, {_ORDERS_BASE} + ((low * {N}) >> 32)) AS shardid, low,
+             lead(low, 1, 4294967296) OVER (ORDER BY low) - 1 AS high
+      FROM starts LEFT JOIN own ON h = low
+    )"""
+
+
+def _levelled() -> str:
+    bases = " ".join(f"WHEN '{t}' THEN {base}" for t, (_, _, base, _) in layout.TABLES.items())
+    return f"""
+    WITH weights AS (
+      SELECT nodename, nodeport, shardid - CASE table_name {bases} END AS place, sum(shard_size)::BIGINT AS weight
+      FROM ({_shard_stats()}) WHERE colocation_id = 1 GROUP BY ALL
+    ),
+    loads AS (
+      SELECT *, sum(load) OVER ()::BIGINT AS total, count(*) OVER () AS n, ((sum(load) OVER () * 1100) // (count(*) OVER () * 1000))::BIGINT AS most
+      FROM (SELECT 'worker-' || g AS nodename, 5432::INTEGER AS nodeport, coalesce(sum(weight), 0)::BIGINT AS load
+            FROM (SELECT unnest({list(layout.GROUP_STARTS)}) AS g) LEFT JOIN weights ON nodename = 'worker-' || g GROUP BY ALL)
+    ),
+    given AS (
+      SELECT *, sum(weight) OVER (ORDER BY nodename, nodeport, weight, place)::BIGINT AS line_to FROM (
+        SELECT w.*, load, most, sum(weight) OVER (PARTITION BY nodename, nodeport ORDER BY weight, place)::BIGINT AS upto
+        FROM weights w JOIN loads USING (nodename, nodeport)
+      ) WHERE load - upto + weight > most AND load > upto
+    ),
+    room AS (
+      SELECT nodename AS target_node, nodeport AS target_port, most - load AS room,
+             sum(most - load) OVER (ORDER BY most - load DESC, nodename, nodeport)::BIGINT AS room_to
+      FROM loads WHERE load * n < total AND most > load
+    ),
+    spot AS (
+      SELECT *, ((2 * line_to - weight)::HUGEINT * (SELECT sum(room) FROM room) // (2 * (SELECT sum(weight) FROM given)))::BIGINT AS spot FROM given
+    )
+    SELECT place, weight, nodename AS source_node, nodeport AS source_port, target_node, target_port
+    FROM spot JOIN room ON spot >= room_to - room AND spot < room_to"""
+
+
 ORACLE: dict[str, str] = {
     "shard_of": f"SELECT o_orderkey, o_custkey, {_bucket('o_custkey')} AS bucket FROM orders",
     "place_keys": _placed("orders"),
@@ -367,6 +423,27 @@ ORACLE: dict[str, str] = {
     "balance_report_shards": f"{_moved('orders')} {_report('nodename, nodeport, shardid')}",
     "balance_report_nodes": f"{_moved('orders')} {_report('nodename, nodeport')}",
     "size_report": _size_report(),
+    "shard_ranges": f"""{_ranges(50)}
+        SELECT shardid, low, high, count(k) AS n_keys
+        FROM ranges LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) ON {_hash("k")} BETWEEN low AND high GROUP BY ALL""",
+    "keys_per_shard_by_range": f"""{_ranges(None)},
+        whole AS (SELECT shardid, target_node, target_port FROM moves WHERE NOT needs_isolation)
+        SELECT coalesce(w.target_node, m.target_node, 'worker-' || {_group("b")}) AS nodename,
+               coalesce(w.target_port, m.target_port, 5432)::INTEGER AS nodeport, r.shardid, count(*) AS dist_value_count
+        FROM (SELECT DISTINCT o_custkey AS k, {_bucket("o_custkey")} AS b FROM orders)
+        JOIN ranges r ON {_hash("k")} BETWEEN low AND high
+        LEFT JOIN whole w USING (shardid) LEFT JOIN moves m ON r.shardid = {LAST_SHARD} + m.move_no AND m.needs_isolation
+        GROUP BY ALL""",
+    "locate_keys_by_range": _LOCATED_AFTER,
+    "shard_moves": _levelled(),
+    "rebalance_by_name": f"""{_moved("orders")},
+        own AS ({_placed("customer")}), customers AS ({_CUSTOMERS_AFTER})
+        SELECT 'orders' AS table_name, nodename, nodeport, shardid, count(*) AS dist_value_count FROM after_moves GROUP BY ALL
+        UNION ALL
+        SELECT 'customer', nodename, nodeport, shardid, count(*) FROM customers GROUP BY ALL""",
+    "relayout_moves": f"""{_moved("documents", 50)}
+        SELECT nodename, nodeport, shardid, count(*) AS n_rows, sum(n_chars)::BIGINT AS n_chars
+        FROM documents JOIN after_moves ON doc_id = dist_value GROUP BY ALL""",
     "relayout": f"""{_moved("documents")}
         SELECT nodename, nodeport, shardid, count(*) AS n_rows, sum(n_chars)::BIGINT AS n_chars
         FROM documents JOIN after_moves ON doc_id = dist_value GROUP BY ALL""",

@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import layout
+from evenkeel import Cluster
 from evenkeel.functions import shard_of, size_pretty, to_blocks
+from evenkeel.functions.scalar import hash_of
 from evenkeel.operators import inventory, placement, runs, sizes, stats
-from evenkeel.plans import rebalance
+from evenkeel.operators import ranges as hash_directory
+from evenkeel.plans import layout as stored_layout
+from evenkeel.plans import levelling, rebalance
 from evenkeel.sources import file_shard_stats, materialise, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,6 +209,63 @@ def q_relayout_files(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("nodename", "nodeport", "shardid", "table_name", (F.col("shard_size") > 0).alias("stored"))
 
 
+def _ranges_after(spark: SparkSession, sf: str, moves: int | None) -> tuple[rebalance.Applied, DataFrame]:
+    done = _applied(spark, sf, moves)
+    dist = placement.typed(layout.dist_of("orders"), layout.table(spark, sf, "orders"))
+    return done, hash_directory.split_ranges(hash_directory.hash_ranges(spark, dist), done.isolated, dist)
+
+
+def q_shard_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """The directory of hash ranges after 50 moves, with the keys that lie in each range."""
+    _, ranges = _ranges_after(spark, sf, 50)
+    keys = layout.table(spark, sf, "orders").select("o_custkey").distinct()
+    held = hash_directory.in_ranges(keys, hash_of("o_custkey", "bigint"), ranges.withColumn("shardid", F.col("low")))
+    held = held.groupBy(F.col("shardid").alias("low")).agg(F.count(F.lit(1)).alias("n_keys"))
+    return ranges.join(held, "low", "left").select("shardid", "low", "high", F.coalesce("n_keys", F.lit(0).cast("long")).alias("n_keys"))
+
+
+def q_keys_per_shard_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    done, ranges = _ranges_after(spark, sf, None)
+    return placement.keys_per_shard(
+        layout.table(spark, sf, "orders"), layout.dist_of("orders"), done.placements, layout.nodes(spark), ranges=ranges
+    )
+
+
+def q_locate_keys_by_range(spark: SparkSession, sf: str) -> DataFrame:
+    done, ranges = _ranges_after(spark, sf, 50)
+    keys = layout.table(spark, sf, "customer").select("c_custkey")
+    return placement.locate_keys(
+        keys, "c_custkey", layout.distribution(spark), done.placements, layout.nodes(spark), "orders", ranges=ranges
+    )
+
+
+def q_shard_moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole shards of customers and orders that level the bytes of the nodes."""
+    return levelling.shard_moves(layout.shard_stats(spark, sf), layout.distribution(spark), layout.nodes(spark), 1, 0.1)
+
+
+def q_rebalance_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys per shard and node of orders and customers by name, after a rebalance of the orders by name."""
+    tables = {n: layout.table(spark, sf, n) for n in ("orders", "customer")}
+    cluster = Cluster(tables, layout.distribution(spark), layout.placements(spark), layout.nodes(spark))
+    cluster = cluster.after(cluster.rebalance_evenly("orders", analyze_at_end=False))
+    counts = [cluster.keys_per_shard(n, layout.TABLES[n][0]).withColumn("table_name", F.lit(n)) for n in tables]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def q_relayout_moves(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored documents after 50 moves, of which only the touched folders were written anew."""
+    path = f"{shared_folder(spark)}/evenkeel/{uuid.uuid4().hex}"
+    documents, before = layout.table(spark, sf, "documents"), materialise(_placed(spark, sf, "documents"))
+    plan = materialise(rebalance.rebalance_plan(before, 50))
+    stored_layout.write_layout(documents, "doc_id", before, path)
+    last = layout.placements(spark).agg(F.max("shardid")).first()[0]
+    stored = stored_layout.move_rows(spark, path, documents.schema, "doc_id", stored_layout.moved_keys(plan, last))
+    return stored.groupBy("nodename", "nodeport", "shardid").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n_chars").alias("n_chars")
+    )
+
+
 def q_colocated_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The tables that share the layout of lineitem, with their bytes."""
     names = placement.colocated_tables(layout.distribution(spark), "lineitem")
@@ -344,6 +405,12 @@ QUERIES: dict[str, Query] = {
     "balance_report_shards": _report("shard"),
     "balance_report_nodes": _report("node"),
     "size_report": q_size_report,
+    "shard_ranges": q_shard_ranges,
+    "keys_per_shard_by_range": q_keys_per_shard_by_range,
+    "locate_keys_by_range": q_locate_keys_by_range,
+    "shard_moves": q_shard_moves,
+    "rebalance_by_name": q_rebalance_by_name,
+    "relayout_moves": q_relayout_moves,
     "relayout": q_relayout,
     "relayout_files": q_relayout_files,
     "colocated_tables": q_colocated_tables,

@@ -22,6 +22,13 @@ class Cluster:
     placements: DataFrame
     nodes: DataFrame
     shard_stats: DataFrame | None = None
+    isolated: dict[int, DataFrame] | None = None
+    """Keys with shards of their own (dist_value, shardid), by colocation id."""
+
+    def _isolated(self, table: str, column: str) -> DataFrame | None:
+        """The isolated keys that hold for a column: only the distribution column has any."""
+        dist = placement.resolve_distribution(self.distribution, table)
+        return (self.isolated or {}).get(dist.colocation_id) if column == dist.dist_column else None
 
     def table(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -37,12 +44,16 @@ class Cluster:
     def keys_per_shard(self, table: str, column: str) -> DataFrame:
         """Distinct values of a column per shard of the table."""
         by = self._by(table, column)
-        return placement.keys_per_shard(self.table(table), by, self.placements, self.nodes)
+        return placement.keys_per_shard(
+            self.table(table), by, self.placements, self.nodes, self._isolated(table, column)
+        )
 
     def keys_per_node(self, table: str, column: str) -> DataFrame:
         """Distinct values of a column per node, added up over the shards."""
         by = self._by(table, column)
-        return placement.keys_per_node(self.table(table), by, self.placements, self.nodes)
+        return placement.keys_per_node(
+            self.table(table), by, self.placements, self.nodes, self._isolated(table, column)
+        )
 
     def shard_size(
         self, table: str | None = None, colocation_id: int = 1, include_shard_id: bool = True
@@ -61,7 +72,7 @@ class Cluster:
         known = self.tables.get(table)
         kind = None if known is None else placement.key_type(known, column)
         return placement.locate_key(
-            self.distribution, self.placements, self.nodes, table, column, value, kind
+            self.distribution, self.placements, self.nodes, table, column, value, kind, self._isolated(table, column)
         )
 
     def rebalance_evenly(
@@ -71,9 +82,23 @@ class Cluster:
         max_moves: int | None = None,
         analyze_at_end: bool = True,
         folder: str | None = None,
+        **options: Any,
     ) -> Rebalanced:
-        """Plan and apply an even spread of the table's keys over its nodes."""
+        """Plan and apply an even spread of the table's keys over its nodes; ``options`` as in ``plans.rebalance``. ``after`` gives
+        the cluster as it is then."""
+        dist = placement.resolve_distribution(self.distribution, table)
         return rebalance_evenly(
             self.tables, self.distribution, self.placements, self.nodes, table, column,
-            max_moves, analyze_at_end, folder,
+            max_moves, analyze_at_end, folder, isolated=self._isolated(table, dist.dist_column), **options,
         )
+
+    def after(self, done: Rebalanced) -> Cluster:
+        """The cluster after a rebalance: its counts, lookups, sizes and next rebalance are those of the new placement.
+
+        The sizes of the rebalanced group are known if ``widths`` were given; without them the group has none.
+        """
+        group, stats = done.dist.colocation_id, self.shard_stats
+        if stats is not None:
+            stats = stats.filter(stats["colocation_id"] != group)
+            stats = stats if done.shard_stats is None else stats.unionByName(done.shard_stats)
+        return replace(self, placements=done.placements, isolated={**(self.isolated or {}), group: done.isolated}, shard_stats=stats)

@@ -11,6 +11,7 @@ BLOCK_BYTES = 8192
 SIZE_UNITS = ["kB", "MB", "GB", "TB", "PB"]
 
 MAX_SHARDS = 2**31 - 1
+HASHES = 2**32
 
 
 def _col(c: Column | str) -> Column:
@@ -28,6 +29,12 @@ def key_text(key: Column | str, key_type: str | None = None) -> Column:
     return c.cast("string")
 
 
+def hash_of(key: Column | str, key_type: str | None = None) -> Column:
+    """Hash 0 .. 2 ** 32 - 1 of a key: the first 32 bits of the md5 of its text; NULL for a NULL key."""
+    digest = F.md5(key_text(key, key_type))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
 def shard_of(key: Column | str, n_shards: int, key_type: str | None = None) -> Column:
     """Bucket 0 .. n_shards-1 of a key; NULL for a NULL key.
 
@@ -37,9 +44,7 @@ def shard_of(key: Column | str, n_shards: int, key_type: str | None = None) -> C
     """
     if not 1 <= n_shards <= MAX_SHARDS:
         raise ValueError(f"n_shards must lie in 1..{MAX_SHARDS}, got {n_shards}")
-    digest = F.md5(key_text(key, key_type))
-    hashed = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return F.shiftright(hashed * F.lit(n_shards).cast("long"), 32)
+    return F.shiftright(hash_of(key, key_type) * F.lit(n_shards).cast("long"), 32)
 
 
 def to_blocks(size: Column | str) -> Column:

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import shard_of
+from evenkeel.functions.scalar import hash_of
+from evenkeel.operators.ranges import in_ranges
 
 NODE = ["nodename", "nodeport"]
 
@@ -106,9 +108,14 @@ def on_primaries(sharded: DataFrame, placements: DataFrame, nodes: DataFrame) ->
     return placed.join(primary, "groupid").drop("groupid")
 
 
-def _at_home(keys: DataFrame, key: Column, dist: Distribution, isolated: DataFrame | None) -> DataFrame:
+def _at_home(keys: DataFrame, key: Column, dist: Distribution, isolated: DataFrame | None, ranges: DataFrame | None = None) -> DataFrame:
     """Adds the ``shardid`` of a key: the shard that it was isolated to, or else that of its hash.
-    Without isolated keys there is no join."""
+    With ``ranges`` (see ``operators.ranges``) the shard whose range holds the hash. Without either there is no join."""
+    if isolated is not None and ranges is not None:
+        raise ValueError("give isolated keys or ranges, not both")
+    if ranges is not None:
+        found = in_ranges(keys, hash_of(key, dist.key_type), ranges)
+        return found.withColumn("shardid", F.coalesce("shardid", F.lit(-1).cast("long")))
     if isolated is None:
         return keys.withColumn("shardid", dist.shard(key))
     own = isolated.select(F.col("dist_value").alias("_own_key"), F.col("shardid").alias("_own_shard"))
@@ -117,17 +124,19 @@ def _at_home(keys: DataFrame, key: Column, dist: Distribution, isolated: DataFra
     return joined.select(*(F.col(f"`{c}`") for c in keys.columns), home)
 
 
-def sharded_keys(t: DataFrame, dist: Distribution, isolated: DataFrame | None = None) -> DataFrame:
+def sharded_keys(
+    t: DataFrame, dist: Distribution, isolated: DataFrame | None = None, ranges: DataFrame | None = None
+) -> DataFrame:
     """(dist_value, shardid): the distinct keys of a table and their shards.
     ``isolated`` (dist_value, shardid) has the keys with a shard of their own, as
-    ``apply_moves`` gives them.
+    ``apply_moves`` gives them; ``ranges`` stands for the same as a directory of hashes.
 
     The distinct comes first. Its map-side half folds the repeats of a key, hot
     or not, so the shuffle, the hash and all that follows see keys, not rows.
     """
     keys = t.select(t[dist.dist_column].alias("dist_value"))
     keys = keys.filter(F.col("dist_value").isNotNull()).distinct()
-    return _at_home(keys, keys["dist_value"], typed(dist, t), isolated)
+    return _at_home(keys, keys["dist_value"], typed(dist, t), isolated, ranges)
 
 
 def place_keys(
@@ -136,19 +145,20 @@ def place_keys(
     placements: DataFrame,
     nodes: DataFrame,
     isolated: DataFrame | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """(nodename, nodeport, shardid, dist_value): each distinct key with the
     primary node that holds its shard. NULL keys and keys whose shard has no
     primary placement drop out."""
-    placed = on_primaries(sharded_keys(t, dist, isolated), placements, nodes)
+    placed = on_primaries(sharded_keys(t, dist, isolated, ranges), placements, nodes)
     return placed.select(*NODE, "shardid", "dist_value")
 
 
 def keys_per_shard_global(
-    t: DataFrame, dist: Distribution, isolated: DataFrame | None = None
+    t: DataFrame, dist: Distribution, isolated: DataFrame | None = None, ranges: DataFrame | None = None
 ) -> DataFrame:
     """(shardid, dist_value_count) from the table alone, without placements."""
-    counts = sharded_keys(t, dist, isolated).groupBy("shardid")
+    counts = sharded_keys(t, dist, isolated, ranges).groupBy("shardid")
     return counts.agg(F.count(F.lit(1)).alias("dist_value_count"))
 
 
@@ -158,13 +168,14 @@ def keys_per_shard(
     placements: DataFrame,
     nodes: DataFrame,
     isolated: DataFrame | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """(nodename, nodeport, shardid, dist_value_count), exact, in that order.
 
     Keys are counted per shard before the placements are joined, so the join
     sees one row per shard.
     """
-    counts = on_primaries(keys_per_shard_global(t, dist, isolated), placements, nodes)
+    counts = on_primaries(keys_per_shard_global(t, dist, isolated, ranges), placements, nodes)
     return counts.select(*NODE, "shardid", "dist_value_count").orderBy(*NODE, "shardid")
 
 
@@ -174,9 +185,10 @@ def keys_per_node(
     placements: DataFrame,
     nodes: DataFrame,
     isolated: DataFrame | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """(nodename, nodeport, dist_value_count): the shard counts summed per node."""
-    counts = on_primaries(keys_per_shard_global(t, dist, isolated), placements, nodes)
+    counts = on_primaries(keys_per_shard_global(t, dist, isolated, ranges), placements, nodes)
     sums = counts.groupBy(*NODE).agg(F.sum("dist_value_count").alias("dist_value_count"))
     return sums.orderBy(*NODE)
 
@@ -200,6 +212,7 @@ def locate_key(
     value: Any,
     value_type: str | None = None,
     isolated: DataFrame | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """(nodename, nodeport, table_name, shard_table_name, shard_id) of one key.
 
@@ -213,6 +226,9 @@ def locate_key(
     if isolated is not None:
         own = isolated.filter(F.col("dist_value") == key).agg(F.max("shardid")).scalar()
         home = F.coalesce(own, home)
+    if ranges is not None:
+        holds = hash_of(key, value_type).between(F.col("low"), F.col("high"))
+        home = ranges.filter(holds).agg(F.max("shardid")).scalar()
     shard = placements.filter(F.col("shardid") == home).select("shardid").distinct()
     return _located(on_primaries(shard, placements, nodes), table).orderBy(*NODE)
 
@@ -226,6 +242,7 @@ def locate_keys(
     table: str,
     value_type: str | None = None,
     isolated: DataFrame | None = None,
+    ranges: DataFrame | None = None,
 ) -> DataFrame:
     """``locate_key`` for a whole column: each row of ``keys`` with its location
     columns appended, NULL for a NULL key and for one whose shard is nowhere.
@@ -236,7 +253,7 @@ def locate_keys(
     kind = value_type or key_type(keys, column)
     dist = replace(resolve_distribution(distribution, table), key_type=kind)
     held = keys.withColumn("_key", keys[column].cast(kind))
-    sharded = _at_home(held, F.col("_key"), dist, isolated).drop("_key")
+    sharded = _at_home(held, F.col("_key"), dist, isolated, ranges).drop("_key")
     primary = nodes.filter(F.col("noderole") == "primary").select("groupid", *NODE)
     homes = placements.join(primary, "groupid").select(F.col("shardid").alias("_home"), *(F.col(c).alias(f"_{c}") for c in NODE))
     found = sharded.join(homes, sharded["shardid"] == homes["_home"], "left")

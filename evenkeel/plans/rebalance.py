@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import warnings
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,8 +31,9 @@ from evenkeel.operators.placement import (
     resolve_distribution,
 )
 from evenkeel.operators.ranking import rank_in_groups, top_in_groups
-from evenkeel.operators.sizes import sizes_of
+from evenkeel.operators.sizes import placed_bytes, sizes_of
 from evenkeel.operators.stats import analyze_tables
+from evenkeel.plans.levelling import apply_shard_moves, shard_moves
 from evenkeel.plans.moves import legs, matched_legs
 from evenkeel.sources import materialise
 
@@ -355,15 +357,38 @@ def _phases(before: DataFrame, after: DataFrame, measure: str, ties: list[str])
     return both.select("phase", *before.columns).orderBy(F.desc("phase"), F.desc(measure), *ties)
 
 
+def follow_placements(
+    placements: DataFrame, plan: DataFrame, lead: Distribution, followers: list[Distribution], nodes: DataFrame
+) -> DataFrame:
+    """``placements`` with the shards of colocated tables at the places where the plan moves a whole shard of ``lead``'s table."""
+    primary = nodes.filter(F.col("noderole") == "primary").select(
+        F.col("groupid").alias("_group"), F.col("nodename").alias("target_node"), F.col("nodeport").alias("target_port")
+    )
+    place = F.col("shardid") - lead.shard_base
+    whole = plan.filter(~F.col("needs_isolation") & (place >= 0) & (place < lead.shard_count))
+    sent = whole.join(primary, ["target_node", "target_port"])
+    moved = [sent.select((place + f.shard_base).alias("shardid"), "_group") for f in followers]
+    if not moved:
+        return placements
+    new = placements.join(reduce(DataFrame.unionByName, moved), "shardid", "left")
+    return new.select("shardid", F.coalesce("_group", "groupid").alias("groupid"))
+
+
 @dataclass(frozen=True)
 class Rebalanced:
-    """What ``rebalance_evenly`` returns."""
+    """What ``rebalance_evenly`` returns. ``placements`` and ``isolated`` are the cluster's after it: counts, lookups and the next
+    rebalance take them. ``after`` has the keys of the table as they lie then, ``shard_moves`` the whole shards moved at the end, and
+    ``shard_stats`` the sizes of the colocated tables if ``widths`` were given."""
 
     dist: Distribution
     before: DataFrame
     plan: DataFrame
     after: DataFrame
     statistics: DataFrame | None
+    placements: DataFrame
+    isolated: DataFrame
+    shard_moves: DataFrame | None = None
+    shard_stats: DataFrame | None = None
 
 
 def rebalance_evenly(
@@ -376,23 +401,47 @@ def rebalance_evenly(
     max_moves: int | None = None,
     analyze_at_end: bool = True,
     folder: str | None = None,
+    rebalance_at_end: bool = False,
+    isolated: DataFrame | None = None,
+    include_empty_nodes: bool = False,
+    widths: dict[str, Column] | None = None,
+    threshold: float = 0.1,
 ) -> Rebalanced:
-    """Plan and apply a rebalance of one table, from its name.
+    """Plan and apply a rebalance of one table, from its name. All that is returned is written, so it can be used as it is.
 
-    A wrong ``column`` is ignored with a warning. With ``analyze_at_end`` the
-    statistics of all colocated tables found in ``tables`` are added.
+    A wrong ``column`` is ignored with a warning. The shards of colocated tables go along with those of the table. ``rebalance_at_end``
+    then levels whole shards of all colocated tables found in ``tables`` (``shard_moves``) by ``widths``, the bytes of a row by
+    table, or by rows without them. With ``analyze_at_end`` the statistics of these tables are added. ``isolated`` comes from an earlier rebalance;
+    ``include_empty_nodes`` lets nodes without keys receive.
     """
     dist = resolve_distribution(distribution, table, column, on_mismatch="ignore")
     if table not in tables:
         raise ValueError(f"unknown table {table}")
     key_type(tables[table], dist.dist_column)
-    before = materialise(place_keys(tables[table], dist, placements, nodes), folder)
-    plan = materialise(rebalance_plan(before, max_moves, folder=folder), folder)
-    after = apply_plan(before, plan, placements)
-    statistics = None
-    if analyze_at_end:
-        group = [r.table_name for r in colocated_tables(distribution, table).collect()]
-        if unknown := [name for name in group if name not in tables]:
-            warnings.warn(f"no statistics of the colocated tables {unknown}: they were not given", stacklevel=2)
-        statistics = analyze_tables({name: tables[name] for name in group if name in tables})
-    return Rebalanced(dist, before, plan, after, statistics)
+    names = [r.table_name for r in colocated_tables(distribution, table).collect()]
+    group = {name: resolve_distribution(distribution, name) for name in names}
+    before = materialise(place_keys(tables[table], dist, placements, nodes, isolated), folder)
+    plan = materialise(rebalance_plan(before, max_moves, nodes if include_empty_nodes else None, folder), folder)
+    done = apply_moves(before, plan, placements, nodes, isolated, folder)
+    followers = [d for name, d in group.items() if name != table]
+    new, after, levelled, stats = materialise(follow_placements(done.placements, plan, dist, followers, nodes), folder), done.placed, None, None
+    given = {name: tables[name] for name in names if name in tables}
+    if (rebalance_at_end or analyze_at_end) and len(given) < len(names):
+        warnings.warn(f"the colocated tables {sorted(set(names) - set(given))} are left out of statistics and levelling: they were not given", stacklevel=2)
+
+    def sizes() -> DataFrame:
+        parts = []
+        for name, t in given.items():
+            own = group[name]
+            width = F.lit(1).cast("long") if widths is None else widths[name]
+            parts.append(placed_bytes(t, own, width, place_keys(t, own, new, nodes, done.isolated)))
+        return materialise(reduce(DataFrame.unionByName, parts), folder)
+
+    if rebalance_at_end:
+        levelled = materialise(shard_moves(sizes(), distribution, nodes, dist.colocation_id, threshold, folder), folder)
+        new = apply_shard_moves(new, levelled, distribution, nodes, dist.colocation_id, folder)
+        after = materialise(place_keys(tables[table], dist, new, nodes, done.isolated), folder)
+    if widths is not None:
+        stats = sizes()
+    statistics = analyze_tables(given) if analyze_at_end else None
+    return Rebalanced(dist, before, plan, after, statistics, new, done.isolated, levelled, stats)
