@@ -235,9 +235,22 @@ def test_encoders_equal_the_tokenizers():
     odd = ["".join(r.choice("ab '\n\t  .1é́\x01\x1c\x85　<|>stS") for _ in range(r.randint(0, 60))) for _ in range(3000)]
     for path, word_ends in ((WORDPIECE, True), (BYTEPIECE, False)):
         t = Tokenizer.from_file(path)
+        special = ["hello <|endoftext|> world", "<|endoftext|>", "a<|startoftext|>b  c", "x <|ENDOFTEXT|> y", "<|endoftext |> <| endoftext|>", "hello world"]
+        texts = [*odd, *(x or "" for x in TEXTS), *special]
+        encoder = tokens.Encoder(path, word_ends)
+        for _ in range(2):  # unknown words, then known ones
+            ours = encoder.encode([x.encode() for x in texts], 1)
+            assert [np.frombuffer(x, "<u4").tolist() for x in ours] == [plain.ids_of(t, x) for x in texts]
         t.encode_special_tokens = True
-        ours = tokens.Encoder(path, word_ends).encode([x.encode() for x in (*odd, *(x or "" for x in TEXTS))], 1)
-        assert [np.frombuffer(x, "<u4").tolist() for x in ours] == [plain.ids_of(t, x) for x in [*odd, *TEXTS]]
+        ours = tokens.Encoder(path, word_ends, special=False).encode([x.encode() for x in texts], 1)
+        assert [np.frombuffer(x, "<u4").tolist() for x in ours] == [plain.ids_of(t, x) for x in texts]
+
+
+def test_forgotten_words_are_encoded_again(monkeypatch):
+    monkeypatch.setattr(tokens, "_REMEMBERED", 3)
+    t, encoder = Tokenizer.from_file(WORDPIECE), tokens.Encoder(WORDPIECE, True)
+    for text in ("one two three four five", "one two", "six one"):
+        assert np.frombuffer(encoder.encode([text.encode()], 1)[0], "<u4").tolist() == plain.ids_of(t, text)
 
 
 def test_packing(docs, rows):
