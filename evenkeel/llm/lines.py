@@ -48,13 +48,12 @@ def boilerplate(docs: DataFrame, min_sites: int = 8, lg_k: int = 12, site: str =
     return above.where("sure").select("line").unionByName(exact.where(F.col("sites") >= min_sites).select("line"))
 
 
-def without_boilerplate(docs: DataFrame, min_sites: int = 8, max_share: float = 0.5, lg_k: int = 12, site: str = "source") -> DataFrame:
+def without_boilerplate(docs: DataFrame, min_sites: int = 8, keep_whole: bool = False, lg_k: int = 12, site: str = "source") -> DataFrame:
     """``docs`` as a struct ``doc``, with ``n_lines``, ``n_removed`` and ``kept``, the text without boilerplate lines.
 
     Lines are cut at \\n and compared as they stand; those without a word are kept.
-    A document of which more than ``max_share`` of the lines (with a
-    word) would go stays whole, whether it is a copy of a document or a page with
-    few lines of its own; with ``max_share=1`` boilerplate goes everywhere. A null text
+    Boilerplate goes from every document. One of which all lines with a word are boilerplate has none of them left;
+    ``keep_whole`` leaves such documents as they are, for a later step that looks for copies of whole documents. A null text
     stays null. Rows with the same doc_id and text get the same result.
     """
     held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("sum"))
@@ -72,7 +71,7 @@ def without_boilerplate(docs: DataFrame, min_sites: int = 8, max_share: float =
         F.when(F.col("bad").isNotNull(), F.filter("lines", lambda x: ~F.array_contains("bad", _hashes(x)))).otherwise(F.col("lines")).alias("left"),
     )
     gone = F.size("lines") - F.size("left")
-    whole = gone > max_share * F.col("n_lines")
+    whole = (gone == F.col("n_lines")) if keep_whole else F.lit(False)
     return good.select(
         "doc",
         F.col("n_lines").cast("long").alias("n_lines"),
@@ -81,15 +80,17 @@ def without_boilerplate(docs: DataFrame, min_sites: int = 8, max_share: float =
     )
 
 
-def line_dedup(docs: DataFrame, min_sites: int = 8, max_share: float = 0.5, lg_k: int = 12, site: str = "source") -> DataFrame:
-    """The rows of ``docs`` with boilerplate lines taken out of ``text`` (and ``n_chars`` brought up to date)."""
-    done = without_boilerplate(docs, min_sites, max_share, lg_k, site)
+def line_dedup(docs: DataFrame, min_sites: int = 8, keep_whole: bool = False, lg_k: int = 12, site: str = "source") -> DataFrame:
+    """The rows of ``docs`` with boilerplate lines taken out of ``text`` (and ``n_chars`` brought up to date), as
+    ``without_boilerplate`` does."""
+    done = without_boilerplate(docs, min_sites, keep_whole, lg_k, site)
     new = {"text": F.col("kept"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept")).otherwise(F.col("doc.n_chars")) if "n_chars" in docs.columns else None}
     kinds = dict(docs.dtypes)
     return done.select(*((new[c].cast(kinds[c]) if new.get(c) is not None else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_sha256) of every row; a null text counts as empty."""
     return without_boilerplate(docs).select(
         "doc.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256")
     )

@@ -24,7 +24,7 @@ from .tokens import chunks
 from .words import Words
 
 #: Bytes of text in a page, unless a single text is longer.
-PAGE_BYTES = 6 << 20
+PAGE_BYTES = 4 << 20
 #: Bytes of text that are cut into words at once.
 _PIECE_BYTES = 1 << 20
 _SCHEMA = "page long, part string, doc_ids binary, known binary, words binary, ids binary, n_words long"

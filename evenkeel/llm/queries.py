@@ -184,11 +184,10 @@ WITH L AS (
 BAD AS (SELECT line FROM L WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 8),
 C AS (
   SELECT r, doc_id, count(*) FILTER (regexp_matches(L.line, '[^\x20\x09-\x0D]')) AS n_lines, count(BAD.line) AS gone,
-         string_agg(L.line, chr(10) ORDER BY pos) AS whole, string_agg(L.line, chr(10) ORDER BY pos) FILTER (BAD.line IS NULL) AS kept
+         string_agg(L.line, chr(10) ORDER BY pos) FILTER (BAD.line IS NULL) AS kept
   FROM L LEFT JOIN BAD ON BAD.line = L.line GROUP BY r, doc_id
 )
-SELECT doc_id, n_lines, CASE WHEN gone > 0.5 * n_lines THEN 0 ELSE gone END AS n_removed,
-       sha256(CASE WHEN gone > 0.5 * n_lines THEN whole ELSE coalesce(kept, '') END) AS kept_sha256
+SELECT doc_id, n_lines, gone AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM C""",
     "op4_jaccard_join": r"""
 WITH RECURSIVE W AS (

@@ -68,7 +68,7 @@ def near(docs, size=5, percent=80):
     return [(i, len(s), None if i is None else top(i)) for i, s in sets]
 
 
-def line_dedup(docs, sites=8, share=0.5):
+def line_dedup(docs, sites=8, keep_whole=False):
     """(doc_id, n_lines, n_removed, kept text) of (doc_id, text, source) rows."""
     on = defaultdict(set)
     for _, t, s in docs:
@@ -80,7 +80,7 @@ def line_dedup(docs, sites=8, share=0.5):
         lines = (t or "").split("\n")
         n, left = sum(bool(words(x)) for x in lines), [x for x in lines if len(on.get(x, ())) < sites]
         gone = len(lines) - len(left)
-        out.append((i, n, 0, t) if gone > share * n or not gone else (i, n, gone, "\n".join(left)))
+        out.append((i, n, 0, t) if not gone or (keep_whole and gone == n) else (i, n, gone, "\n".join(left)))
     return out
 
 

@@ -84,7 +84,7 @@ def test_pipeline(spark, duck):
     judged = {r.doc_id: r.kept for r in QUERIES["op3_quality_rules"](spark, SF).collect()}  # held against SQL above
     rows = [r for r in rows if judged[r[0]]]
     source = {r[0]: r[2] for r in rows}
-    text = {i: kept for i, _, _, kept in plain.line_dedup(rows)}
+    text = {i: kept for i, _, _, kept in plain.line_dedup(rows, keep_whole=True)}
     text = {i: text[i] for i, _, c in plain.near(list(text.items())) if i == c}
     items = {i: plain.words(t) for i, t in duck.sql("SELECT item_id, text FROM benchmark").fetchall()}
     whole = {i: " ".join(w) for i, w in items.items()}
