@@ -19,8 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on eight sites or more."""
-    return lines.line_dedup(docs)
+    """All documents, without lines that stand on eight sites or more. Those that have no other line are copies as a whole and stay
+    as they are for the next stage."""
+    return lines.line_dedup(docs, keep_whole=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
