@@ -5,7 +5,8 @@ set follows that order, so two documents that link share an n-gram in the first
 part (prefix) of both sets. The order is cut into fragments; the overlap of a
 pair is counted in each fragment by itself and summed per pair.
 
-Equal sets are one class, which takes part with its smallest doc_id. A
+Equal sets are one class, which takes part with the text of its smallest doc_id, under a number of
+its own: doc_ids may clash, since rows with one doc_id and other texts are other documents. A
 class whose n-grams mostly occur nowhere else can't link; such classes are found
 from a part of their n-grams first. Inside a group of near copies not all pairs are
 needed to know the components: in rounds each class is tested against a hub with
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.sources import materialise
 
-from .blocks import block_count, dealt, found, in_blocks, texts_of, unpacked
+from .blocks import block_count, dealt, found, in_blocks, unpacked
 from .components import components
 from .words import Words, mix, windows
 
@@ -36,7 +37,7 @@ _BACK = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("id", pa.int6
 _SETS = pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("grams", pa.binary())])
 _PART = pa.struct([("fragment", pa.int32()), ("grams", pa.list_(pa.int64()))])
 _INDEX = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("skipped", pa.int64()), ("prefix", pa.list_(pa.int64())), ("parts", pa.list_(_PART))])
-_SUMS = "block long, doc_id long, n_shingles long, sum1 long, sum2 long"
+_SUMS = "block long, doc_id long, text_sum long, n_shingles long, sum1 long, sum2 long"
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -117,12 +118,13 @@ class _Block:
     """The sets of a block's classes."""
 
     def __init__(self, left: pa.Table, right: pa.Table, size: int, percent: int) -> None:
-        reps = np.array([x for x in right["id"].to_pylist() if x is not None], np.int64)
-        ids, known, texts = texts_of(left)
-        mine = np.flatnonzero(known & np.isin(ids, reps))
-        mine = mine[np.r_[True, np.diff(ids[mine]) > 0]] if len(mine) else mine  # repeated rows are one
-        self.ids = ids[mine]
-        self.of, self.grams = _sets([texts[i] for i in mine], size)
+        keys = zip(right["doc_id"].to_pylist(), right["text_sum"].to_pylist(), strict=True)
+        named = dict(zip(keys, right["id"].to_pylist(), strict=True))
+        held = zip(left["doc_id"].to_pylist(), left["text_sum"].to_pylist(), strict=True)
+        rows = {named[key]: i for i, key in enumerate(held) if key in named}  # repeated rows are one
+        self.ids = np.array(sorted(rows), np.int64)
+        mine = left["text"].take(pa.array([rows[i] for i in self.ids.tolist()], pa.int64())).cast(pa.binary()).to_pylist()
+        self.of, self.grams = _sets([x or b"" for x in mine], size)
         self.n = np.bincount(self.of, minlength=len(mine))
         rank = np.arange(len(self.of)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
         self.early = rank < _sampled(self.n, percent)[self.of]
@@ -145,8 +147,8 @@ def _class_sums(size: int):
                     ends = np.cumsum(n)
                     sums.append((total[ends] - total[ends - n]).view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("block"), part.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
-                    names=["block", "doc_id", "n_shingles", "sum1", "sum2"],
+                    [*(part.column(c) for c in ("block", "doc_id", "text_sum")), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1])],
+                    names=["block", "doc_id", "text_sum", "n_shingles", "sum1", "sum2"],
                 )
                 at = end
 
@@ -198,11 +200,11 @@ def _index(held: DataFrame, reps: DataFrame, blocks: int, size: int, percent: in
             rows.append((int(ids[i]), int(n[i]), alone, grams[a : a + int(u) + 1 - alone], parts))
         return _table(rows, _INDEX)
 
-    named = reps.select("block", F.lit(None).cast("long").alias("bucket"), F.col("rep").alias("id"), F.lit(None).cast("binary").alias("found"))
+    named = reps.select("block", "id", "doc_id", "text_sum")
     text, by_block = held.groupBy("block"), named.groupBy("block")
     asked = text.cogroup(by_block).applyInArrow(sample, _ddl(_SENT))
     seen = asked.groupBy("bucket").applyInArrow(_count, _ddl(_BACK))
-    sets = text.cogroup(named.unionByName(seen).groupBy("block")).applyInArrow(surviving, _ddl(_SETS)).groupBy("block")
+    sets = text.cogroup(named.unionByName(seen.withColumnRenamed("id", "unused"), allowMissingColumns=True).groupBy("block")).applyInArrow(surviving, _ddl(_SETS)).groupBy("block")
     counted = sets.applyInArrow(all_grams, _ddl(_SENT)).groupBy("bucket").applyInArrow(_count, _ddl(_BACK))
     return sets.cogroup(counted.groupBy("block")).applyInArrow(ordered, _ddl(_INDEX))
 
@@ -262,34 +264,50 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Returns one row per row of ``docs``: doc_id, n_shingles, class_id (smallest doc_id with
     the same set), component_id (smallest doc_id reached by links). A row without doc_id
-    links with nothing and has null for both; rows with the same doc_id and text are alike.
+    links with nothing and has null for both; rows with the same doc_id and text are alike, rows
+    with the same doc_id and other texts are documents of their own.
     Other columns are not read.
     """
+    return _grouped(docs, words, percent).select("doc_id", "n_shingles", "class_id", "component_id")
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of :func:`near_duplicates` with text_sum and with component_sum, the least text_sum under the component's doc_id."""
     blocks = block_count(docs)
-    held = in_blocks(docs, blocks)
+    held = in_blocks(docs, blocks).withColumn("text_sum", F.xxhash64("text"))
     sums = materialise(held.select("*", F.octet_length("text").alias("bytes")).mapInArrow(_class_sums(words), _SUMS))
     key = ["n_shingles", "sum1", "sum2"]
-    classes = sums.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("doc_id", "block")).alias("least"))
-    classes = materialise(classes.select(*key, F.col("least.doc_id").alias("rep"), F.col("least.block").alias("block")))
-    index = materialise(_index(held, classes.select("block", "rep"), blocks, words, percent))
+    in_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = sums.where(in_class).groupBy(*key).agg(F.min(F.struct("doc_id", "text_sum", "block")).alias("least"))
+    # The number is fixed by writing it.
+    classes = materialise(classes.select(*key, "least.*", F.monotonically_increasing_id().alias("id")))
+    index = materialise(_index(held.where("doc_id IS NOT NULL"), classes, blocks, words, percent))
     labels = components(_links(index, percent))
-    named = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select(*key, "rep", F.coalesce("label", "rep").alias("component"))
+    # The component's first document, of its classes' first ones; classes without a link are alone.
+    linked = classes.join(labels, "id").select("id", "label", F.struct("doc_id", "text_sum").alias("least"))
+    first = materialise(linked.groupBy("label").agg(F.min("least").alias("first")))
+    first = labels.join(first, "label").select("id", "first")
+    named = classes.join(first, "id", "left").select(*key, F.col("doc_id").alias("class_id"), F.coalesce("first", F.struct("doc_id", "text_sum")).alias("first"))
     # Rows without a set meet no class; the others meet one, however many copies it has.
-    linked = sums.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", *key).join(named, key)
-    alone = sums.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return linked.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.col("component").alias("component_id")).unionByName(alone)
+    met = sums.where(in_class).select("doc_id", "text_sum", *key).join(named, key)
+    met = met.select("doc_id", "text_sum", "n_shingles", "class_id", F.col("first.doc_id").alias("component_id"), F.col("first.text_sum").alias("component_sum"))
+    own = [F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"), F.col("text_sum").alias("component_sum")]
+    return met.unionByName(sums.where(~in_class).select("doc_id", "text_sum", "n_shingles", *own))
 
 
 def one_per_group(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those whose component has a smaller doc_id.
+    """The rows of ``docs``, of each component the one with the smallest doc_id.
 
-    Rows without doc_id stay. Of rows that repeat the kept doc_id one stays.
+    Of several texts under that doc_id the one with the least hash stays, and of rows that repeat it the one with
+    the least hash of all columns (but maps). Rows without doc_id stay; a document
+    without words is a group of its own.
     """
-    held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"))
-    groups = near_duplicates(docs, words, percent)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = held.join(gone, held["id"] == gone["gone"], "left_anti")
-    many = left.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("many"))
-    once = left.join(many, left["id"] == many["many"], "left_anti")
-    folded = left.join(many, left["id"] == many["many"], "left_semi").groupBy("id").agg(F.first("doc").alias("doc"))
-    return once.select("doc.*").unionByName(folded.select("doc.*"))
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    held = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("sum"), F.xxhash64(*hashed).alias("all"))
+    groups = _grouped(docs, words, percent)
+    gone = groups.where("doc_id <> component_id OR text_sum <> component_sum").select(F.col("doc_id").alias("gone"), F.col("text_sum").alias("gone_sum")).distinct()
+    left = held.join(gone, (F.col("id") == F.col("gone")) & (F.col("sum") == F.col("gone_sum")), "left_anti")
+    many = materialise(left.where("id IS NOT NULL").groupBy("id", "sum").count().where("count > 1").select(F.col("id").alias("many"), F.col("sum").alias("many_sum")))
+    same = (F.col("id") == F.col("many")) & (F.col("sum") == F.col("many_sum"))
+    folded = left.join(many, same, "left_semi").groupBy("id", "sum").agg(F.min_by("doc", "all").alias("doc"))
+    return left.join(many, same, "left_anti").select("doc.*").unionByName(folded.select("doc.*"))

@@ -240,28 +240,58 @@ K AS (
          ELSE v END AS k
   FROM P
 ),
+N AS (SELECT id AS item_id, least(count(*), 8) AS size FROM K WHERE side = 'b' GROUP BY id),
+W8 AS (
+  SELECT side, id, pos, list(k) OVER o AS k0, list(CASE k WHEN '#p' THEN v ELSE k END) OVER o AS k1, list(v) OVER o AS vs
+  FROM K WINDOW o AS (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+),
 W AS (
-  SELECT side, id, pos, list(k) OVER o AS ks, list(v) OVER o AS vs FROM K WINDOW o AS (PARTITION BY side, id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)
+  SELECT side, id, pos, size, kind, CASE kind WHEN 0 THEN k0[1:size] WHEN 1 THEN k1[1:size] ELSE vs[1:size] END AS ks, vs[1:size] AS vs
+  FROM W8, (SELECT DISTINCT size FROM N), (SELECT unnest([0, 1, 2]) AS kind) WHERE len(vs) >= size
 ),
-I AS (SELECT id, pos, ks, vs FROM W WHERE side = 'b' AND len(ks) = 8 AND len(list_filter(ks, lambda x: x NOT IN ('#n', '#u', '#p'))) >= 4),
-TOTAL AS (SELECT id, count(*) AS total FROM I GROUP BY id),
-MET AS (SELECT w.id AS doc_id, i.id AS item_id, w.pos - i.pos AS shift, i.pos AS item_at, i.ks, i.vs AS asked, w.vs AS given FROM I i JOIN W w ON w.side = 'd' AND w.ks = i.ks),
-C AS (SELECT doc_id, item_id, shift, count(DISTINCT item_at) AS n_windows FROM MET GROUP BY ALL),
-S AS (
-  SELECT doc_id, item_id, shift, a, min(g) AS low, max(g) AS high
-  FROM (SELECT doc_id, item_id, shift, unnest(ks) AS k, unnest(asked) AS a, unnest(given) AS g FROM MET) WHERE k IN ('#n', '#u', '#p') GROUP BY ALL
+OWN AS (SELECT w.*, len(list_filter(ks, lambda x: x NOT IN ('#n', '#u', '#p'))) AS literal FROM W w JOIN N ON N.item_id = w.id AND N.size = w.size WHERE side = 'b'),
+SAID AS (SELECT id, pos, size, kind, ks, vs FROM OWN WHERE kind < 2 AND 2 * literal >= size),
+I AS (SELECT * FROM SAID UNION ALL SELECT id, pos, size, kind, ks, vs FROM OWN WHERE kind = 2 AND id NOT IN (SELECT id FROM SAID)),
+TOTAL AS (SELECT id AS item_id, kind, count(*) AS total FROM I GROUP BY ALL),
+MET AS (
+  SELECT w.id AS doc_id, i.id AS item_id, i.kind, w.pos - i.pos AS shift, i.pos AS place, i.size, i.ks, i.vs AS asked, w.vs AS given
+  FROM I i JOIN W w ON w.side = 'd' AND w.size = i.size AND w.kind = i.kind AND w.ks = i.ks
+),
+V2 AS (
+  SELECT doc_id, item_id, kind, shift, a, min(g) AS low, max(g) AS high
+  FROM (SELECT doc_id, item_id, kind, shift, unnest(ks) AS k, unnest(asked) AS a, unnest(given) AS g FROM MET) WHERE k IN ('#n', '#u', '#p') GROUP BY ALL
 ),
 Q AS (
-  SELECT doc_id, item_id, shift, count(*) AS n_slots, count(*) FILTER (low <> high) AS n_mixed, count(*) FILTER (low <> a OR high <> a) AS n_changed FROM S GROUP BY ALL
+  SELECT doc_id, item_id, kind, shift, count(*) AS n_slots, count(*) FILTER (low <> high) AS n_mixed, count(*) FILTER (low <> a OR high <> a) AS n_changed FROM V2 GROUP BY ALL
+),
+ISLE AS (
+  SELECT *, sum(CASE WHEN place <= before + size THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, item_id, kind, shift ORDER BY place) AS isle
+  FROM (SELECT DISTINCT doc_id, item_id, kind, shift, size, place, lag(place) OVER (PARTITION BY doc_id, item_id, kind, shift ORDER BY place) AS before FROM MET)
+),
+C AS (
+  SELECT doc_id, item_id, kind, shift, sum(n)::BIGINT AS n_windows, max(longest) AS longest
+  FROM (SELECT doc_id, item_id, kind, shift, count(*) AS n, max(place) - min(place) + any_value(size) AS longest FROM ISLE GROUP BY doc_id, item_id, kind, shift, isle) GROUP BY ALL
+),
+GOOD AS (
+  SELECT C.*, coalesce(n_slots, 0) AS n_slots, coalesce(n_changed, 0) AS n_changed, total
+  FROM C LEFT JOIN Q USING (doc_id, item_id, kind, shift) JOIN TOTAL USING (item_id, kind)
+  WHERE 100 * (coalesce(n_slots, 0) - coalesce(n_mixed, 0)) >= 80 * coalesce(n_slots, 0)
+),
+UNITED AS (
+  SELECT doc_id, item_id, kind, count(DISTINCT place) AS n_windows FROM MET JOIN GOOD USING (doc_id, item_id, kind, shift)
+  GROUP BY ALL HAVING 100 * count(DISTINCT place) >= 30 * any_value(total)
+),
+SLOTS AS (
+  SELECT doc_id, item_id, kind, count(*) AS n_slots, count(*) FILTER (low <> a OR high <> a) AS n_changed
+  FROM (SELECT doc_id, item_id, kind, a, min(low) AS low, max(high) AS high FROM V2 JOIN GOOD USING (doc_id, item_id, kind, shift) GROUP BY ALL) GROUP BY ALL
 ),
 F AS (
-  SELECT C.doc_id, C.item_id, C.shift, n_windows, coalesce(n_slots, 0) AS n_slots, coalesce(n_mixed, 0) AS n_mixed, coalesce(n_changed, 0) AS n_changed, total
-  FROM C LEFT JOIN Q ON Q.doc_id = C.doc_id AND Q.item_id = C.item_id AND Q.shift = C.shift JOIN TOTAL ON TOTAL.id = C.item_id
+  SELECT doc_id, item_id, kind, shift, n_windows, n_slots, n_changed, 1 AS alone FROM GOOD WHERE 100 * n_windows >= 30 * total OR longest >= 13
+  UNION ALL
+  SELECT doc_id, item_id, kind, 0, n_windows, coalesce(n_slots, 0), coalesce(n_changed, 0), 0 FROM UNITED LEFT JOIN SLOTS USING (doc_id, item_id, kind)
 )
-SELECT doc_id, item_id, n_windows, n_slots, n_changed
-FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, n_changed, shift) AS r FROM F
-      WHERE 100 * n_windows >= 30 * total AND 100 * (n_slots - n_mixed) >= 80 * n_slots)
-WHERE r = 1""",
+SELECT doc_id, item_id, n_windows, n_slots, n_changed FROM F
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY alone DESC, kind, n_windows DESC, n_changed, shift) = 1""",
     "op11_collocations": r"""
 WITH PIECES AS (
   SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (

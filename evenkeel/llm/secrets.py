@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.sources import materialise
+
 _LEDGER = "blob string, rules array<string>, findings array<struct<rule:string,kind:string,start:long,end:long>>"
 _FINDING = pa.struct([("rule", pa.string()), ("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -84,8 +86,8 @@ def update_ledger(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RU
     """Scan the blobs of ``versions`` by the rules that they have not been scanned by, and append to ``ledger``.
 
     ``ledger`` is a Parquet folder, made if there is none. Each run appends one folder when it
-    succeeds, so a failed run leaves nothing and a repeated one finds nothing to do. Copies are
-    folded in each task before the shuffle.
+    succeeds, so a failed run leaves nothing and a repeated one finds nothing to do. Two runs at the same time
+    may both scan a blob; their findings are equal and folded by the reader. Copies are folded in each task before the shuffle.
     """
     spark = versions.sparkSession
     keys = F.array(*(F.lit(r.key) for r in rules))
@@ -130,7 +132,8 @@ def scan_secrets(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RUL
     found = read_ledger(versions.sparkSession, ledger).select("blob", F.explode("findings").alias("f")).where(F.col("f.rule").isin(keys))
     at = F.array_position(F.array(*(F.lit(k) for k in keys)), F.col("f.rule"))
     span = F.struct(F.col("f.start").alias("start"), at.alias("at"), F.col("f.kind").alias("kind"), F.col("f.end").alias("end"))
-    by_blob = found.groupBy("blob").agg(F.sort_array(F.collect_list(span)).alias("spans"))
+    # A set, since two runs at the same time leave a blob's findings twice; written, so that the join can split a hot blob's rows.
+    by_blob = materialise(found.groupBy("blob").agg(F.sort_array(F.collect_set(span)).alias("spans")))
     held = versions.select(F.struct("*").alias("doc"), blob_of(F.col("text")).alias("blob"))
     return held.join(by_blob, "blob", "left").select("doc", "blob", F.coalesce("spans", F.array().cast(by_blob.schema["spans"].dataType)).alias("spans"))
 

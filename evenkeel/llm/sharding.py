@@ -70,9 +70,14 @@ def shard_documents(docs: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, limit: int) -> None:
-    """Write ``docs`` as Parquet with one folder per shard (``shard=<bits>``; ``all`` for no bits)."""
+    """Write ``docs`` as Parquet with one folder per shard: ``shard=b<bits>``, so that names read back as they are.
+
+    A column ``shard`` of the input (in any case) would clash with the folders and raises ValueError. Rows with
+    null ids or texts and repeated rows are written like others.
+    """
+    if any(c.lower() == "shard" for c in docs.columns):
+        raise ValueError("the input has a column shard, which the folders' name would hide")
     held = numbered(docs.select(F.struct("*").alias("doc"), "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")))
-    place = shards(held.select("row", "doc_id", "bytes"), limit).select("row", F.when(F.col("depth") == 0, "all").otherwise(F.col("shard")).alias("place"))
+    place = shards(held.select("row", "doc_id", "bytes"), limit).select("row", F.concat(F.lit("b"), "shard").alias("place"))
     joined = held.select("row", "doc").join(place, "row")
-    names = [c for c in docs.columns if c != "shard"]
-    joined.select(*(F.col(f"doc.`{c}`").alias(c) for c in names), F.col("place").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    joined.select("doc.*", F.col("place").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)

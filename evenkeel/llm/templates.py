@@ -80,15 +80,16 @@ def _templates(texts: DataFrame, *keys: str) -> DataFrame:
     return typed.select(*keys, "values", "template", _cased("template", "values").alias("cased"))
 
 
-def _windows(templates: DataFrame, size: int, *keys: str, only: DataFrame | None = None) -> DataFrame:
-    """(keys, kind, hash, at, template, values) of every window, of kind 0 with names as placeholders and of kind 1 with names as words.
+def _windows(templates: DataFrame, size: int, *keys: str, only: DataFrame | None = None, forms: tuple[str, ...] = ("template", "cased")) -> DataFrame:
+    """(keys, kind, hash, at, template, values) of every window, of kind 0 with names as placeholders, of kind 1 with names as words
+    and, if ``forms`` has the values too, of kind 2 without placeholders.
 
     With ``only``, of the windows with its hashes, so that others are not cut out and sent through a shuffle.
 
     The generator is an outer one, since Spark would test an inner one's array in a filter below the projections
     and compute all templates once per window there.
     """
-    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("template")) for k, c in enumerate(("template", "cased"))))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("template")) for k, c in enumerate(forms)))
     both = templates.select(*keys, "values", F.explode(kinds).alias("of")).select(*keys, "values", "of.*")
     placed = both.select(*keys, "kind", "values", "template", F.posexplode_outer(_hashes("template", size)).alias("at", "hash")).where("hash IS NOT NULL")
     if only is not None:
@@ -115,7 +116,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent:
     """Benchmark items found in documents: doc_id, item_id, n_windows, n_slots, n_changed.
 
     A window is ``size`` template tokens; an item with fewer tokens is one window. Windows
-    in which less than half the tokens are literal are not looked for. Items are looked for twice, with names as slots
+    in which less than half the tokens are literal say too little as templates and are not looked for; an item that has no other (a
+    row of numbers or names) is looked for by its values instead, in any case. Items are looked for twice, with names as slots
     and, for copies in other case, with names as words; what the first finds is reported. An alignment of
     the two counts if at least ``slot_percent`` of the item's slot values there map to one value only. A document
     holds an item if one alignment has at least ``percent`` of the item's windows or ``run`` tokens in a row (a passage of
@@ -132,16 +134,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, percent:
     key = ["doc_id", "item_id", "kind"]
     hits = None
     for s in sorted(sizes):
-        own = materialise(_windows(items.where(F.col("size") == s), s, "item_id").where(2 * _literal(F.col("template")) >= s).distinct())
+        sized = items.where(F.col("size") == s)
+        own = materialise(_windows(sized, s, "item_id").where(2 * _literal(F.col("template")) >= s).distinct())
+        forms = ("template", "cased")
+        plain = sized.join(own.select("item_id").distinct(), "item_id", "left_anti")
+        if plain.limit(1).count():
+            forms = ("template", "cased", "values")
+            own = materialise(own.unionByName(_windows(plain, s, "item_id", forms=forms).where("kind = 2").distinct()))
         held = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("sum"), "text")
         hashes = own.select("hash").distinct()
         if hashes.count() * 16 <= _SENT_BYTES:
             hashes = F.broadcast(hashes)
         # First the documents with any window, without their texts in the join; then the windows of those alone.
-        all_windows = _templates(held, "doc_id", "sum").select("doc_id", "sum", F.concat(_hashes("template", s), _cased_hashes("template", "cased", s)).alias("hashes"))
+        parts = [_hashes("template", s), _cased_hashes("template", "cased", s)] + ([_hashes("values", s)] if "values" in forms else [])
+        all_windows = _templates(held, "doc_id", "sum").select("doc_id", "sum", F.concat(*parts).alias("hashes"))
         touched = all_windows.select("doc_id", "sum", F.explode_outer("hashes").alias("hash")).join(hashes, "hash", "left_semi").select("doc_id", "sum").distinct()
         touched = materialise(touched)
-        again = _windows(_templates(held.join(touched, ["doc_id", "sum"], "left_semi"), "doc_id"), s, "doc_id", only=hashes)
+        again = _windows(_templates(held.join(touched, ["doc_id", "sum"], "left_semi"), "doc_id"), s, "doc_id", only=hashes, forms=forms)
         mine = own.select("kind", "hash", "item_id", F.col("at").alias("item_at"), F.col("template").alias("item_template"), F.col("values").alias("item_values"))
         met = again.join(mine, ["kind", "hash"]).where(F.col("template") == F.col("item_template"))
         total = own.groupBy("item_id", "kind").agg(F.count_distinct("at").alias("total"))
