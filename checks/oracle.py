@@ -512,4 +512,10 @@ ORACLE: dict[str, str] = {
         FROM ({_parsed(_RESULTS.format(_labelled(_run_log())))})
         WHERE variant IN ('PG-17.0', 'PG-17.1') GROUP BY benchmark, variant""",
     "throughput": _THROUGHPUT,
+    "throughput_per_run": """
+WITH R AS (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS run, min(ts) AS s FROM events GROUP BY 1),
+W AS (SELECT run, s + INTERVAL 60 MINUTE AS opens, s + INTERVAL 2220 MINUTE AS closes FROM R)
+SELECT run, count(ts) AS total_events, count(*) FILTER (event_type = 'purchase') AS order_events,
+       count(ts) / 2160.0::DOUBLE AS tpm, count(*) FILTER (event_type = 'purchase') / 2160.0::DOUBLE AS nopm
+FROM W LEFT JOIN events ON ts >= opens AND ts < closes GROUP BY run""",
 }

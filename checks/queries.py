@@ -371,6 +371,13 @@ def q_throughput(spark: SparkSession, sf: str) -> DataFrame:
     return runs.throughput(layout.table(spark, sf, "events"), day, 7 * day, "purchase")
 
 
+def q_throughput_per_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run per calendar day of the events, with windows of 36 hours, which overlap."""
+    events = layout.table(spark, sf, "events")
+    starts = events.groupBy(F.to_date("ts").cast("string").alias("run")).agg(F.min("ts").alias("start"))
+    return runs.throughput_per_run(events, starts, 60, 36 * 60, "purchase")
+
+
 QUERIES: dict[str, Query] = {
     "shard_of": q_shard_of,
     "place_keys": q_place_keys,
@@ -434,4 +441,5 @@ QUERIES: dict[str, Query] = {
     "missing_iterations": q_missing_iterations,
     "stored_summaries": q_stored_summaries,
     "throughput": q_throughput,
+    "throughput_per_run": q_throughput_per_run,
 }

@@ -23,6 +23,22 @@ _SCALARS = {
 }
 
 
+def _name(name: str) -> str:
+    """A name as one quoted part."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _table(name: str) -> str:
+    """A table's name, whose dots part it."""
+    return ".".join(_name(part) for part in name.split("."))
+
+
+def _text(value: str) -> str:
+    """A string as a literal."""
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def register_functions(spark: SparkSession) -> None:
     """Create the scalar functions as temporary functions of the session."""
     for signature, body in _SCALARS.items():
@@ -63,9 +79,10 @@ def register_key_functions(
 ) -> None:
     """Create ``<name>_keys_per_shard()``, ``<name>_keys_per_node()`` and
     ``<name>_locate_key(value)`` for one distributed table. All arguments that
-    name tables are tables or views of the session. The argument of ``locate_key`` is
+    name tables are tables or views of the session, with dots between the parts of a name; names may
+    hold any other character. The argument of ``locate_key`` is
     cast to the key's type, and a value that isn't one of it raises."""
-    columns = dict(spark.table(table).dtypes)
+    columns = dict(spark.table(_table(table)).dtypes)
     if key not in columns:
         raise ValueError(f"could not determine the data type of column {key}")
     kind = columns[key]
@@ -76,28 +93,28 @@ def register_key_functions(
         return f"CAST({k} + CAST(0 AS {kind}) AS STRING)" if kind in ("double", "float") else f"CAST({k} AS STRING)"
 
     owners = f"""(SELECT p.shardid, n.nodename, n.nodeport
-                  FROM {placements} p JOIN {nodes} n ON n.groupid = p.groupid
+                  FROM {_table(placements)} p JOIN {_table(nodes)} n ON n.groupid = p.groupid
                   WHERE n.noderole = 'primary')"""
     # Never NULL, so that the join puts no test of the hash on the scan.
     shard = f"coalesce({shard_base} + shard_of({text("k")}, {n_shards}), -1L)"
     counts = f"""(SELECT {shard} AS shardid, count(*) AS dist_value_count
-                  FROM (SELECT DISTINCT {key} AS k FROM {table} WHERE {key} IS NOT NULL)
+                  FROM (SELECT DISTINCT {_name(key)} AS k FROM {_table(table)} WHERE {_name(key)} IS NOT NULL)
                   GROUP BY 1)"""
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {name}_keys_per_shard()
+        CREATE OR REPLACE TEMPORARY FUNCTION {_name(name + '_keys_per_shard')}()
         RETURNS TABLE (nodename STRING, nodeport INT, shardid BIGINT, dist_value_count BIGINT)
         RETURN SELECT o.nodename, o.nodeport, c.shardid, c.dist_value_count
                FROM {counts} c JOIN {owners} o ON o.shardid = c.shardid""")
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {name}_keys_per_node()
+        CREATE OR REPLACE TEMPORARY FUNCTION {_name(name + '_keys_per_node')}()
         RETURNS TABLE (nodename STRING, nodeport INT, dist_value_count BIGINT)
         RETURN SELECT o.nodename, o.nodeport, sum(c.dist_value_count)
                FROM {counts} c JOIN {owners} o ON o.shardid = c.shardid
                GROUP BY o.nodename, o.nodeport""")
     spark.sql(f"""
-        CREATE OR REPLACE TEMPORARY FUNCTION {name}_locate_key(v STRING)
+        CREATE OR REPLACE TEMPORARY FUNCTION {_name(name + '_locate_key')}(v STRING)
         RETURNS TABLE (nodename STRING, nodeport INT, table_name STRING,
                        shard_table_name STRING, shard_id BIGINT)
-        RETURN SELECT o.nodename, o.nodeport, '{name}', concat('{name}_', o.shardid), o.shardid
+        RETURN SELECT o.nodename, o.nodeport, {_text(name)}, concat({_text(name + '_')}, o.shardid), o.shardid
                FROM {owners} o
                WHERE o.shardid = {shard_base} + shard_of({text(f"CAST(v AS {kind})")}, {n_shards})""")
