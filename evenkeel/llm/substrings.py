@@ -2,11 +2,13 @@
 
 Every word window of the minimum factor length that may recur is indexed under
 its hash; an index block (a bucket of hashes) knows the earliest document that
-holds each window. Every document is parsed greedily against all index blocks:
-a factor begins at a window that an earlier document holds and is extended
-word by word while the same earlier document is the first one to hold the last
-window; where it ends, the windows over the boundary are looked up as well, so
-a passage that changes its source within a window is not lost.
+holds each window, and where. Every document is parsed greedily against all
+index blocks: a match is extended word by word while its source goes on by one
+word as well, also over windows that still earlier documents hold, as long as
+the windows on both sides leave no word between them unchecked. Of the matches
+that go on from a factor's end, the one that reaches furthest is the next
+factor. The windows over each boundary are looked up as well, so a passage that
+changes its source within a window is not lost.
 
 Two rounds keep the index small. Each window has an anchor, the least hash of
 the short word runs in it, so equal windows have equal anchors. A first round
@@ -16,6 +18,7 @@ indexed in the second.
 
 from __future__ import annotations
 
+import zlib
 from itertools import compress
 
 import numpy as np
@@ -27,16 +30,21 @@ from .blocks import block_count, dealt, found, in_blocks, texts_of, unpacked
 from .words import Words, lowest, windows
 
 _RUN = 6
+#: A place is 15 bits of a text's checksum, then the word's position: places that go on by one lie in one text.
+_POSITION = 48
 _SENT = "bucket long, block long, keys binary, more binary, first binary"
 _BACK = "block long, kind int, bucket long, keys binary"
-_SPANS = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long,ref:long>>, kept string"
+_SPANS = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,end:long,ref:long,ref_start:long>>, kept string"
 
 
 class _Parsed:
     """The windows of a block's documents."""
 
     def __init__(self, table: pa.Table, length: int) -> None:
-        self.ids, self.known, self.texts = texts_of(table)
+        ids, known, texts = texts_of(table)
+        sums = np.array([zlib.crc32(x) & 0x7FFF for x in texts], np.int64)
+        order = np.lexsort((sums, ids))
+        self.ids, self.known, self.texts, self.sums = ids[order], known[order], [texts[i] for i in order], sums[order]
         self.words = Words(self.texts)
         n = np.diff(self.words.first)
         self.doc = np.repeat(np.arange(len(n)), n)
@@ -47,6 +55,11 @@ class _Parsed:
         self.anchor = anchor[self.at] >> np.uint64(1)
         self.of = self.doc[self.at]
 
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """The places of windows by their first words."""
+        doc = self.doc[at]
+        return (self.sums[doc] << _POSITION) + at - self.words.first[doc]
+
     def wanted(self, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows with a shared anchor: index into ``at``, and two hashes."""
         pick = np.flatnonzero(found(self.anchor, shared) >= 0)
@@ -64,6 +77,16 @@ def _distinct(h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return order, np.flatnonzero(new), np.cumsum(new) - 1
 
 
+def _planes(low: np.ndarray, place: np.ndarray) -> bytes:
+    """Documents and places, byte by byte: high bytes are mostly equal and cost little in a compressed shuffle."""
+    return np.stack([low, place], axis=1).astype("<i8").view(np.uint8).T.tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    """(document, place) rows of :func:`_planes`."""
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(16, -1).T).view("<i8")
+
+
 def rlz_spans(docs: DataFrame, min_words: int = 13) -> DataFrame:
     """Spans of every document that repeat earlier documents, and the text without them.
 
@@ -73,11 +96,13 @@ def rlz_spans(docs: DataFrame, min_words: int = 13) -> DataFrame:
     of 96-bit hashes).
 
     Returns one row per row of ``docs``: doc_id, n_words, n_removed, spans (factors
-    as word positions, end exclusive, with the earlier document; neighbours may
-    overlap), kept (the other words joined by one space). A null or empty text
-    has no words; a row without doc_id is neither a source nor parsed; rows with
-    the same doc_id don't count as earlier than each other. Other columns are
-    not read.
+    as word positions, end exclusive, with the earlier document and the position
+    there; neighbours may overlap), kept (the other words joined by one space).
+    The words of a factor stand in its source as they stand in the span, and
+    the factors cover all words that go. A null or empty text has no words; a
+    row without doc_id is neither a source nor parsed; rows with the same doc_id
+    don't count as earlier than each other, and as a source each text stands by
+    itself. Other columns are not read.
     """
     blocks = block_count(docs)
     held = in_blocks(docs, blocks)
@@ -121,23 +146,25 @@ def rlz_spans(docs: DataFrame, min_words: int = 13) -> DataFrame:
         pick, h1, h2 = p.wanted(_anchors_of(right), min_words)
         order, first, _ = _distinct(h1, h2)
         h1, h2 = h1[order][first], h2[order][first]
-        low = p.ids[p.of[pick[order[first]]]]  # documents are in order of doc_id, so the first is the least
+        at = p.at[pick[order[first]]]  # documents are in order of doc_id, so the first is the least
+        low, place = p.ids[p.doc[at]], p.place(at)
         block = left["block"][0].as_py()
-        rows = [(b, block, h1[i].tobytes(), (h2[i] >> np.uint64(32)).astype("<u4").tobytes(), low[i].tobytes()) for b, i in dealt(h1, blocks)]
+        rows = [(b, block, h1[i].tobytes(), (h2[i] >> np.uint64(32)).astype("<u4").tobytes(), _planes(low[i], place[i])) for b, i in dealt(h1, blocks)]
         return _table(rows, _SENT_ARROW)
 
     def earliest(table: pa.Table) -> pa.Table:
         h1, row = unpacked(table["keys"], "<u8")
-        h2, low = unpacked(table["more"], "<u4")[0], unpacked(table["first"], "<i8")[0]
-        order = np.lexsort((low, h2, h1))
+        h2 = unpacked(table["more"], "<u4")[0]
+        held_at = np.concatenate([_from_planes(x) for x in table["first"].to_pylist()])
+        order = np.lexsort((held_at[:, 1], held_at[:, 0], h2, h1))
         a, b = h1[order], h2[order]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        least = np.empty(len(low), np.int64)
-        least[order] = low[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        least = np.empty_like(held_at)
+        least[order] = held_at[order][np.flatnonzero(new)][np.cumsum(new) - 1]
         source, bucket = table["block"].to_pylist(), table["bucket"].to_pylist()
         cut = np.searchsorted(row, np.arange(len(source) + 1))
-        return _table([(g, 1, k, least[i:j].tobytes()) for g, k, i, j in zip(source, bucket, cut[:-1], cut[1:], strict=True)], _BACK_ARROW)
+        return _table([(g, 1, k, _planes(least[i:j, 0], least[i:j, 1])) for g, k, i, j in zip(source, bucket, cut[:-1], cut[1:], strict=True)], _BACK_ARROW)
 
     def parse(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left):
@@ -148,13 +175,13 @@ def rlz_spans(docs: DataFrame, min_words: int = 13) -> DataFrame:
         order, first, number = _distinct(h1, h2)
         back = right.filter(pa.array(kind == 1))
         answer = dict(zip(back["bucket"].to_pylist(), back["keys"].to_pylist(), strict=True))
-        low = np.empty(len(first), np.int64)
+        least = np.empty((len(first), 2), np.int64)
         for b, i in dealt(h1[order][first], blocks):
-            low[i] = np.frombuffer(answer[b], "<i8")
-        ref = np.empty(len(pick), np.int64)
-        ref[order] = low[number]
-        earlier = ref < p.ids[p.of[pick]]
-        return _factors(p, p.at[pick][earlier], ref[earlier], min_words)
+            least[i] = _from_planes(answer[b])
+        source = np.empty((len(pick), 2), np.int64)
+        source[order] = least[number]
+        earlier = source[:, 0] < p.ids[p.of[pick]]
+        return _factors(p, p.at[pick][earlier], source[earlier], min_words)
 
     sent = held.groupBy("block").applyInArrow(anchors, _SENT)
     known = sent.groupBy("bucket").applyInArrow(shared, _BACK)
@@ -167,33 +194,57 @@ def _anchors_of(table: pa.Table) -> np.ndarray:
     return np.sort(unpacked(table["keys"], "<u8")[0])
 
 
-def _factors(p: _Parsed, at: np.ndarray, ref: np.ndarray, length: int) -> pa.Table:
-    """Greedy factors: runs of windows held by the same earlier document, cut where the source changes."""
-    doc, first = p.doc[at], p.words.first
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (ref[1:] != ref[:-1]) | (doc[1:] != doc[:-1])
+def _matches(p: _Parsed, at: np.ndarray, source: np.ndarray, length: int) -> np.ndarray:
+    """(start, end, source document, place there) of the longest stretches of words that stand in one source as they stand here,
+    by start; none lies within another. Windows of one source in step are one stretch where they overlap or touch."""
+    doc, ref, ahead = p.doc[at], source[:, 0], source[:, 1] - at
+    order = np.lexsort((at, ahead, ref, doc))
+    x, y, z, w = at[order], ref[order], ahead[order], doc[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] > x[:-1] + length) | (y[1:] != y[:-1]) | (z[1:] != z[:-1]) | (w[1:] != w[:-1])
     begin = np.flatnonzero(new)
-    end = np.r_[begin[1:], len(at)][: len(begin)] - 1
+    end = x[np.r_[begin[1:], len(x)][: len(begin)] - 1] + length
+    found = np.stack([x[begin], end, y[begin], z[begin] + x[begin]], axis=1)
+    found = found[np.lexsort((found[:, 2], -found[:, 1], found[:, 0]))]
+    reach = np.maximum.accumulate(found[:, 1]) if len(found) else found[:, 1]
+    further = np.ones(len(found), bool)
+    further[1:] = found[1:, 1] > reach[:-1]
+    return found[further]
+
+
+def _greedy(matches: list[list[int]]) -> list[list[int]]:
+    """The factors: from the end of each, the match that goes on from there and reaches furthest."""
+    factors = []
+    for k, m in enumerate(matches):
+        after = matches[k + 1] if k + 1 < len(matches) else None
+        if factors and after and after[0] <= factors[-1][1]:
+            continue
+        factors.append(m)
+    return factors
+
+
+def _factors(p: _Parsed, at: np.ndarray, source: np.ndarray, length: int) -> pa.Table:
+    """Spans of each document, and its other words."""
+    first, matches = p.words.first, _matches(p, at, source, length)
     change = np.zeros(len(p.doc) + 1, np.int32)
-    np.add.at(change, at[begin], 1)
-    np.add.at(change, at[end] + length, -1)
+    np.add.at(change, matches[:, 0], 1)
+    np.add.at(change, matches[:, 1], -1)
     covered = np.cumsum(change[:-1]) > 0
-    of = np.searchsorted(doc[begin], np.arange(len(p.ids) + 1))
+    of = np.searchsorted(p.doc[matches[:, 0]], np.arange(len(p.ids) + 1))
     rows = []
     for i, text in enumerate(p.texts):
-        a, b = first[i], first[i + 1]
-        s = slice(of[i], of[i + 1])
-        spans = [{"start": x, "end": y, "ref": z} for x, y, z in zip((at[begin[s]] - a).tolist(), (at[end[s]] + length - a).tolist(), ref[begin[s]].tolist(), strict=True)]
+        a, b = int(first[i]), int(first[i + 1])
+        spans = [{"start": x - a, "end": y - a, "ref": z, "ref_start": w & ((1 << _POSITION) - 1)} for x, y, z, w in _greedy(matches[of[i] : of[i + 1]].tolist())]
         words = text.split()
         gone = int(covered[a:b].sum())
         kept = b" ".join(compress(words, (~covered[a:b]).tolist()) if gone else words)
-        rows.append((int(p.ids[i]) if p.known[i] else None, int(b - a), gone, spans, kept.decode()))
+        rows.append((int(p.ids[i]) if p.known[i] else None, b - a, gone, spans, kept.decode()))
     return _table(rows, _SPANS_ARROW)
 
 
 _SENT_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("more", pa.binary()), ("first", pa.binary())])
 _BACK_ARROW = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int64()), ("keys", pa.binary())])
-_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("ref", pa.int64())])
+_SPAN = pa.struct([(n, pa.int64()) for n in ("start", "end", "ref", "ref_start")])
 _SPANS_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(_SPAN)), ("kept", pa.string())])
 
 
