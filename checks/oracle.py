@@ -188,6 +188,29 @@ def _analyze() -> str:
     )
 
 
+def _sketched() -> str:
+    """Exact values, where the estimates keep to their bounds."""
+    numeric = ("o_orderkey", "o_custkey", "o_totalprice")
+    columns = (*numeric, "o_orderstatus", "o_orderdate", "o_orderpriority")
+    return " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, count(*) AS rows, count(*) - count({c}) AS nulls,
+                   {f"min({c})" if c in numeric else "NULL"}::DOUBLE AS min_value,
+                   {f"max({c})" if c in numeric else "NULL"}::DOUBLE AS max_value,
+                   true AS distinct_close, {"true" if c in numeric else "NULL::BOOLEAN"} AS quartiles_close
+            FROM orders"""
+        for c in columns
+    )
+
+
+def _patterns() -> str:
+    return """
+        SELECT DISTINCT CASE p_partkey % 5
+            WHEN 0 THEN 'TPCC_' || p_size || '%' WHEN 1 THEN '%_' || p_size
+            WHEN 2 THEN 'x%Word_' || p_size || '__' WHEN 3 THEN '%' || p_size || '%pay%'
+            ELSE '____' || repeat('_', p_size % 3) END AS pattern
+        FROM part"""
+
+
 def _relations() -> str:
     def pick(words: list[str], index: str) -> str:
         whens = " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words))
@@ -453,6 +476,10 @@ ORACLE: dict[str, str] = {
     "colocated_tables": f"""
         SELECT table_name, sum(shard_size)::BIGINT AS bytes
         FROM ({_shard_stats()}) WHERE colocation_id = 3 GROUP BY table_name""",
+    "keys_per_shard_stored": _per_shard("orders"),
+    "merged_sketches": _sketched(),
+    "match_patterns": f"""
+        SELECT schema, name, kind, pattern FROM ({_relations()}) JOIN ({_patterns()}) ON name ILIKE pattern""",
     "analyze_tables": _analyze(),
     "analyze_nested": """
         SELECT 'embeddings' AS table_name, 'vec_id' AS column_name, count(*) AS rows,

@@ -13,7 +13,7 @@ from checks import layout
 from evenkeel import Cluster
 from evenkeel.functions import shard_of, size_pretty, to_blocks
 from evenkeel.functions.scalar import hash_of
-from evenkeel.operators import inventory, placement, runs, sizes, stats
+from evenkeel.operators import inventory, keysets, patterns, placement, runs, sizes, sketches, stats
 from evenkeel.operators import ranges as hash_directory
 from evenkeel.plans import layout as stored_layout
 from evenkeel.plans import levelling, rebalance
@@ -266,6 +266,47 @@ def q_relayout_moves(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def q_keys_per_shard_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys per shard from the bitmaps of three loads, one of them stored twice."""
+    path = f"{shared_folder(spark)}/evenkeel/{uuid.uuid4().hex}"
+    orders, status = layout.table(spark, sf, "orders"), F.coalesce("o_orderstatus", F.lit("?"))
+    for load in (status == "F", status == "O", ~status.isin("F", "O"), status == "O"):
+        keysets.store_keys(orders.filter(load), layout.dist_of("orders"), path)
+    return keysets.counted_per_shard(keysets.stored_keys(spark, path), layout.placements(spark), layout.nodes(spark))
+
+
+def q_merged_sketches(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of orders in three loads, each read once; whether the estimates keep to their bounds."""
+    base = f"{shared_folder(spark)}/evenkeel/{uuid.uuid4().hex}"
+    orders, status = layout.table(spark, sf, "orders"), F.coalesce("o_orderstatus", F.lit("?"))
+    for load in (status == "F", status == "O", ~status.isin("F", "O")):
+        orders.filter(load).write.mode("append").parquet(f"{base}/orders")
+        stored = spark.read.schema(orders.schema).parquet(f"{base}/orders")
+        sketches.update_sketches(stored, f"{base}/sketches")
+    merged = materialise(sketches.merged_sketches(stored, f"{base}/sketches"))
+    ranks = merged.filter("quantiles IS NOT NULL").select("column_name", F.posexplode("quantiles").alias("k", "q"))
+    numeric = [f.name for f in orders.schema if f.dataType.simpleString() in ("int", "bigint", "double")]
+    values = orders.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in numeric)))).filter("v IS NOT NULL")
+    at = values.join(ranks, "column_name").groupBy("column_name", "k").agg(F.avg((F.col("v") < F.col("q")).cast("int")).alias("below"), F.avg((F.col("v") <= F.col("q")).cast("int")).alias("upto"))
+    close = (F.col("below") <= F.col("k") / 4 + 0.03) & (F.col("upto") >= F.col("k") / 4 - 0.03)
+    kept = at.groupBy("column_name").agg(F.bool_and(close).alias("quartiles_close"))
+    exact = stats.analyze_tables({"orders": orders}).select("column_name", F.col("distinct_values").alias("exact"))
+    return merged.join(kept, "column_name", "left").join(exact, "column_name").select(
+        "column_name", "rows", "nulls", F.element_at("quantiles", 1).alias("min_value"), F.element_at("quantiles", 5).alias("max_value"),
+        (F.abs(F.col("distinct_values") - F.col("exact")) <= 0.05 * F.col("exact")).alias("distinct_close"), "quartiles_close",
+    )
+
+
+def q_match_patterns(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations against patterns made from the parts: beginnings, endings, middles and open ends."""
+    size, k = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    made = F.when(k == 0, F.concat(F.lit("TPCC_"), size, F.lit("%"))).when(k == 1, F.concat(F.lit("%_"), size))
+    made = made.when(k == 2, F.concat(F.lit("x%Word_"), size, F.lit("__"))).when(k == 3, F.concat(F.lit("%"), size, F.lit("%pay%")))
+    made = made.otherwise(F.concat(F.lit("____"), F.repeat(F.lit("_"), (F.col("p_size") % 3).cast("int"))))
+    asked = layout.table(spark, sf, "part").select(made.alias("pattern"))
+    return patterns.match_patterns(layout.relations(spark, sf), asked).select("schema", "name", "kind", "pattern")
+
+
 def q_colocated_tables(spark: SparkSession, sf: str) -> DataFrame:
     """The tables that share the layout of lineitem, with their bytes."""
     names = placement.colocated_tables(layout.distribution(spark), "lineitem")
@@ -420,6 +461,9 @@ QUERIES: dict[str, Query] = {
     "relayout_moves": q_relayout_moves,
     "relayout": q_relayout,
     "relayout_files": q_relayout_files,
+    "keys_per_shard_stored": q_keys_per_shard_stored,
+    "merged_sketches": q_merged_sketches,
+    "match_patterns": q_match_patterns,
     "colocated_tables": q_colocated_tables,
     "analyze_tables": q_analyze_tables,
     "analyze_nested": q_analyze_nested,
