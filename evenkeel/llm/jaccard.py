@@ -279,8 +279,9 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     key = ["n_shingles", "sum1", "sum2"]
     in_class = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = sums.where(in_class).groupBy(*key).agg(F.min(F.struct("doc_id", "text_sum", "block")).alias("least"))
-    # The number is fixed by writing it.
-    classes = materialise(classes.select(*key, "least.*", F.monotonically_increasing_id().alias("id")))
+    # Numbers in order of doc_id, so the first hubs are the earliest documents; fixed by writing them.
+    classes = classes.select(*key, "least.*").repartitionByRange("doc_id", "text_sum").sortWithinPartitions("doc_id", "text_sum")
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
     index = materialise(_index(held.where("doc_id IS NOT NULL"), classes, blocks, words, percent))
     labels = components(_links(index, percent))
     # The component's first document, of its classes' first ones; classes without a link are alone.
