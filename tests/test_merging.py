@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -102,3 +103,36 @@ def test_patterns_against_a_loop(spark, capsys):
     assert "NestedLoop" not in (plan := capsys.readouterr().out) and "Cartesian" not in plan
     with pytest.raises(ValueError, match="pattern"):
         patterns.match_patterns(found, spark.createDataFrame([("a",)], "pattern string"))
+
+
+def test_patterns_of_every_shape(spark):
+    """Each way to place letters and wildcards, with literals on both sides of the places that keys reach to."""
+    shapes = ["".join(p) for n in range(6) for p in itertools.product("a_%", repeat=n)]
+    long = "abcdefghijklmnopqrstuvwxyz"
+    shapes += [f"{long[:k]}%" for k in (2, 3, 4, 15, 16, 17, 26)] + [f"%{long[-k:]}" for k in (2, 3, 4, 15, 16, 17, 26)]
+    shapes += ["_" * k + x + "%" for k in (14, 15, 16, 17) for x in ("p", "pq", "q", "qrs")] + ["%" + x + "_" * k for k in (14, 15, 16, 17) for x in ("j", "ij", "i", "hij")]
+    names = ["".join(p) for n in range(5) for p in itertools.product("ab", repeat=n)] + [long, long.upper(), long[1:], "k\u00e4" * 20, "\u00c4" * 17]
+    shapes += ["%\u00c4", "k_K%", "%\u00e4_\u00e4" + "_" * 15, "_" * 16 + "\u00e4"]
+    found = patterns.match_patterns(spark.createDataFrame([(n,) for n in names], "name string"), spark.createDataFrame([(p,) for p in shapes], "pattern string"))
+    assert sorted(map(tuple, found.collect())) == sorted((n, p) for p in set(shapes) for n in names if _like(p).fullmatch(n))
+
+
+def test_patterns_meet_few_names(spark, monkeypatch):
+    """Names compared with patterns that differ only in a place near an end, or in a literal shorter than another one.
+
+    At 60 times sf0.1 the pairs that a pattern's longest literal alone brings together took most of the time.
+    """
+    names = spark.createDataFrame([(f"{'tpcc_' if k % 2 else 'x_pay_'}{k:03d}",) for k in range(1000)], "name string")
+    asked = [*(f"TPCC_{k}%" for k in range(10)), *(f"%pay__{k}_" for k in range(10)), *(f"%{k:02d}%c_%" for k in range(40))]
+    monkeypatch.setattr(patterns.F, "ilike", lambda *_: F.lit(True))
+    pairs = patterns.match_patterns(names, spark.createDataFrame([(p,) for p in asked], "pattern string"))
+    counts = {r.kind: r.n for r in pairs.groupBy(F.substring("pattern", 1, 2).alias("kind")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts["TP"] <= 1000 and counts["%p"] <= 1000 and sum(counts.values()) <= 3000
+
+
+def test_names_of_one_file_are_dealt_out(spark, tmp_path, capsys):
+    spark.createDataFrame([(f"tpcc_{k}",) for k in range(100)], "name string").coalesce(1).write.parquet(str(tmp_path / "names"))
+    found = patterns.match_patterns(spark.read.schema("name string").parquet(str(tmp_path / "names")), spark.createDataFrame([("%5%",)], "pattern string"))
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "RoundRobin" in plan and "hashpartitioning(_key" not in plan
