@@ -62,6 +62,8 @@ def _pattern_keys(patterns: DataFrame) -> DataFrame:
     far = F.array(F.substring("_head", _REACH + 1, 2**30), F.expr(f"substring(_tail, 1, greatest(length(_tail) - {_REACH}, 0))"))
     pieces = F.flatten(F.transform(F.concat(inner, far), lambda part: F.split(part, "_")))
     literal = F.concat(_fixed(F.col("_head"), "<"), _fixed(F.col("_tail"), ">"), F.flatten(F.transform(pieces, _floating)))
+    longer = F.filter(literal, lambda key: ~F.startswith(key, F.lit("*:1=")))  # one character anywhere is rarely rare
+    literal = F.when(F.size(longer) > 0, longer).otherwise(literal)
     least = F.least(F.length(F.replace("_plain", F.lit("%"), F.lit(""))), F.lit(_LENGTHS))
     lengths = F.when(F.col("_n") > 1, F.sequence(least, F.lit(_LENGTHS))).otherwise(F.array(least))
     open_ = F.length(F.regexp_replace("_plain", "[%_]", "")) == 0
